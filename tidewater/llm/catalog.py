@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, sharding, topk, toxicity
+from . import fingerprints, mixing, neardup, pieces, pii, sharding, topk, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
+    "op2_pii": pii.query,
+    "op3_near_duplicates": neardup.query,
+    "op4_pieces": pieces.query,
     "op5_ring_shards": sharding.query,
     "op6_exact_topk": topk.query,
     "op7_toxicity": toxicity.query,
+    "op8_url_filter": urlfilter.query,
+    "op9_warc": warc.query,
     "op10_fingerprints": fingerprints.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
     "op6_exact_topk": topk.SQL,
+    "op9_warc": warc.SQL,
 }
