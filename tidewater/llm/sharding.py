@@ -85,12 +85,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"))
     rows = rows.withColumn("_at", F.when(F.col("doc_id").isNull(), place("_crc", "_size")).otherwise(place("doc_id")))
+    owner = ring(spark, shards, virtual).select(F.transform("nodes", lambda x: x["at"]).alias("ats"), F.transform("nodes", lambda x: x["shard"]).alias("owners"))
+    table = owner.first()  # shards * virtual entries
+    rows = rows.withColumn("_arc", F.pmod(_search([int(x) for x in table.ats], F.col("_at")), F.lit(shards * virtual)))
     rows = stash(rows, "ring_rows")
     fine = max(64, rows.count() // BUCKET_ROWS)
     width = (1 << RING_BITS) // fine + 1
-    owner = ring(spark, shards, virtual).select(F.transform("nodes", lambda x: x["at"]).alias("ats"), F.transform("nodes", lambda x: x["shard"]).alias("owners"))
-    table = owner.first()  # shards * virtual entries
-    rows = rows.withColumn("_arc", _search([int(x) for x in table.ats], F.col("_at"))).withColumn("_arc", F.pmod("_arc", F.lit(shards * virtual)))
     rows = rows.withColumn("_fine", F.floor(F.col("_at") / F.lit(width)).cast("long"))
     cells = stash(rows.groupBy("_arc", "_fine").agg(F.count("*").alias("n")), "ring_cells")
     # the last arc reaches over the ring's start: its cells after the last node come first
