@@ -78,8 +78,9 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(SPAN)
     each = []
     for k, kind in enumerate(KINDS):
-        good = F.filter(matches(text, PATTERNS[kind]), lambda m, kind=kind: _valid(kind, m["match"]))
-        each.append(F.when(NEEDS[kind](text), F.transform(good, lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))).otherwise(none))
+        # the functions take their place in the list before the loop goes on
+        good = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["match"]))  # noqa: B023
+        each.append(F.when(NEEDS[kind](text), F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))).otherwise(none))  # noqa: B023
     return F.array_sort(F.concat(*each))
 
 
@@ -168,5 +169,5 @@ def redact(text: Column, spans: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = extract(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return got.select("doc_id", *counts, F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))

@@ -71,13 +71,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """Personalised PageRank (host, rank) over edges(src, dst, w) from seeds(host, mass).
 
+    Ranks are in units of the seeds' mass, so those of two walks can be compared.
     One row a host goes round; links are summed by host with partial sums, so that a hub
-    is no hot spot. Mass of hosts without a way out goes back to the seeds.
+    is no hot spot. Mass of hosts without a way out is lost; every host with
+    pages has one, its own links.
     """
-    total = seeds.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
-    start = stash(seeds.where("mass > 0").groupBy("host").agg((F.sum("mass") / F.lit(float(total))).alias("s")), "walk_start")
+    start = stash(seeds.where("mass > 0").groupBy("host").agg(F.sum("mass").alias("s")), "walk_start")
     out = edges.groupBy("src").agg(F.sum("w").alias("o"))
     links = stash(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("o")).alias("p")), "walk_links")
     rank = start.select("host", F.col("s").alias("rank"))
