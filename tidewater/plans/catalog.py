@@ -1,10 +1,6 @@
-"""Name -> query, name -> SQL."""
+"""All queries by name, and the SQL they are held against."""
 
-from __future__ import annotations
+from . import corpus, orders, support  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
