@@ -102,9 +102,9 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_E
 
 
 def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
-    """docs with _size, source_size, target and _copies (how often the mix takes the document)."""
+    """docs with _size, _source_size, _target and _copies (how often the mix takes the document)."""
     rows = stash(keyed(docs, weight, seed).select("doc_id", "source", "_size", "_key"), "mix_rows")
-    how = small(plan(rows, weights, most)).withColumnRenamed("source", "_source")
+    how = small(plan(rows, weights, most).withColumnsRenamed({"source": "_source", "source_size": "_source_size", "target": "_target"}))
     both = keyed(docs, weight, seed).join(how, F.col("source").eqNullSafe(F.col("_source")))
     at = F.least(F.floor((1 - F.exp(-F.col("_key") * F.lit(0.7))) * F.col("_buckets")), F.col("_buckets") - 1).cast("long")
     point = F.struct("_key", F.col("doc_id").isNotNull().alias("_has"), "doc_id", "_size")
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...]
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return got.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
+    return got.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 SQL = r"""

@@ -55,7 +55,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_featur
     """Learns from a bounded sample of labelled rows.
 
     max_labelled bounds the sample: a quarter of it toxic at most, the rest clean, taken in
-    the order of a hash of doc_id. Each sampled text is read whole.
+    the order of a hash of doc_id. Each sampled text is read whole. A fifth of the sample is
+    held out to choose the cut.
     """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled * (3 - 2 * k) // 4) for k in (0, 1)]
@@ -102,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_featur
         grid = np.linspace(0.1, 1.2, 45)
         good = [((s >= c) == (toxic[held] == 1)).mean() for c in grid]
         cut = float(np.median(grid[np.array(good) == max(good)]))
-        w, theta = _descend(x, grade, ridge, steps)
+    # a text without any of the features is never rejected
+    cut = max(cut, 1.01 * float(_expected(np.zeros(1), theta)[0]))
     return OrdinalModel({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, [float(t) for t in theta], cut, prefix)
 
 
