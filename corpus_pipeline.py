@@ -1,7 +1,13 @@
 """From raw documents to token ids: toxicity, near duplicates, personal data, mixture, pieces.
 
 Each stage works on what the one before it kept. Stages but the last return the columns of
-documents (doc_id, text, lang, source, n_chars).
+documents (doc_id, text, lang, source, n_chars); other columns are dropped at a stage's start,
+so their names can't clash.
+
+Nulls and edge cases: a null text is read as an empty one by every stage, and becomes one in
+the stage pii; a row with a null doc_id is never a near copy and stays; a null source is a
+source of its own; repeated rows are judged alike, and rows that share a doc_id share the
+decision of near_dedup and, with equal size, of mix; an empty table stays empty.
 """
 
 from __future__ import annotations
