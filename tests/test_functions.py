@@ -55,7 +55,7 @@ def test_clean(spark):
 
 
 def test_sentences(spark):
-    assert one(spark, "It costs Rs. 500. Pay now! e.g. Cash. ok then. 2 days", T.sentences) == ["It costs Rs. 500.", "Pay now!", "e.g. Cash. ok then.", "2 days"]
+    assert one(spark, "It costs Rs. 500. Pay now! e.g. Cash. ok then. 2 days", T.sentences) == ["It costs Rs. 500.", "Pay now! e.g. Cash. ok then.", "2 days"]
 
 
 def test_claims(spark):

@@ -29,7 +29,7 @@ def test_running_number(spark):
 
 
 def test_chunks_sections_overlap_and_size():
-    text = "# Returns\nYou may return goods within 14 days.\n\n## Exceptions\nSoftware is final. Open boxes are not taken back.\n\n# Delivery\nTwo days."
+    text = "# Returns\nYou may return goods within 14 days.\n\n## Exceptions\nSoftware is final. Open boxes are not taken back.\n\n# Delivery\nTwo days within the city."
     got = K.chunks(text)
     assert [s for s, _, _ in got] == ["Returns", "Exceptions", "Delivery"]
     assert got[1][1].startswith("Returns > Exceptions\n")
