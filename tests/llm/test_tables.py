@@ -34,6 +34,7 @@ def brute(rows, asked, k=10):
 def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     monkeypatch.setattr(topk, "ROWS", 32)
+    monkeypatch.setattr(topk, "BLOCKS_AT_ONCE", 2)
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) * (1 + i % 7) for _ in range(24)]) for i in range(400)]
     rows += [(1_000 + i, rows[3][1]) for i in range(15)]  # ties

@@ -30,6 +30,8 @@ from .common import load, stash
 SCALE = 1024
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 1_024
+#: Query blocks whose scans run as one job.
+BLOCKS_AT_ONCE = 16
 #: Vectors that a task takes at a time.
 ROWS = 2_048
 
@@ -159,6 +161,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, head: int = 16) -
 
         part = ordered.select("vec_id", "v").mapInArrow(run, schema)
         found = part if found is None else found.union(part)
+        if b % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1:
+            found = stash(found, "topk_found")  # plans stay small, however many blocks there are
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
