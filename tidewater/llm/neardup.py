@@ -7,11 +7,11 @@
 3. Bands of four compressed registers are keys. Within a bucket, pairs whose Jaccard
    estimate (corrected for chance collisions of registers) may reach the threshold are
    candidates. Buckets above PAIR_BUCKET members are compared in pairs of blocks inside
-   tasks, which return a spanning forest instead of all pairs.
+   tasks, which return what joins components instead of all pairs.
 4. Candidates make families (connected components). A family's texts meet once, large
    families in pairs of blocks, and every pair of a block is intersected on full sets; tasks
-   return spanning forests of the confirmed links, so that no link between different texts
-   is lost and no group is expanded into all its pairs.
+   return the edges by which confirmed links join components, so that no link between
+   different texts is lost and no group is expanded into all its pairs.
 5. Components of the confirmed links, carried back to the members of the classes.
 
 The chance that a pair at the threshold shares no band is (1 - 0.8^4)^24 = 3e-6; the
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, load, small, stash
@@ -45,7 +45,7 @@ MANTISSA = 10
 COLLISION = 0.169919487159739093975315012348
 #: Below the threshold by five standard errors of an estimate from 96 registers.
 MARGIN = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
-PAIR_BUCKET, BUCKET_BLOCK, BLOCK = 32, 256, 128
+PAIR_BUCKET, BUCKET_BLOCK, BLOCK = 8, 256, 128
 KEPT_WORDS = 400_000
 
 _RNG = np.random.default_rng(20240601)
@@ -168,6 +168,27 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
 
+def _joined(vs: list[int], near: np.ndarray, mine: np.ndarray, two: bool) -> list[tuple[int, int]]:
+    """The fewest edges that say which of the sorted vs hang together.
+
+    near: upper triangle, who is linked. Of one block, each goes to its component's
+    smallest. Of two, what hangs together within a block is known from the block itself,
+    and only smallest ones of either side that links between the blocks join are returned.
+    """
+    forest = _Forest(len(vs))
+    within = near & (mine[:, None] == mine[None, :]) if two else near
+    for x, y in zip(*np.nonzero(within), strict=True):
+        forest.join(int(x), int(y))
+    if not two:
+        return [(vs[x], vs[r]) for x in range(len(vs)) if (r := forest.root(x)) != x]
+    out = []
+    for x, y in zip(*np.nonzero(near & ~within), strict=True):
+        a, b = forest.root(int(x)), forest.root(int(y))
+        if forest.join(a, b):
+            out.append((vs[a], vs[b]))
+    return out
+
+
 def _block_pairs(rows: DataFrame, size: F.Column, block: int, key: str) -> DataFrame:
     """Each row once for each pair of blocks of its group that its block is in: _i <= _j, _mine."""
     count = F.ceil(size / F.lit(block)).cast("long")
@@ -179,11 +200,9 @@ def _block_pairs(rows: DataFrame, size: F.Column, block: int, key: str) -> DataF
 def candidates(reps: DataFrame, low: float) -> DataFrame:
     """(a, b): pairs of classes that share a band and whose estimate is at least low.
 
-    reps: (v, n, regs, bands). Of large buckets spanning forests are returned.
+    reps: (v, n, regs, bands). Of large buckets, edges that join what hangs together are returned.
     """
     keyed = reps.select("v", F.explode("bands").alias("key"))
-    from pyspark.sql import Window
-
     sized = stash(keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "nd_buckets")
     groups = sized.where(F.col("m") <= PAIR_BUCKET).groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("vs")).select("vs").distinct()
     pairs = groups.select(F.explode(F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, F.size("vs")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*").distinct()
@@ -200,17 +219,13 @@ def candidates(reps: DataFrame, low: float) -> DataFrame:
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in _groups(batches, ("key", "_i", "_j")):
-            rows = list({r["v"]: r for r in rows}.values())
+            rows = sorted({r["v"]: r for r in rows}.values(), key=lambda r: r["v"])
             regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(-1, REGISTERS)
-            n, mine = np.array([r["n"] for r in rows], float), np.array([r["_mine"] for r in rows])
-            forest, out = _Forest(len(rows)), []
+            n = np.array([r["n"] for r in rows], float)
+            near = np.zeros((len(rows), len(rows)), bool)
             for x in range(len(rows) - 1):
-                if i != j and mine[x] != i:
-                    continue
-                to = np.arange(x + 1, len(rows)) if i == j else np.flatnonzero(mine == j)
-                ok = to[estimate((regs[to] == regs[x]).sum(1), n[to], n[x]) >= low]
-                out += [(rows[x]["v"], rows[y]["v"]) for y in ok if forest.join(x, int(y))]
-            if out:
+                near[x, x + 1 :] = estimate((regs[x + 1 :] == regs[x]).sum(1), n[x + 1 :], n[x]) >= low
+            if out := _joined([r["v"] for r in rows], near, np.array([r["_mine"] for r in rows]), i != j):
                 yield _edges(out)
 
     large = sized.where(F.col("m") > PAIR_BUCKET).join(side, "v")
@@ -219,40 +234,33 @@ def candidates(reps: DataFrame, low: float) -> DataFrame:
     return few.union(many).distinct()
 
 
-def _linked(sets: list[np.ndarray], pairs: Iterator[tuple[int, int]] | None, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between left and right (indices into sets; the same: all pairs)."""
-    size, forest, out = np.array([len(s) for s in sets]), _Forest(len(sets)), []
-    same = left is right
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Upper triangle: which two sets are linked, by their full intersections."""
+    size = np.array([len(s) for s in sets])
+    out = np.zeros((len(sets), len(sets)), bool)
     if len(sets) <= 12:
-        for x in left:
-            for y in right:
-                if (not same or x < y) and 100 * min(size[x], size[y]) >= percent * max(size[x], size[y]) and forest.root(x) != forest.root(y):
+        for x in range(len(sets)):
+            for y in range(x + 1, len(sets)):
+                if 100 * min(size[x], size[y]) >= percent * max(size[x], size[y]):
                     both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if 100 * both >= percent * (size[x] + size[y] - both):
-                        forest.join(x, y)
-                        out.append((x, y))
+                    out[x, y] = 100 * both >= percent * (size[x] + size[y] - both)
         return out
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count > 1
     number = np.cumsum(shared) - 1
     keep = shared[at]
     col, row = number[at[keep]], owner[keep]
     order = np.argsort(col, kind="stable")
     col, row = col[order], row[order]
-    both = np.zeros((len(left), len(right)), np.float64)
+    both = np.zeros((len(sets), len(sets)))
     width = 8192
     for lo in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(col, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
         m[row[a:b], col[a:b] - lo] = 1
-        both += m[left] @ m[right].T
-    ok = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
-    for x, y in zip(*np.nonzero(ok), strict=True):
-        i, j = int(left[x]), int(right[y])
-        if i != j and forest.join(i, j):
-            out.append((i, j))
-    return out
+        both += m @ m.T
+    return np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
 
 
 def links(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
@@ -277,13 +285,11 @@ def links(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFra
                 s = np.frombuffer(r["s"], np.uint64)
                 if _class(s) == r["v"]:  # another text with the same doc_id isn't meant
                     held[r["v"]] = (s, r["_mine"])
-            vs, sets, mine = list(held), [s for s, _ in held.values()], np.array([m for _, m in held.values()])
-            if len(vs) < 2:
+            if len(held) < 2:
                 continue
-            left = np.arange(len(vs)) if i == j else np.flatnonzero(mine == i)
-            right = left if i == j else np.flatnonzero(mine == j)
-            if out := _linked(sets, None, left, right, percent):
-                yield _edges([(vs[x], vs[y]) for x, y in out])
+            vs = sorted(held)
+            if out := _joined(vs, _linked([held[v][0] for v in vs], percent), np.array([held[v][1] for v in vs]), i != j):
+                yield _edges(out)
 
     return rows.repartition("fam", "_i", "_j").sortWithinPartitions("fam", "_i", "_j").mapInArrow(run, "a long, b long")
 
