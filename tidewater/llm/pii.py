@@ -106,13 +106,16 @@ def candidates(rows: DataFrame) -> DataFrame:
     word before alone where that is near.
     """
     t = F.col("text")
-    base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(t, s["start"] + 1, s["end"] - s["start"]).alias("token"), s["kind"].alias("kind")))
+
+    def one(start: Column, end: Column, token: Column, kind: Column) -> Column:
+        # contexts are cut out here, so that the exploded rows don't carry the text
+        return F.struct(start.alias("start"), end.alias("end"), F.lower(token).alias("token"), kind.alias("kind"), _word_before(t, start).alias("b"), _word_after(t, end).alias("a"))
+
+    base = F.transform("_base", lambda s: one(s["start"], s["end"], F.substring(t, s["start"] + 1, s["end"] - s["start"]), s["kind"]))
     tokens = F.when(t.rlike(r"[0-9][^\x20\x09-\x0D]*[0-9]"), matches(t, TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
     free = F.filter(tokens, lambda m: ~F.exists("_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    other = F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("token"), F.lit(None).cast("int").alias("kind")))
-    each = rows.select("_row", "text", F.explode(F.concat(base, other)).alias("m")).select("_row", "text", "m.*")
-    before, after = _word_before(F.col("text"), F.col("start")), _word_after(F.col("text"), F.col("end"))
-    both = each.select("_row", "start", "end", F.lower("token").alias("token"), "kind", before.alias("b"), after.alias("a"))
+    other = F.transform(free, lambda m: one(m["start"], m["end"], m["match"], F.lit(None).cast("int")))
+    both = rows.select("_row", F.explode(F.concat(base, other)).alias("m")).select("_row", "m.*")
     patterns = F.filter(F.array(F.when(F.col("b") != "", F.concat(F.lit("b:"), "b")), F.when((F.col("b") != "") & (F.col("a") != ""), F.concat(F.lit("ba:"), "b", F.lit(" "), "a"))), lambda p: p.isNotNull())
     return both.select("_row", "start", "end", "token", "kind", F.explode(patterns).alias("pattern"))
 
