@@ -148,7 +148,7 @@ def test_unigram_is_viterbi(codec):
             self.piece = ["<unk>", "a", "b", "ab", "ba", "aba", "bab", "c"]
             self.id = {p: i for i, p in enumerate(self.piece) if i}
             self.score = dict(enumerate([0, -1.5, -1.7, -2.0, -2.6, -3.3, -3.2, -0.5]))
-            self.low, self.pairs, self.words = -20.0, {}, {}
+            self.low, self.pairs, self.lone, self.words = -20.0, {}, {}, {}
             self.automaton = ahocorasick.Automaton()
             for p, i in self.id.items():
                 self.automaton.add_word(p, (len(p), i))

@@ -19,6 +19,7 @@ are left alone.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,8 +33,8 @@ from .common import load
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words that a task remembers at a time.
-KEPT_WORDS = 400_000
+#: Words, and pairs of pieces, that a worker remembers at a time.
+KEPT_WORDS = 600_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -93,31 +94,60 @@ class Codec:
         self.text = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else b"" if self.sp.is_control(i) else " ⁇ ".encode() if self.sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.lone: dict[int, bool] = {}
+        self.rank = {p: self.score[i] for p, i in self.id.items()}
+        self.size = [len(p) for p in self.piece]
 
     def merged(self, text: str) -> list[str]:
         """The text's pieces by definition: of all neighbours that join to a piece, the best joins first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max((self.score[self.id[a + b]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.id) if any(a + b in self.id for a, b in zip(parts, parts[1:], strict=False)) else None
+        parts, rank = list(text), self.rank
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                got = rank.get(parts[i] + parts[i + 1])
+                if got is not None and (best is None or got > best):
+                    best, at = got, i
             if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _stay(self, a: int, b: int) -> bool:
+        """Whether two pieces stay two when their text is merged."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 4 * KEPT_WORDS:
+            if len(self.pairs) > KEPT_WORDS:
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
         return got
 
+    def _whole(self, s: str) -> list[int]:
+        """Ids of a text all of whose characters are pieces, for models that merge by rank."""
+        last: list[int | None] = [None] * (len(s) + 1)
+        pairs, stay, alone, size = self.pairs, self._stay, self._alone, self.size
+        for end, (length, i) in self.automaton.iter(s):
+            start = end + 1 - length
+            # longer pieces come first, and only one of those that end here can follow
+            if last[end + 1] is None and alone(i):
+                if not start:
+                    last[end + 1] = i
+                elif (before := last[start]) is not None:
+                    ok = pairs.get((before, i))
+                    if stay(before, i) if ok is None else ok:
+                        last[end + 1] = i
+        out, end = [], len(s)
+        while end:
+            out.append(last[end])
+            end -= size[last[end]]
+        out.reverse()
+        return out
+
     def _bytes(self, c: str) -> list[int]:
         return [self.byte[x] for x in c.encode("utf-8", "surrogatepass")] if len(self.byte) == 256 else [self.unk]
 
     def stretch(self, s: str) -> list[int]:
         """Ids of normalized text: one pass of the automaton, relaxing at each end of a piece."""
+        if self.kind == BPE and self.id.keys() >= set(s):
+            return self._whole(s)
         n = len(s)
         best = [0.0] + [float("-inf")] * n
         back: list[tuple[int, int] | None] = [None] * (n + 1)  # start and id; id -1: a character without a piece
@@ -150,9 +180,9 @@ class Codec:
 
     def _alone(self, i: int) -> bool:
         """Whether merging by rank gives this piece for its own text."""
-        got = self.pairs.get((-1, i))
+        got = self.lone.get(i)
         if got is None:
-            got = self.pairs[-1, i] = len(self.merged(self.piece[i])) == 1
+            got = self.lone[i] = len(self.merged(self.piece[i])) == 1
         return got
 
     def _unknown(self, s: str, end: int, best: list[float], back: list) -> None:
@@ -189,10 +219,16 @@ class Codec:
         return text[1:] if text.startswith(" ") and ids and self.piece[ids[0]].startswith(SPACE) else text
 
 
-def _codec(cache: dict, proto: bytes) -> Codec:
-    if "codec" not in cache:
-        cache["codec"] = Codec(proto)
-    return cache["codec"]
+_CODECS: dict[bytes, Codec] = {}
+
+
+def _codec(proto: bytes) -> Codec:
+    """The worker's codec for a model: tasks that follow each other share what it remembers."""
+    key = hashlib.blake2b(proto).digest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(proto)
+    return _CODECS[key]
 
 
 def _model(spark: SparkSession, path: str):
@@ -210,7 +246,7 @@ def encode(docs: DataFrame, path: str = MODEL, check: bool = False) -> DataFrame
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(sent.value)
+        codec = _codec(sent.value)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -233,7 +269,7 @@ def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(sent.value)
+        codec = _codec(sent.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([codec.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
