@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import aggregates as A
 from tidewater.operators import knowledge as K
 from tidewater.operators import merges as M
+from tidewater.plans.catalog import QUERIES
 
 
 def test_kept_after_gap_counts_from_the_last_kept(spark):
@@ -56,6 +57,27 @@ def test_embedding_and_cosine(spark):
     assert list(v.select(K.cosine("a", "b"), K.cosine("a", "c"), K.cosine("a", "z")).first()) == [1.0, 0.0, 0.0]
 
 
+def test_search_takes_every_query(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(K, "PART_ROWS", 64)
+    monkeypatch.setattr(K, "QUERY_SLICE", 4)
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 5) for i in range(400)] + [(400 + i, [1.0] * 8, 1) for i in range(40)] + [(440, None, 1), (441, [0.0] * 8, 2), (442, [float("nan")] * 8, 3), (443, [1.0, None, 2.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = spark.read.parquet(f"{tmp_path}/embeddings.parquet").select("vec_id", "embedding", "label")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    both = vectors.crossJoin(asked).withColumn("similarity", F.round(K.cosine("embedding", "query"), 6)).where("not isnan(similarity)")
+    want = {}
+    for r in both.collect():
+        want.setdefault(r.query_id, []).append((-r.similarity, r.vec_id))
+    got = QUERIES["vector_topk_all"](spark, str(tmp_path)).collect()
+    assert len(want) == 23
+    assert sorted((r.query_id, r.vec_id, r.similarity) for r in got) == sorted((q, i, round(-s, 4) + 0.0) for q, hits in want.items() for s, i in sorted(hits)[:5])
+    assert {r.query_id for name in ("mean_agreement_all", "grounding_status_all") for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(want)
+    filtered = QUERIES["vector_topk_filtered_all"](spark, str(tmp_path)).collect()
+    labels = {i: n for i, _, n in rows}
+    assert sorted((r.query_id, r.vec_id) for r in filtered) == sorted((q, i) for q, hits in want.items() for _, i in sorted(h for h in hits if labels[h[1]] in (1, 2, 3) and -h[0] >= 0)[:5])
+
+
 def test_versions(spark):
     rows = [("f", 1, "a"), ("f", 2, "a"), ("f", 3, "b"), ("f", 4, "a"), ("g", 1, None)]
     got = K.versions(spark.createDataFrame(rows, "f string, n int, hash string"), ["f"], ["n"]).where("f = 'f'").orderBy("n").collect()

@@ -218,7 +218,11 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT query_id, round(max(similarity) FILTER (rn = 1), 4) AS best, round(avg(similarity) FILTER (rn IN (2, 3)), 4) AS agreement FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rn FROM ({_COS})) GROUP BY 1")
 def mean_agreement(spark: SparkSession, d: str) -> DataFrame:
-    ranked = K.top_k(table(spark, d, "embeddings"), _asked(spark, d), 5, order=[F.col("vec_id")])
+    return _agreement(spark, d, _asked(spark, d))
+
+
+def _agreement(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    ranked = K.top_k(table(spark, d, "embeddings"), asked, 5, order=[F.col("vec_id")])
     return K.confidence(ranked).select("query_id", F.round("best", 4).alias("best"), F.round("agreement", 4).alias("agreement"))
 
 
@@ -231,23 +235,58 @@ def mean_agreement(spark: SparkSession, d: str) -> DataFrame:
 )
 def grounding_status(spark: SparkSession, d: str) -> DataFrame:
     """Search within the hinted kinds, then once among all; the better confidence counts."""
+    return _grounding(spark, d, _asked(spark, d))
+
+
+def _grounding(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    narrow = K.confidence(K.top_k(rows, _asked(spark, d), 5, where=F.col("label").isin(1, 2, 3), order=[F.col("vec_id")])).select("query_id", F.col("confidence").alias("n"))
-    wide = K.confidence(K.top_k(rows, _asked(spark, d), 5, order=[F.col("vec_id")])).select("query_id", F.col("confidence").alias("w"))
+    narrow = K.confidence(K.top_k(rows, asked, 5, where=F.col("label").isin(1, 2, 3), order=[F.col("vec_id")])).select("query_id", F.col("confidence").alias("n"))
+    wide = K.confidence(K.top_k(rows, asked, 5, order=[F.col("vec_id")])).select("query_id", F.col("confidence").alias("w"))
     both = wide.join(narrow, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
     best = F.greatest("n", "w")
     return both.select("query_id", best.alias("confidence"), (F.col("w") > F.col("n")).alias("widened"), F.when(best >= 0.22, "grounded").otherwise("refused").alias("status"))
 
 
+def _every_20th(spark: SparkSession, d: str) -> DataFrame:
+    """The whole query set of the searches; it grows with the table. _asked() is that of their SQL, five rows."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query()
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """vector_topk for every vector whose id 20 divides."""
+    got = K.top_k(table(spark, d, "embeddings"), _every_20th(spark, d), 5, order=[F.col("vec_id")])
+    return got.select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query()
+def vector_topk_filtered_all(spark: SparkSession, d: str) -> DataFrame:
+    """vector_topk_filtered for every vector whose id 20 divides."""
+    got = K.top_k(table(spark, d, "embeddings"), _every_20th(spark, d), 5, 0.0, F.col("label").isin(1, 2, 3), [F.col("vec_id")])
+    return got.select("query_id", "vec_id", "label")
+
+
+@query()
+def mean_agreement_all(spark: SparkSession, d: str) -> DataFrame:
+    """mean_agreement for every vector whose id 20 divides."""
+    return _agreement(spark, d, _every_20th(spark, d))
+
+
+@query()
+def grounding_status_all(spark: SparkSession, d: str) -> DataFrame:
+    """grounding_status for every vector whose id 20 divides."""
+    return _grounding(spark, d, _every_20th(spark, d))
+
+
 @query()
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
-    """The sentences of the first benchmark items' nearest chunks that share most terms with the item."""
-    items = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text"), T.terms(F.col("text")).alias("asked"))
+    """The sentences of the chunks nearest to every 20th benchmark item that share most terms with the item."""
+    items = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text"), T.terms(F.col("text")).alias("asked"))
     asked = K.hashed_embedding(items.select(F.col("query_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"))
     pieces = K.chunk_documents(table(spark, d, "documents"))
     keyed = pieces.withColumn("_id", F.xxhash64("doc_id", "chunk_index"))
     vectors = K.hashed_embedding(keyed.select(F.col("_id").alias("doc_id"), F.col("chunk_text").alias("text"))).withColumnRenamed("doc_id", "_id")
-    near = K.top_k(vectors, asked, 5, 0.08, order=[F.col("_id")]).join(keyed.select("_id", "chunk_text"), "_id").join(F.broadcast(items.select("query_id", "asked")), "query_id")
+    near = K.top_k(vectors, asked, 5, 0.08, order=[F.col("_id")]).join(keyed.select("_id", "chunk_text"), "_id").join(items.select("query_id", "asked"), "query_id")
     return K.extractive_answer(near, F.col("asked")).select("query_id", "rank", "sentence", "score")
 
 
