@@ -100,6 +100,26 @@ def test_walk_is_page_rank(spark):
     assert all(abs(found.get(h, 0.0) - v) < 1e-9 for h, v in zip(hosts, r, strict=True))
 
 
+def test_distrust_reaches_deep_subdomains(spark):
+    rows = [(1, "http://bad.com/de/x", ""), (2, "http://a.b.c.d.bad.com/x", ""), (3, "http://k.l.m.fine.net/", "")]
+    got = {r.page_id: r for r in urlfilter.judge(pages(spark, rows)).collect()}
+    assert [got[i].verdict for i in (1, 2, 3)] == ["block", "block", "allow"] and got[2].distrust > 0
+
+
+def test_walk_goes_on_until_ranks_stand_still(spark):
+    hosts = [f"h{i}" for i in range(16)]
+    chain = [(a, b, 1.0) for a, b in zip(hosts, hosts[1:], strict=False)] + [(b, a, 1.0) for a, b in zip(hosts, hosts[1:], strict=False)]
+    got = urlfilter.walk(spark.createDataFrame(chain, "src string, dst string, w double"), spark.createDataFrame([("h0", 2.0)], "host string, mass double"), tolerance=1e-6)
+    m = np.zeros((16, 16))
+    for a, b, w in chain:
+        m[hosts.index(b), hosts.index(a)] = w
+    m /= m.sum(0)
+    s = np.array([2.0] + [0.0] * 15)
+    want = 0.15 * np.linalg.solve(np.eye(16) - 0.85 * m, s)
+    found = {r.host: r.rank for r in got.collect()}
+    assert set(found) == set(hosts) and all(abs(found[h] - v) < 2e-5 for h, v in zip(hosts, want, strict=True)) and found["h15"] > 0
+
+
 def test_urls_of_nothing(spark):
     assert urlfilter.judge(pages(spark, [])).count() == 0
 

@@ -8,8 +8,9 @@ against the links (who links to blocked hosts is distrusted). A host whose distr
 exceeds its trust is blocked, and so are its pages that no rule judges.
 
 Edges: links of the html, relative ones leading to their own host, and steps between a
-host and its parent domains (a link of a page of m.a.org speaks for a.org, too). All of
-it is DataFrame work; the walk carries one row a host.
+host and its direct parent domain, up to two labels, whether or not the domains between
+have pages (a link of a page of m.a.org speaks for a.org, too). All of it is DataFrame
+work; the walk carries one row a host and goes on until the ranks stand still.
 
 Nulls and edge cases: a null url, or one without ://, has an empty host and path; no rule
 fits it, it takes no part in the graph, and its verdict is the default; a null html has no
@@ -26,9 +27,9 @@ from .common import load, small, stash
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, ROUNDS = 0.85, 8
-#: Parts of a host that a page's link speaks for, at most: the host and its nearest parents.
-PARENTS = 3
+DAMPING = 0.85
+#: A walk ends when a round changes the ranks by no more than this share of the seeds' mass, all hosts together.
+TOLERANCE = 1e-4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,31 +61,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
     own = rows.groupBy("src").agg(F.sum("own").cast("double").alias("w")).select("src", F.col("src").alias("dst"), F.greatest("w", F.lit(1.0)).alias("w"))
     out = rows.select("src", F.explode("hosts").alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     both = stash(own.union(out).groupBy("src", "dst").agg(F.sum("w").alias("w")), "host_links")
+    # every suffix of two labels or more is a host of its own, and each steps to its direct parent
     parts = F.split("host", r"\.")
-    ups = F.expr(f"transform(sequence(2, greatest(2, least(size(parts) - 1, {PARENTS}))), i -> array_join(slice(parts, i, size(parts)), '.'))")
+    suffixes = F.expr("transform(sequence(1, size(parts) - 1), i -> array_join(slice(parts, i, size(parts)), '.'))")
     named = both.select(F.col("dst").alias("host")).union(both.select("src")).distinct().withColumn("parts", parts).where("size(parts) > 2")
-    up = named.select("host", F.explode(ups).alias("up"))
+    up = named.select(F.explode(suffixes).alias("host")).distinct().where(F.size(parts) > 2).select("host", F.expr("substring(host, instr(host, '.') + 1)").alias("up"))
     steps = up.select(F.col("host").alias("src"), F.col("up").alias("dst"), F.lit(1.0).alias("w")).union(up.select("up", "host", F.lit(1.0)))
     return both.union(steps).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank (host, rank) over edges(src, dst, w) from seeds(host, mass).
 
+    It goes on until a round changes the ranks, summed over the hosts, by no more than
+    tolerance times the seeds' mass, or for the given rounds. A round changes them by at most
+    2 * damping^round of that mass, so it ends, at 1e-4 after 64 rounds at the latest.
     Ranks are in units of the seeds' mass, so those of two walks can be compared.
     One row a host goes round; links are summed by host with partial sums, so that a hub
     is no hot spot. Mass of hosts without a way out is lost; every host with
     pages has one, its own links.
     """
     start = stash(seeds.where("mass > 0").groupBy("host").agg(F.sum("mass").alias("s")), "walk_start")
+    mass = start.agg(F.sum("s")).first()[0]
     out = edges.groupBy("src").agg(F.sum("w").alias("o"))
     links = stash(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("o")).alias("p")), "walk_links")
     rank = start.select("host", F.col("s").alias("rank"))
-    for i in range(rounds):
+    i = 0
+    while mass and (rounds is None or i < rounds):
+        i += 1
+        check = rounds is None and i % 4 == 0
         moved = rank.join(links, rank.host == links.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
-        rank = moved.join(start, "host", "full").select("host", (F.lit(damping) * F.coalesce("m", F.lit(0.0)) + F.lit(1 - damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if i % 2 or i == rounds - 1:
-            rank = stash(rank, "walk")
+        new = moved.join(start, "host", "full").select("host", (F.lit(damping) * F.coalesce("m", F.lit(0.0)) + F.lit(1 - damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
+        if check:
+            was = rank.select("host", F.col("rank").alias("was"))
+            new = new.join(was, "host", "full").select("host", F.coalesce("rank", F.lit(0.0)).alias("rank"), F.coalesce("was", F.lit(0.0)).alias("was"))
+        if i % 2 == 0 or i == rounds:
+            new = stash(new, "walk")
+        rank = new.select("host", "rank")
+        if check and (new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) <= tolerance * mass:
+            break
     return rank
 
 
@@ -95,11 +110,13 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, thr
     counts = rows.where("_host <> ''").groupBy("_host").agg(F.count_if(F.col("_rule.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("_rule.verdict") == "block").cast("double").alias("bad"))
     counts = stash(counts, "host_seeds")
     edges = stash(host_edges(rows.select("_host", "html")), "host_edges")
-    trust = walk(edges, counts.select(F.col("_host").alias("host"), F.col("good").alias("mass")))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    doubt = walk(back, counts.select(F.col("_host").alias("host"), F.col("bad").alias("mass")))
-    scores = trust.select("host", F.col("rank").alias("trust")).join(doubt.select("host", F.col("rank").alias("distrust")), "host", "full")
-    scores = small(stash(scores.select(F.col("host").alias("_h"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "host_scores"))
+    # both walks go as one, over two copies of the hosts: + for trust, - for distrust, against the links
+    named = lambda sign, c: F.concat(F.lit(sign), F.col(c))
+    both = edges.select(named("+", "src").alias("src"), named("+", "dst").alias("dst"), "w").union(edges.select(named("-", "dst"), named("-", "src"), "w"))
+    seeds = counts.select(named("+", "_host").alias("host"), F.col("good").alias("mass")).union(counts.select(named("-", "_host"), "bad"))
+    ranks = walk(both, seeds).groupBy(F.substring("host", 2, 1 << 30).alias("_h"))
+    of = lambda sign: F.sum(F.when(F.col("host").startswith(sign), F.col("rank")).otherwise(0.0))
+    scores = small(stash(ranks.agg(of("+").alias("trust"), of("-").alias("distrust")), "host_scores"))
     got = rows.drop("html").join(scores, F.col("_host") == F.col("_h"), "left")
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when(d - t > threshold, "block").otherwise("allow")
