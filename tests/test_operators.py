@@ -41,6 +41,18 @@ def test_chunks_sections_overlap_and_size():
     assert K.chunks("") == [] and K.chunks("tiny") == []
 
 
+def test_headings_only_are_cut_into_windows(spark):
+    text = "# Opening hours\n## Monday to Friday\n## Saturday and Sunday"
+    assert K.chunks(text) == [(None, text, 0)]
+    steps = "\n".join(f"{i}. Press the button number {i}." for i in range(1, 60))
+    parts = K.chunks(steps, 300, 60)
+    assert len(parts) > 5 and all(s is None and 25 <= len(t) <= 300 + 60 for s, t, _ in parts)
+    assert all(any(s in t for _, t, _ in parts) for s in K.split_sentences(steps))
+    assert parts[0][2] == 0 and parts[1][1].startswith(K._tail(parts[0][1], 60)) and parts[1][2] == len(parts[0][1]) - len(K._tail(parts[0][1], 60))
+    docs = spark.createDataFrame([(1, text), (2, "# A\n# B")], "doc_id long, text string")
+    assert [(r.doc_id, r.section) for r in K.chunk_documents(docs).collect()] == [(1, None)]
+
+
 def test_chunk_documents(spark):
     docs = spark.createDataFrame([(1, "# A\n" + "Some words stand here. " * 60), (2, None), (3, "")], "doc_id long, text string")
     got = K.chunk_documents(docs).collect()

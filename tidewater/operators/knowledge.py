@@ -92,7 +92,8 @@ def chunks(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[tu
 
     Units are packed up to the size; a chunk begins with the last sentences of the one
     before, which don't count against the size. A packed buffer under 25 characters isn't
-    cut off but grows into the next.
+    cut off but grows into the next. A text of headings only, or of tiny sections, is cut
+    into windows of sentences.
     """
     overlap = min(overlap, size // 2)
     out: list[tuple[str | None, str, int]] = []
@@ -111,6 +112,23 @@ def chunks(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[tu
                     carry, start, held = _tail(held, overlap), start + len(whole), ""
             if unit is not None:
                 held = f"{held}\n\n{unit}" if held else unit
+    return out or _windows(text, size, overlap)
+
+
+def _windows(text: str, size: int, overlap: int) -> list[tuple[None, str, int]]:
+    """Whole sentences up to the size, with overlap: for texts whose sections give no chunk."""
+    out: list[tuple[None, str, int]] = []
+    if len(text.strip()) < LEAST_CHUNK:
+        return out
+    held, start = "", 0
+    for s in split_sentences(text):
+        if held and len(held) + len(s) + 1 > size:
+            out.append((None, held.strip(), start))
+            carry = _tail(held, overlap)
+            start, held = start + len(held) - len(carry), carry
+        held = f"{held} {s}" if held else s
+    if len(held.strip()) >= LEAST_CHUNK:
+        out.append((None, held.strip(), start))
     return out
 
 
