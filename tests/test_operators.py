@@ -22,6 +22,29 @@ def test_window_opens_with_the_first_call(spark):
     assert [(w.start, w.n) for w in df.select(A.window_counts(F.col("t"), 60).alias("w")).first().w] == [(0, 1), (0, 2), (0, 3), (61, 1), (61, 2), (121, 1)]
 
 
+def test_window_limits_hold_no_arrays(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(u, rng.randrange(4_000) * 60) for u in (1, None, 3) for _ in range(300)] + [(2, rng.randrange(4_000) * 60) for _ in range(25_000)] + [(4, None)]
+    spark.createDataFrame(rows, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"), F.lit("click").alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+
+    def want(hours, limit):
+        out = {}
+        for user in (1, 2, None, 3, 4):
+            at, n, good, bad = None, 0, 0, 0
+            for t in sorted(s for u, s in rows if u == user and s is not None):
+                if at is None or t - at >= hours * 3_600:
+                    at, n = t, 0
+                n += 1
+                good, bad = good + (n <= limit), bad + (n > limit)
+            out[user] = (good, bad)
+        return out
+
+    for name, good, bad, expected in (("dedupe_leads_24h", "kept", "dropped", want(24, 1)), ("rate_limit_fixed", "accepted", "rejected", want(12, 2))):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert {r.user_id: (r[good], r[bad]) for r in got.collect()} == expected
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_running_number(spark):
     rows = [(k, d, i) for k in "ab" for d in range(3) for i in range(4)]
     random.Random(1).shuffle(rows)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def ordered(df: DataFrame, keys: list[str], sort: list[str], value: Column, name: str, *more: Column) -> DataFrame:
@@ -54,3 +58,38 @@ def window_counts(times: Column, width_micros: int) -> Column:
         return F.struct(at.alias("at"), n.alias("n"), F.concat(s["out"], F.array(F.struct(t.alias("t"), at.alias("start"), n.alias("n")))).alias("out"))
 
     return F.aggregate(times, start, step)["out"]
+
+
+def window_limits(df: DataFrame, key: str, time: Column, width_micros: int, limit: int) -> DataFrame:
+    """(key, accepted, rejected) of each key's rows: a window opens with the first time at or
+    after the width since the last one opened, and its first rows up to the limit are accepted.
+
+    Rows of equal key and time are counted first; then they stream by in order, and a task
+    holds one key's window and counts, however many rows the key has. Rows without a time
+    count nowhere.
+    """
+    counts = df.groupBy(F.col(key), F.unix_micros(time).alias("_t")).agg(F.count("*").alias("_n"))
+    schema = StructType([StructField(key, df.schema[key].dataType), StructField("accepted", LongType()), StructField("rejected", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, at, held, accepted, rejected = None, False, None, 0, 0, 0
+        for b in batches:
+            done = []
+            for k, t, n in zip(*(b.column(c).to_pylist() for c in (key, "_t", "_n")), strict=True):
+                if not seen or k != now:
+                    if seen:
+                        done.append((now, accepted, rejected))
+                    now, seen, at, held, accepted, rejected = k, True, None, 0, 0, 0
+                if t is None:
+                    continue
+                if at is None or t - at >= width_micros:
+                    at, held = t, 0
+                good = max(0, min(n, limit - held))
+                held, accepted, rejected = held + n, accepted + good, rejected + n - good
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], b.schema.field(key).type), *(pa.array([d[i] for d in done], pa.int64()) for i in (1, 2))], [key, "accepted", "rejected"])
+            kind = b.schema.field(key).type
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([accepted], pa.int64()), pa.array([rejected], pa.int64())], [key, "accepted", "rejected"])
+
+    return counts.repartition(key).sortWithinPartitions(key, "_t").mapInArrow(run, schema)

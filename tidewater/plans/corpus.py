@@ -327,9 +327,9 @@ def alias_prefix_match(spark: SparkSession, d: str) -> DataFrame:
 )
 def dedupe_leads_24h(spark: SparkSession, d: str) -> DataFrame:
     """Enquiries within a day of the last kept one are duplicates of it."""
-    times = table(spark, d, "events").where("event_type = 'click'").groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("times"))
-    kept = F.size(A.kept_after_gap(F.col("times"), 86_400_000_000)).cast("long")
-    return times.select("user_id", kept.alias("kept"), (F.size("times") - kept).alias("dropped"))
+    clicks = table(spark, d, "events").where("event_type = 'click'")
+    got = A.window_limits(clicks, "user_id", F.col("ts").cast("timestamp"), 86_400_000_000, 1)
+    return got.select("user_id", F.col("accepted").alias("kept"), F.col("rejected").alias("dropped"))
 
 
 @query(
@@ -340,10 +340,8 @@ def dedupe_leads_24h(spark: SparkSession, d: str) -> DataFrame:
 )
 def rate_limit_fixed(spark: SparkSession, d: str) -> DataFrame:
     """Two calls in a window that opens with a client's first call; rejected calls count, too."""
-    times = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("times"))
-    seen = times.select("user_id", A.window_counts(F.col("times"), 43_200_000_000).alias("w"))
-    rejected = F.size(F.filter("w", lambda x: x["n"] > 2)).cast("long")
-    return seen.select("user_id", rejected.alias("rejected"), (F.size("w") - rejected).alias("accepted"))
+    got = A.window_limits(table(spark, d, "events"), "user_id", F.col("ts").cast("timestamp"), 43_200_000_000, 2)
+    return got.select("user_id", "rejected", "accepted")
 
 
 @query(
