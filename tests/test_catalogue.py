@@ -41,3 +41,10 @@ def test_same_rows(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_support_queue_view_has_every_ticket(spark, db, tmp_path):
+    for t in ("customer", "orders"):
+        os.symlink(f"{DATA}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.sql("SELECT id AS event_id, id % 50 AS user_id, 'error' AS event_type, timestamp_seconds(id) AS ts, CAST(id % 60 AS DOUBLE) AS value FROM range(1000)").write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["support_queue_view"](spark, str(tmp_path)).distinct().count() == 1000

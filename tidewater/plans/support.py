@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from .registry import AS_OF, EVENTS_AS_OF, as_of, cents, days_between, moment, query, table
 
 
+def _priority() -> Column:
+    return F.when(F.col("value") >= 40, "urgent").when(F.col("value") >= 25, "high").when(F.col("value") >= 10, "medium").otherwise("low")
+
+
 @query(
     """SELECT event_id, c_name, last_order, CASE WHEN value >= 40 THEN 'urgent' WHEN value >= 25 THEN 'high' WHEN value >= 10 THEN 'medium' ELSE 'low' END AS priority
     FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last_order FROM orders GROUP BY 1) ON o_custkey = user_id
@@ -16,16 +20,29 @@ from .registry import AS_OF, EVENTS_AS_OF, as_of, cents, days_between, moment, q
 )
 def support_queue(spark: SparkSession, d: str) -> DataFrame:
     """Open tickets by rank of priority, newest first, with optional customer and order."""
-    priority = F.when(F.col("value") >= 40, "urgent").when(F.col("value") >= 25, "high").when(F.col("value") >= 10, "medium").otherwise("low")
-    tickets = table(spark, d, "events").where("event_type = 'error'").withColumn("priority", priority)
+    tickets = table(spark, d, "events").where("event_type = 'error'").withColumn("priority", _priority())
     rank = F.when(F.col("priority") == "urgent", 0).when(F.col("priority") == "high", 1).when(F.col("priority") == "medium", 2).otherwise(3)
     # the first 300 are found before anything is joined to them
     first = tickets.orderBy(rank, F.desc("ts"), "event_id").limit(300)
+    return _with_customer(spark, d, first)
+
+
+def _with_customer(spark: SparkSession, d: str, tickets: DataFrame) -> DataFrame:
     last = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last_order"))
-    both = first.join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("user_id") == F.col("c_custkey"), "left").join(last, F.col("user_id") == F.col("o_custkey"), "left")
+    both = tickets.join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("user_id") == F.col("c_custkey"), "left").join(last, F.col("user_id") == F.col("o_custkey"), "left")
     return both.select("event_id", "c_name", "last_order", "priority")
 
 
+@query(
+    """SELECT event_id, c_name, last_order, CASE WHEN value >= 40 THEN 'urgent' WHEN value >= 25 THEN 'high' WHEN value >= 10 THEN 'medium' ELSE 'low' END AS priority
+    FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last_order FROM orders GROUP BY 1) ON o_custkey = user_id
+    WHERE event_type = 'error'"""
+)
+def support_queue_view(spark: SparkSession, d: str) -> DataFrame:
+    """Every ticket with optional customer and order; support_queue is its ranked head."""
+    return _with_customer(spark, d, table(spark, d, "events").where("event_type = 'error'").withColumn("priority", _priority()))
+
+
 @query("SELECT conv_id, count(*) AS n_turns, string_agg(role || ':' || CAST(length(text) AS VARCHAR), '|' ORDER BY turn, role, text) AS turns FROM conversations GROUP BY 1")
 def conversation_transcript(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")
