@@ -66,6 +66,22 @@ def test_contexts_find_more(spark):
     assert got[100] == [(12, 3, 24)] and got[101] == [] and got[102] == []
 
 
+def test_contexts_find_what_base_patterns_miss(spark):
+    rows = [(i, f"Please call +1 555 010 {1000 + i} today") for i in range(30)] + [(100 + i, f"kindly write to user{i}@h{i}.example.org soon") for i in range(30)]
+    rows += [(200 + i, f"Tel:+49 30 5550{100 + i}") for i in range(8)] + [(300 + i, f"+49 40 6660{100 + i} anrufen") for i in range(8)]
+    rows += [(400 + i, f"seen on +49 50 7770{100 + i}.") for i in range(6)] + [(450 + i, f"seen on 2024-10-{10 + i}.") for i in range(6)]
+    # many unlabelled numbers are no reason to distrust "call"
+    rows += [(500 + i, f"Please call 0171 555 {1000 + i} today") for i in range(20)]
+    hidden = {600: ("kindly write to ", "root@localhost", "email"), 601: ("kindly write to ", "jane(at)host.com", "email"), 602: ("Please call ", "(555) 123-4567", "phone"), 603: ("Tel:", "5550102000", "phone"), 604: ("", "0171 555 0199", "phone"), 605: ("Please call ", "0171 555 0199", "phone")}
+    rows += [(i, before + what + (" anrufen" if i == 604 else " today" if i in (602, 605) else " soon" if i < 602 else "")) for i, (before, what, _) in hidden.items()]
+    rows += [(700, "seen on 0171 555 0199."), (701, "Please call root@localhost today"), (702, "in 2019 2020 2021 all was well")]
+    got = {r.doc_id: r for r in pii.extract(docs(spark, rows)).collect()}
+    for i, (before, what, kind) in hidden.items():
+        assert [tuple(s) for s in got[i]._spans] == [(len(before), pii.KINDS.index(kind), len(before) + len(what))], (i, got[i])
+    assert all(len(got[500 + i]._spans) == 1 for i in range(20))
+    assert [list(got[i]._spans) for i in (700, 701, 702)] == [[], [], []]
+
+
 def test_redaction_and_odd_tables(spark):
     rows = docs(spark, [(1, "é mail a@b.co, ip 10.0.0.1."), (2, "none"), *ODD])
     got = {r.doc_id: r.t for r in pii.extract(rows).select("doc_id", pii.redact(F.col("text"), F.col("_spans")).alias("t")).where("doc_id < 3").collect()}

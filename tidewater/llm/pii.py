@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns (email, ip, card, phone) find the seeds. Seeds induce lexical patterns: the
-word before and the word after them. A pattern-instance graph holds every token that looks
+word before, the word after, and both. A pattern-instance graph holds every token that looks
 like an identifier together with its patterns; its edges are scored in rounds: a pattern by
-the share of known instances among those it meets, an instance by the patterns that point
+the share of known instances among those it meets that are of another kind or look like
+another, an instance by the patterns that point
 to it, both counted over all documents. Tokens met by high-confidence patterns are new
 spans of the kind of the pattern's seeds. Base spans stay as they are. All of it is
 DataFrame work; texts are not shuffled.
@@ -32,8 +33,17 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-#: A token that may be an identifier: at least six characters, four of them digits.
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{6,64}(?![^\x20\x09-\x0D]))(?=(?:[^\x20\x09-\x0D0-9]*+[0-9]){4})[A-Za-z0-9+(][A-Za-z0-9@._()+/-]*[A-Za-z0-9]"
+#: What may be an identifier: emails without a top domain or written out, digits in groups, and
+#: other tokens of at least six characters, four of them digits, behind white space, : or =.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9-]{1,64}+(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z0-9-]{1,64}+)*+"
+DIGITS = r"(?<![A-Za-z0-9@_%+])[+(]?[0-9]{1,19}+(?:(?:\)[\x20./-]?\(?|[\x20./-]\(?|\()[0-9]{1,19}+){0,9}+(?![A-Za-z0-9@_%])"
+TOKEN = r"(?<![^\x20\x09-\x0D:=])(?=[^\x20\x09-\x0D:=]{6,64}(?![^\x20\x09-\x0D:=]))(?=(?:[^\x20\x09-\x0D:=0-9]*+[0-9]){4})[A-Za-z0-9+(][A-Za-z0-9@._()+/-]*[A-Za-z0-9]"
+CANDIDATE = f"{MAIL}|{DIGITS}|{TOKEN}"
+#: What a text must hold to have one.
+MAYBE = r"[0-9][^\x20\x09-\x0D]*[0-9]|[0-9][\x20)(./-]{1,3}[0-9]|@|[(\[](?i:at)[)\]]"
+DATE = r"^\(?(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})$"
+#: Bit of a candidate that a trusted pattern of any kind makes a span, though it looks like none.
+ANY = 1 << 4
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: A pattern needs so many known instances, and so high a share of them.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 2
@@ -99,11 +109,29 @@ def _word_after(text: Column, end: Column) -> Column:
     return F.lower(F.regexp_extract(F.substring(text, end + 1, F.lit(40)), r"^[^\p{L}0-9]{0,3}([\p{L}]{1,24})", 1))
 
 
+def _may(token: Column) -> Column:
+    """Bits of the kinds that a token without a kind looks like, and ANY; null if it is no candidate.
+
+    A date speaks against a pattern and never is a span.
+    """
+    n = F.length(F.regexp_replace(token, "[^0-9]", ""))
+    email, ip, card, phone = (F.lit(1 << k) for k in range(len(KINDS)))
+    whole = F.when((F.length(token) >= 6) & ~token.contains(" "), F.lit(ANY)).otherwise(F.lit(0))
+    digits = F.when(n.between(12, 15), card.bitwiseOR(phone)).when(n.between(7, 11), phone).when(n.between(16, 19), card).otherwise(F.lit(0))
+    number = token.rlike(r"^[+(]?[0-9][0-9\x20()./-]*$")
+    return F.when(token.rlike(f"^(?:{MAIL})$"), email).when(n < 4, F.lit(None).cast("int")).when(token.rlike(DATE), F.lit(0)).when(number, digits.bitwiseOR(whole)).otherwise(whole)
+
+
+def _fits() -> Column:
+    """A candidate may get the kind k: it looks like it, or is a token of no look at all."""
+    return F.expr(f"(may & (shiftleft(1, k) | {ANY})) <> 0")
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """(_row, start, end, token, kind, pattern): tokens like identifiers with each of their patterns.
+    """(_row, start, end, token, kind, may, pattern): tokens like identifiers with each of their patterns.
 
-    kind is that of the base span, else null. A pattern is the words on both sides, or the
-    word before alone where that is near.
+    kind is that of the base span, else null, and then may says which it looks like. A
+    pattern is the words on both sides, or the word before or after alone where that is near.
     """
     t = F.col("text")
 
@@ -112,35 +140,40 @@ def candidates(rows: DataFrame) -> DataFrame:
         return F.struct(start.alias("start"), end.alias("end"), F.lower(token).alias("token"), kind.alias("kind"), _word_before(t, start).alias("b"), _word_after(t, end).alias("a"))
 
     base = F.transform("_base", lambda s: one(s["start"], s["end"], F.substring(t, s["start"] + 1, s["end"] - s["start"]), s["kind"]))
-    tokens = F.when(t.rlike(r"[0-9][^\x20\x09-\x0D]*[0-9]"), matches(t, TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    tokens = F.when(t.rlike(MAYBE), matches(t, CANDIDATE)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
     free = F.filter(tokens, lambda m: ~F.exists("_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     other = F.transform(free, lambda m: one(m["start"], m["end"], m["match"], F.lit(None).cast("int")))
     both = rows.select("_row", F.explode(F.concat(base, other)).alias("m")).select("_row", "m.*")
-    patterns = F.filter(F.array(F.when(F.col("b") != "", F.concat(F.lit("b:"), "b")), F.when((F.col("b") != "") & (F.col("a") != ""), F.concat(F.lit("ba:"), "b", F.lit(" "), "a"))), lambda p: p.isNotNull())
-    return both.select("_row", "start", "end", "token", "kind", F.explode(patterns).alias("pattern"))
+    both = both.withColumn("may", F.when(F.col("kind").isNull(), _may(F.col("token")))).where("kind is not null or may is not null")
+    b, a = F.col("b"), F.col("a")
+    patterns = F.filter(F.array(F.when(b != "", F.concat(F.lit("b:"), b)), F.when(a != "", F.concat(F.lit("a:"), a)), F.when((b != "") & (a != ""), F.concat(F.lit("ba:"), b, F.lit(" "), a))), lambda p: p.isNotNull())
+    return both.select("_row", "start", "end", "token", "kind", "may", F.explode(patterns).alias("pattern"))
 
 
 def learn(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, score) of the patterns to trust, from candidates().
 
     The graph has one edge a (pattern, token). Known tokens score 1; in each round patterns
-    get the mean score of their tokens and are trusted from `confidence` on, with `support`
+    get the mean score of their tokens, leaving out those without a kind that look like the
+    pattern's (they count neither for nor against it), and are trusted from `confidence` on, with `support`
     tokens at least; tokens then get the best score of a trusted pattern.
     """
-    edges = stash(found.groupBy("pattern", "token").agg(F.max("kind").alias("kind"), F.count("*").alias("n")), "pii_edges")
-    state = edges.select("pattern", "token", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score"))
+    edges = stash(found.groupBy("pattern", "token").agg(F.max("kind").alias("kind"), F.max("may").alias("may"), F.count("*").alias("n")), "pii_edges")
+    state = edges.select("pattern", "token", "kind", "may", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score"))
     for i in range(rounds):
-        sums = state.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
+        each = []
+        for k in range(len(KINDS)):
+            open_ = F.col("kind").isNull() & (F.col("may").bitwiseAND(F.lit(1 << k)) != 0)
+            each.append(F.struct(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias("s"), F.lit(k).alias("k"), F.count_if(~F.coalesce(open_, F.lit(False))).alias("n")))
         # a pattern belongs to the kind that most of its tokens' score has
-        per = sums.groupBy("pattern").agg(F.max(F.struct("s", F.col("kind").alias("k"))).alias("best"), F.sum("n").alias("n"))
-        trusted = per.where((F.col("best.s") >= support) & (F.col("best.s") >= confidence * F.col("n")) & F.col("best.k").isNotNull())
-        trusted = stash(trusted.select("pattern", F.col("best.k").alias("k"), (F.col("best.s") / F.col("n")).alias("p")), "pii_trusted")
+        per = state.groupBy("pattern").agg(F.greatest(*each).alias("best"))
+        trusted = per.where((F.col("best.s") >= support) & (F.col("best.s") >= confidence * F.col("best.n")))
+        trusted = stash(trusted.select("pattern", F.col("best.k").alias("k"), (F.col("best.s") / F.col("best.n")).alias("p")), "pii_trusted")
         if i == rounds - 1:
             break
-        lifted = state.join(small(trusted), "pattern", "left").groupBy("token").agg(F.max(F.struct("p", "k")).alias("up"))
-        lifted = lifted.where("up.p is not null").select("token", "up")
+        lifted = state.where("kind is null").join(small(trusted), "pattern").where(_fits()).groupBy("token").agg(F.max(F.struct("p", "k")).alias("up"))
         got = state.join(lifted, "token", "left")
-        state = stash(got.select("pattern", "token", F.coalesce("kind", F.col("up.k")).alias("kind"), F.greatest("score", F.coalesce(F.col("up.p"), F.lit(0.0))).alias("score")), "pii_state")
+        state = stash(got.select("pattern", "token", F.coalesce("kind", F.col("up.k")).alias("kind"), "may", F.when(F.col("kind").isNull(), F.greatest("score", F.coalesce(F.col("up.p"), F.lit(0.0)))).otherwise(F.col("score")).alias("score")), "pii_state")
     return trusted.select("pattern", F.col("k").alias("kind"), F.col("p").alias("score"))
 
 
@@ -150,7 +183,7 @@ def extract(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDE
     found = stash(candidates(marked.select("_row", "text", "_base")), "pii_found")
     trusted = small(learn(found, support, confidence, rounds))
     # equal rows have the same spans, so the row's hash stands for them
-    more = found.where("kind is null").drop("kind").join(trusted, "pattern").groupBy("_row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    more = found.where("kind is null").drop("kind").join(trusted.withColumn("k", F.col("kind")), "pattern").where(_fits()).groupBy("_row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     new = more.groupBy("_row").agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("_new"))
     new = small(stash(new, "pii_new"))
     got = marked.join(new, "_row", "left")
