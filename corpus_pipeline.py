@@ -6,8 +6,9 @@ so their names can't clash.
 
 Nulls and edge cases: a null text is read as an empty one by every stage, and becomes one in
 the stage pii; a row with a null doc_id is never a near copy and stays; a null source is a
-source of its own; repeated rows are judged alike, and rows that share a doc_id share the
-decision of near_dedup and, with equal size, of mix; an empty table stays empty.
+source of its own; repeated rows are near copies of each other; rows that share a doc_id but
+not their text are judged apart by near_dedup, and, with equal size, alike by mix; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    judged = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = small(stash(judged.where("not kept").select("doc_id").distinct(), "gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies (five-word shingles, similarity 0.8) one row of the smallest doc_id stays."""
+    # numbered before it is read twice, so that the numbers hold
+    docs = stash(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    judged = stash(neardup.near_duplicates(docs.select("doc_id", "text", "_row")).where("_group is not null").select("doc_id", "_row", "_group"), "judged")
+    first = judged.groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("_group", "first._row")
+    gone = judged.join(small(stash(first.withColumnRenamed("_row", "_first"), "first")), "_group").where("_row <> _first").select("_row")
+    return docs.join(small(stash(gone, "gone")), "_row", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,13 @@ def test_stages_on_odd_tables(spark, small_corpus, name):
     # copies of one class leave their smallest id, which here is the same
     assert set(ids) == {1, 2, 3, 4, None} or name == "mix"
     assert stage(spark, odd.limit(0), small_corpus[0]).count() == 0
+
+
+def test_near_dedup_judges_rows_not_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (4, c), (1, b + " else"), (None, a), (5, ""), (5, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, table, "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (1, b + " else"), (3, c), (None, a), (5, ""), (5, "")], key=repr)

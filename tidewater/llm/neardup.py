@@ -110,7 +110,11 @@ def _class(sets: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, v, regs, bands): number of shingles, class of the set, registers and band keys."""
+    """(doc_id, n, v, regs, bands): number of shingles, class of the set, registers and band keys.
+
+    A column _row (long) is carried along.
+    """
+    more = [c for c in docs.columns if c == "_row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -125,10 +129,10 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     v.append(_class(s))
                     regs.append(r.tobytes())
                     bands.append(band_keys(r) if len(s) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "v", "regs", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(part.column(c) for c in more)], ["doc_id", "n", "v", "regs", "bands", *more])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, v long, regs binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return rows.mapInArrow(run, "doc_id long, n long, v long, regs binary, bands array<long>" + "".join(f", {c} long" for c in more))
 
 
 class _Forest:
@@ -295,7 +299,11 @@ def links(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+
+    With a column _row (long) in docs, also _row and _group, which tells components apart
+    even if they share their smallest doc_id; it is null where a row takes part in nothing.
+    """
     signed = stash(signatures(docs, k), "nd_signatures")
     real = signed.where("n > 0 and doc_id is not null")
     classes = stash(real.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nd_classes")
@@ -307,14 +315,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = THRESHOLD)
     families = stash(family.join(sizes, "fam").join(named, "v").select("doc_id", "v", "fam", "m"), "nd_members")
     found = components(stash(links(docs, families, k, percent), "nd_links"), "nd_components")
     least = stash(found.join(named, "v").groupBy("c").agg(F.min("doc_id").alias("component_id")), "nd_least")
-    of = found.join(small(least), "c").select("v", "component_id")
+    of = found.join(small(least), "c").select("v", "component_id", "c")
     many = classes.where("copies > 1").select("v", F.col("doc_id").alias("own"))
-    of = of.join(many, "v", "full").select("v", F.least("component_id", "own").alias("component_id"))
+    of = of.join(many, "v", "full").select("v", F.least("component_id", "own").alias("component_id"), F.coalesce("c", "v").alias("c"))
     of = small(stash(of, "nd_of"))
     # a class without an entry is one document that is linked with none
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("v")).alias("v")).join(of, "v", "left")
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("v")).alias("v"), *[c for c in signed.columns if c == "_row"]).join(of, "v", "left")
     rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    more = ["_row", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "v")).alias("_group")] if "_row" in docs.columns else []
+    return rows.select("doc_id", "n_shingles", "component_id", *more, F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
