@@ -11,12 +11,21 @@ import pytest
 from tidewater.llm import mixing, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, target double, _key string"
+INTERNAL = "_key _size _source _source_size _target _at _cut _left _alike _copies _part _taken _row _fine _s _budget _epochs _has _before _n target".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int" + "".join(f", {c} string" for c in INTERNAL)
 
 
 def docs(spark, rows):
     """rows: (doc_id, text, source); the other columns clash with names that operators use."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 7, 1.0, "k") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 7, *(f"own {c}" for c in INTERNAL)) for i, t, s in rows], DOCS)
+
+
+def brute_quality(t):
+    if t is None:
+        return 0.05
+    words = WORD.findall(t)
+    plain = 1.0 - 4.0 * sum(c in "#$%&*!|<>{}[]=+_~^@\\/" for c in t) / max(len(t), 1)
+    return max(0.1, plain) * max(0.5, min(1.0, 2.0 * len(set(words)) / max(len(words), 1)))
 
 
 def brute_mix(rows):
@@ -39,38 +48,60 @@ def brute_mix(rows):
     for s in names:
         epochs = int(target[s] // total[s]) if total[s] else 0
         budget, done = target[s] - epochs * total[s], 0
-        mine = []
+        mine = Counter()
         for i, t, x in rows:
             if x == s:
-                n = size(t)
-                mean = len(t or "") / max(n, 1)
-                q = 0.1 if t is None else max(0.1, min(1.0, mean / 3.0, 15.0 / max(mean, 1.0)))
                 u = (int(md5(f"0:{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                mine.append((-math.log(u) / q, -1 if i is None else i, n))
-        for _, i, n in sorted(mine):
-            done += n
-            out[i] = (n, total[s], target[s], n * (epochs + (budget > 0 and 2 * done - n <= 2 * budget)))
+                mine[-math.log(u) / brute_quality(t), -1 if i is None else i, size(t)] += 1
+        for (_, i, n), same in sorted(mine.items()):
+            here = min(n * same, max(0, round(budget - done + 1e-9)))
+            done += n * same
+            out[i, n] = (n, total[s], target[s], n * epochs + (n if done <= budget else here // same if done - n * same <= budget else 0))
     return out
 
 
-def test_mix_is_what_brute_force_gives(spark):
-    rows = [(i, "w " * (i * 7 % 23), f"s{i % 5}" if i % 11 else None) for i in range(300)] + [(300, None, "s1"), (301, "", "tiny"), (302, "one", "tiny")]
+@pytest.mark.parametrize("few, buckets", [(2_000, 1 << 10), (1, 4)])
+def test_mix_is_what_brute_force_gives(spark, monkeypatch, few, buckets):
+    """With small limits the steps are narrowed many times."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "BUCKETS", buckets)
+    rows = [(i, " ".join("w#$"[: 1 + (i * k) % 3] for k in range(i * 7 % 23)), f"s{i % 5}" if i % 11 else None) for i in range(300 if few > 1 else 60)]
+    rows += [(1_300, None, "s1"), (1_301, "", "tiny"), (1_302, "one", "tiny"), (1_303, "word " * 5_000, "s3"), (None, "a b c", "s2"), (1_304, "twice it is", "s4"), (1_304, "twice it is", "s4")]
     got = mixing.mix(docs(spark, rows)).collect()
     want = brute_mix(rows)
     assert len(got) == len(rows)
-    for r in got:
-        n, s, t, k = want[r.doc_id]
-        assert (r._size, r._source_size, r._size * r._copies) == (n, s, k) and r._target == pytest.approx(t)
     by = defaultdict(lambda: [0, 0.0, 0])
     for r in got:
-        by[r.source] = [by[r.source][0] + r._size * r._copies, r._target, max(by[r.source][2], r._size)]
-    assert all(abs(a - t) <= m for a, t, m in by.values())
+        n, s, t, k = want[-1 if r.doc_id is None else r.doc_id, r._size]
+        assert (r._size, r._source_size, r._taken) == (n, s, k) and r._target == pytest.approx(t)
+        assert r._taken == r._size * r._copies + r._part <= 3 * r._size and r._key == "own _key"
+        by[r.source] = [by[r.source][0] + r._taken, r._target, 0]
+    # the document in which the budget ends is cut, so every source comes within a word of its target
+    assert all(abs(a - t) <= 1 for a, t, _ in by.values())
+
+
+def test_mix_prefers_prose(spark):
+    """Keys are scaled by quality: of equally many, prose is taken more often than symbols."""
+    rows = [(i, ("the quick fox jumps over a lazy dog" if i % 2 else "## $$ %% && ** !! || <<"), "big") for i in range(2_000)] + [(5_000, "x " * 4_000, "cap")]
+    got = mixing.mix(docs(spark, rows), weights=(1, 1)).collect()
+    taken = [sum(r._taken for r in got if r.source == "big" and r.doc_id % 2 == k) for k in (0, 1)]
+    assert sum(taken) < 16_000 and taken[1] > 2 * taken[0]
+
+
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["one two  three", " lead\tand trail \n", "é\u00a0x y", "one", ""]
+    for n in (1, 2, 9):
+        got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.first_words(F.col("text"), F.lit(n)).alias("t")).collect()]
+        for t, g in zip(texts, got, strict=True):
+            assert t.startswith(g) and WORD.findall(g) == WORD.findall(t)[:n]
 
 
 def test_mix_odd_tables(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     same = mixing.mix(docs(spark, [(1, "a b", "x")] * 5 + [(None, None, None)])).collect()
-    assert len(same) == 6 and len({r._copies for r in same if r.doc_id == 1}) == 1
+    assert len(same) == 6 and len({(r._copies, r._part) for r in same if r.doc_id == 1}) == 1
     blank = mixing.mix(docs(spark, [(1, "", "x"), (2, None, "x")])).collect()
     assert [r._target for r in blank] == [0.0, 0.0]
 

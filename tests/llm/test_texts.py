@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import common, fingerprints, neardup, pieces, pii, toxicity
 
-DOCS = "doc_id long, text string, toxic string, start int, v long, fam long"
+#: Names that operators use for columns of their own.
+CLASH = "toxic severity start end kind pattern token may score best k p up b a v n h1 h2 fam m c regs bands key _row _id _of _new _base _spans _group _part _own _to ids n_pieces table".split()
+DOCS = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASH)
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, *(f"own {c}" for c in CLASH)) for i, t in rows], DOCS)
 
 
 ODD = [(1, None), (2, ""), (None, "some text here"), (None, None), (3, " \t\n"), (4, "word " * 30_000), (5, "a"), (5, "a"), (6, "é😀 ü \u00a0x"), (7, "x" * 50_000)]
@@ -82,12 +84,40 @@ def test_contexts_find_what_base_patterns_miss(spark):
     assert [list(got[i]._spans) for i in (700, 701, 702)] == [[], [], []]
 
 
+def test_discovery_is_precise(spark):
+    """Identifiers planted in 1,500 texts, some out of the base patterns' reach, among decoys."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "ba ce di fo gu ha ke".split() for b in "lan mer nis tor vun".split()]
+    number = lambda: f"0{rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+    mail = lambda: f"{rng.choice(words)}{rng.randint(1, 99)}"
+    known = {"phone": lambda: f"+49 30 {rng.randint(1000000, 9999999)}", "email": lambda: f"{mail()}@{rng.choice(words)}.org"}
+    unseen = {"phone": number, "email": lambda: f"{mail()}(at){rng.choice(words)}.org"}
+    around = {"phone": ["call {} today", "phone {} please", "reach me on {}"], "email": ["write to {} soon", "mail {} please", "contact {} or"]}
+    rows, planted, decoys = [], set(), 0
+    for i in range(1_500):
+        text = " ".join(rng.choice(words) for _ in range(20))
+        kind, how = rng.choice(["phone", "email"]), rng.random()
+        if how < 0.5:
+            what = (known if how < 0.35 else unseen)[kind]()
+            text += " " + rng.choice(around[kind]).format(what)
+            if how >= 0.35:
+                planted.add((i, pii.KINDS.index(kind), text.index(what), text.index(what) + len(what)))
+        elif how < 0.7:
+            decoys += 1
+            text += f" {rng.choice(words)} " + rng.choice(["2023-04-17", f"{rng.randint(10**8, 10**9)}", number(), f"rev{rng.randint(10000, 99999)}"]) + f" {rng.choice(words)}"
+        rows.append((i, text + " " + " ".join(rng.choice(words) for _ in range(10))))
+    new = {(r.doc_id, s["kind"], s["start"], s["end"]) for r in pii.extract(docs(spark, rows)).collect() for s in r._spans if s not in r._base}
+    assert len(planted) > 150 and decoys > 200
+    assert len(new & planted) >= 0.9 * len(planted) and len(new & planted) >= 0.95 * len(new)
+
+
 def test_redaction_and_odd_tables(spark):
     rows = docs(spark, [(1, "é mail a@b.co, ip 10.0.0.1."), (2, "none"), *ODD])
     got = {r.doc_id: r.t for r in pii.extract(rows).select("doc_id", pii.redact(F.col("text"), F.col("_spans")).alias("t")).where("doc_id < 3").collect()}
     assert got[1] in ("é mail <email>, ip <ip>.", "")
     assert pii.extract(docs(spark, ODD)).count() == len(ODD)
     assert pii.extract(docs(spark, [])).count() == 0
+    assert pii.extract(docs(spark, [(1, None)])).drop("doc_id", "text", "_base", "_spans").first().asDict() == {c: f"own {c}" for c in CLASH if c not in pii.MADE}
     one = pii.extract(docs(spark, [(1, "é mail a@b.co, ip 10.0.0.1.")])).select(pii.redact(F.col("text"), F.col("_spans")).alias("t"))
     assert one.first().t == "é mail <email>, ip <ip>."
 
@@ -116,20 +146,73 @@ def test_toxicity_on_held_out_rows(spark):
     table = docs(spark, rows)
     model = toxicity.fit(table, spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int"))
     assert model.thresholds == sorted(model.thresholds) and len(model.thresholds) == 2
-    got = {r.doc_id: r for r in toxicity.score(table.select("doc_id", "text"), model).collect()}
+    got = {r.doc_id: r for r in toxicity.score(table, model).collect()}
     held = range(300, 400)
     assert np.mean([got[i].toxic == (i % 4 == 0) for i in held]) > 0.97
     assert all(0 <= got[i].severity <= 2 for i in held)
     assert model.severity("ZORK! zork blarg fnord") > model.severity("wab")
 
 
+def brute_fit(rows, labels, prefix=4, ridge=1.0, steps=300):
+    """The same model, written with dense matrices and plain Python: (weights, thresholds, cut)."""
+    import math
+
+    label = {i: t for i, _, t in labels}
+    used = sorted((i, t, label[i]) for i, t in rows if i in label)
+
+    def found(t):
+        words = set(re.findall(r"[^\W\d_]+", t.lower()))
+        return words | {w[:k] + "*" for w in words for k in range(prefix, len(w)) if k < prefix + 3}
+
+    sets = [found(t) for _, t, _ in used]
+    y = np.array([t for _, _, t in used])
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    names = []
+    for f in sorted(set().union(*sets)):
+        pos, n = sum(t for s, t in zip(sets, y, strict=True) if f in s), sum(f in s for s in sets)
+        odds = math.log((pos + 0.5) / (n1 + 1)) - math.log((n - pos + 0.5) / (n0 + 1))
+        share = n1 / (n1 + n0)
+        ratio = 2 * ((pos * math.log(pos / (n * share)) if pos else 0) + ((n - pos) * math.log((n - pos) / (n * (1 - share))) if n > pos else 0))
+        if n >= 3 and odds >= 1.5 and ratio >= 16:
+            names.append(f)
+    x = np.array([[float(f in s) for f in names] for s in sets])
+    density = x.sum(1) / np.array([max(1, len(s)) for s in sets])
+    grade = y + (y * (density >= np.median(density[y == 1])))
+    out = np.arange(len(y)) % 5 == 4
+    xs, gs = x[~out], grade[~out]
+    each = np.where(gs > 0, 0.5 / (gs > 0).sum(), 0.5 / (gs == 0).sum())
+    w, t, vw, vt = np.zeros(len(names)), np.array([0.0, 1.0]), 0, 0
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(steps):
+        aw, at = w + 0.9 * vw, t + 0.9 * vt
+        gap = [(sigmoid(xs @ aw - at[j]) - (gs > j)) * each for j in (0, 1)]
+        vw = 0.9 * vw - 0.5 * (xs.T @ (gap[0] + gap[1]) + ridge / len(xs) * aw)
+        vt = 0.9 * vt + 0.5 * np.array([g.sum() for g in gap])
+        w, t = w + vw, np.maximum.accumulate(t + vt)
+    expected = lambda z: sum(sigmoid(z - t[j]) for j in (0, 1))
+    grid = np.linspace(0.1, 1.2, 45)
+    right = [float(((expected(x[out] @ w) >= c) == y[out]).mean()) for c in grid]
+    cut = max(float(np.median([c for c, g in zip(grid, right, strict=True) if g == max(right)])), 1.01 * expected(np.zeros(1))[0])
+    return dict(zip(names, w, strict=True)), t, cut, lambda text: float(expected(sum(wt for f, wt in zip(names, w, strict=True) if f in found(text))))
+
+
+def test_toxicity_is_what_brute_force_gives(spark):
+    rows, labels = corpus(300)
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels[:250], "doc_id long, quality int, toxic int"))
+    weights, thresholds, cut, severity = brute_fit(rows, labels[:250])
+    assert model.cut == pytest.approx(cut) and model.thresholds == pytest.approx(list(thresholds))
+    assert model.weights == pytest.approx({f: w for f, w in weights.items() if abs(w) > 1e-4})
+    for r in toxicity.score(docs(spark, rows), model).collect():
+        assert r.severity == pytest.approx(severity(rows[r.doc_id][1])) and r.toxic == (r.severity >= cut) and r.kind == "own kind"
+
+
 def test_toxicity_odd_tables(spark):
     rows, labels = corpus(80)
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs(spark, rows), labels)
-    assert toxicity.score(docs(spark, ODD).select("doc_id", "text"), model).count() == len(ODD)
+    assert toxicity.score(docs(spark, ODD), model).count() == len(ODD)
     nothing = toxicity.fit(docs(spark, []), labels)
-    assert [r.toxic for r in toxicity.score(docs(spark, [(1, "zork")]).select("doc_id", "text"), nothing).collect()] == [False]
+    assert [r.toxic for r in toxicity.score(docs(spark, [(1, "zork")]), nothing).collect()] == [False]
     assert not toxicity.fit(docs(spark, rows), labels.limit(0)).thresholds
 
 

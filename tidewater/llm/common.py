@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lookup tables up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: Vertices with more edges are hubs, whose edges are joined in so many parts.
+HUB, SALT = 100_000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir.
 
-    Only where the session has none (as in tests) is a folder of its own set.
+    Only where the session has none and runs on one machine (as in tests) is a folder of its
+    own set; on a cluster that is an error, as executors couldn't see it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -36,7 +41,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back.stashed_at = at
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def apart(docs: DataFrame, made: tuple[str, ...], *read: str) -> tuple[DataFrame, list[Column]]:
+    """docs as one struct column beside the columns that an operator reads, and what selects the struct's fields again.
+
+    An operator's own columns can't clash with fields of the struct. Columns that the
+    operator makes take the place of the table's columns of the same name.
+    """
+    names = [c for c in docs.columns if c not in made]
+    packed = docs.select(*[F.col(f"`{c}`").alias(c) for c in read], F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    return packed, [F.col("_row").getField(c).alias(c) for c in names]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,17 +82,30 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges(a, b): (v, c), c the smallest vertex reachable.
 
     Minimum labels travel over edges, then each label jumps to its label's label, until
-    nothing changes. All of it is grouped by vertex with partial sums, so hubs are no hot
-    spot. Vertices without an edge don't appear.
+    nothing changes. All of it is grouped by vertex with partial sums. Edges that end in a
+    hub (a vertex with more than HUB edges) are joined in SALT parts, and of the labels only
+    those that have a smaller one themselves are looked up, so that neither a hub nor the
+    label of a giant component is a hot key. Vertices without an edge don't appear. Tables
+    of earlier rounds are deleted.
     """
     both = stash(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), name)
-    lab = stash(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), name)
+    hubs = stash(both.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(F.col("b").alias("hub")), name)
+    salt = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("a"), F.lit(SALT))).otherwise(-1)
+    salted = stash(both.join(small(hubs), F.col("b") == F.col("hub"), "left").select("a", "b", salt.cast("long").alias("s")), name)
+    discard(both)
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
+    held = stash(salted.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), name)
     while True:
-        seen = both.join(lab.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        near = lab.join(seen, "v").select("v", "c", F.least("c", "m").alias("n"))
-        near = stash(near, name)
-        jump = near.select(F.col("v").alias("n"), F.col("n").alias("up"))
-        new = stash(near.join(jump, "n", "left").select("v", F.least("n", F.coalesce("up", "n")).alias("c"), F.col("c").alias("was")), name)
+        lab = held.select("v", "c")
+        own = lab.select(F.col("v").alias("b"), "c", F.lit(-1).cast("long").alias("s"))
+        offered = own.union(own.join(hubs, F.col("b") == F.col("hub"), "left_semi").select("b", "c", salts.alias("s")))
+        seen = salted.join(offered, ["b", "s"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
+        near = stash(lab.join(seen, "v").select("v", "c", F.least("c", "m").alias("n")), name)
+        on = near.where("n <> v").select(F.col("v").alias("n"), F.col("n").alias("up")).join(near.select("n").distinct(), "n", "left_semi")
+        on = stash(on, name)
+        new = stash(near.join(small(on), "n", "left").select("v", F.least("n", F.coalesce("up", "n")).alias("c"), F.col("c").alias("was")), name)
+        discard(held, near, on)
         if not new.where("c <> was").limit(1).count():
+            discard(salted, hubs)
             return new.select("v", "c")
-        lab = new.select("v", "c")
+        held = new

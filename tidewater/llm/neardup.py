@@ -3,7 +3,8 @@
 1. A pass over the texts gives each document its number of shingles, a digest of the set
    and HyperMinHash registers: for each of 96 hash functions the leading-zero count of the
    smallest hash and 10 mantissa bits after it, 16 bits together.
-2. Equal sets are one class; only its representative goes on, so copies cost one row each.
+2. Equal sets (by a digest of 128 bits) are one class; only its representative goes on, so
+   copies cost one row each.
 3. Bands of four compressed registers are keys. Within a bucket, pairs whose Jaccard
    estimate (corrected for chance collisions of registers) may reach the threshold are
    candidates. Buckets above PAIR_BUCKET members are compared in pairs of blocks inside
@@ -21,7 +22,9 @@ texts sent, in tasks of at most two blocks.
 Nulls and edge cases: a null or empty text, or one without words, has no shingles and is
 linked with nothing; a null doc_id takes part in nothing, has a null component and is kept;
 rows with equal doc_id are separate texts with a common id; repeated rows are one class;
-an empty table gives an empty result; other columns are left alone.
+a very long text is read whole, its registers in slices; of equal smallest ids either row
+may stand for the class, with the same result; an empty table gives an empty result; the
+result has the named columns only, whatever others the table has.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, load, small, stash
@@ -105,34 +108,36 @@ def estimate(same: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (same / REGISTERS - by_chance) / (1 - by_chance)
 
 
-def _class(sets: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "big", signed=True)
+def _class(sets: np.ndarray) -> tuple[int, int]:
+    """A digest of 128 bits, as two numbers."""
+    h = hashlib.blake2b(sets.tobytes(), digest_size=16).digest()
+    return int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, v, regs, bands): number of shingles, class of the set, registers and band keys.
+def signatures(docs: DataFrame, k: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(doc_id, n, h1, h2, regs, bands): number of shingles, digest of the set, registers and band keys.
 
-    A column _row (long) is carried along.
+    The column that row names (long) is carried along as _row.
     """
-    more = [c for c in docs.columns if c == "_row"]
+    more = ["_row"] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                n, v, regs, bands = [], [], [], []
+                n, h, regs, bands = [], [], [], []
                 for t in part.column("text").to_pylist():
                     s = shingles(t, words, k)
                     r = registers(s)
                     n.append(len(s))
-                    v.append(_class(s))
+                    h.append(_class(s))
                     regs.append(r.tobytes())
                     bands.append(band_keys(r) if len(s) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(part.column(c) for c in more)], ["doc_id", "n", "v", "regs", "bands", *more])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *(pa.array([x[i] for x in h], pa.int64()) for i in (0, 1)), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(part.column(c) for c in more)], ["doc_id", "n", "h1", "h2", "regs", "bands", *more])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
-    return rows.mapInArrow(run, "doc_id long, n long, v long, regs binary, bands array<long>" + "".join(f", {c} long" for c in more))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(row).cast("long").alias("_row")] if row else []))
+    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, regs binary, bands array<long>" + "".join(f", {c} long" for c in more))
 
 
 class _Forest:
@@ -207,7 +212,9 @@ def candidates(reps: DataFrame, low: float) -> DataFrame:
     reps: (v, n, regs, bands). Of large buckets, edges that join what hangs together are returned.
     """
     keyed = reps.select("v", F.explode("bands").alias("key"))
-    sized = stash(keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"), "nd_buckets")
+    # counted with partial sums: the members of a large bucket never meet in one task
+    counts = stash(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "nd_keys")
+    sized = stash(keyed.join(small(counts), "key"), "nd_buckets")
     groups = sized.where(F.col("m") <= PAIR_BUCKET).groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("vs")).select("vs").distinct()
     pairs = groups.select(F.explode(F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, F.size("vs")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*").distinct()
     side = reps.select("v", "n", "regs")
@@ -268,9 +275,9 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def links(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links between classes, confirmed on full sets; families: (doc_id, v, fam, m)."""
+    """(a, b): links between classes, confirmed on full sets; families: (doc_id, v, h1, h2, fam, m)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(families), "doc_id")
-    rows = _block_pairs(rows.drop("doc_id"), F.col("m"), BLOCK, "fam").select("fam", "_i", "_j", "_mine", "v", "text")
+    rows = _block_pairs(rows.drop("doc_id"), F.col("m"), BLOCK, "fam").select("fam", "_i", "_j", "_mine", "v", "h1", "h2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -281,13 +288,13 @@ def links(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFra
                 for lo in range(0, b.num_rows, 64):
                     part = b.slice(lo, 64)
                     sets = [shingles(t, words, k) for t in part.column("text").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column(c) for c in ("fam", "_i", "_j", "_mine", "v")] + [pa.array([s.tobytes() for s in sets], pa.binary())], ["fam", "_i", "_j", "_mine", "v", "s"])
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in ("fam", "_i", "_j", "_mine", "v", "h1", "h2")] + [pa.array([s.tobytes() for s in sets], pa.binary())], ["fam", "_i", "_j", "_mine", "v", "h1", "h2", "s"])
 
         for (_, i, j), group in _groups(slim(batches), ("fam", "_i", "_j")):
             held = {}
             for r in group:
                 s = np.frombuffer(r["s"], np.uint64)
-                if _class(s) == r["v"]:  # another text with the same doc_id isn't meant
+                if _class(s) == (r["h1"], r["h2"]):  # another text with the same doc_id isn't meant
                     held[r["v"]] = (s, r["_mine"])
             if len(held) < 2:
                 continue
@@ -298,31 +305,33 @@ def links(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFra
     return rows.repartition("fam", "_i", "_j").sortWithinPartitions("fam", "_i", "_j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = THRESHOLD, row: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
-    With a column _row (long) in docs, also _row and _group, which tells components apart
-    even if they share their smallest doc_id; it is null where a row takes part in nothing.
+    If row names a column of docs (long), also that one, as _row, and _group, which tells
+    components apart even if they share their smallest doc_id; it is null where a row is alone.
     """
-    signed = stash(signatures(docs, k), "nd_signatures")
+    signed = stash(signatures(docs, k, row), "nd_signatures")
     real = signed.where("n > 0 and doc_id is not null")
-    classes = stash(real.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "nd_classes")
-    reps = stash(signed.join(classes.select("doc_id", "v"), ["doc_id", "v"]).select("v", "n", "regs", "bands"), "nd_reps")
+    # equal sets are told by 128 bits and numbered: from here on a class is a number
+    classes = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = stash(classes.withColumn("v", F.monotonically_increasing_id()), "nd_classes")
+    reps = stash(signed.join(classes.select("doc_id", "h1", "h2", "v"), ["doc_id", "h1", "h2"]).select("v", "n", "regs", "bands"), "nd_reps")
     pairs = stash(candidates(reps, percent / 100 - MARGIN), "nd_candidates")
-    named = classes.select("v", "doc_id")
+    named = classes.select("v", "doc_id", "h1", "h2")
     family = components(pairs, "nd_families").select("v", F.col("c").alias("fam"))
     sizes = small(stash(family.groupBy("fam").agg(F.count("*").alias("m")), "nd_sizes"))
-    families = stash(family.join(sizes, "fam").join(named, "v").select("doc_id", "v", "fam", "m"), "nd_members")
+    families = stash(family.join(sizes, "fam").join(named, "v").select("doc_id", "v", "h1", "h2", "fam", "m"), "nd_members")
     found = components(stash(links(docs, families, k, percent), "nd_links"), "nd_components")
     least = stash(found.join(named, "v").groupBy("c").agg(F.min("doc_id").alias("component_id")), "nd_least")
     of = found.join(small(least), "c").select("v", "component_id", "c")
     many = classes.where("copies > 1").select("v", F.col("doc_id").alias("own"))
     of = of.join(many, "v", "full").select("v", F.least("component_id", "own").alias("component_id"), F.coalesce("c", "v").alias("c"))
-    of = small(stash(of, "nd_of"))
+    of = small(stash(of.join(classes.select("v", "h1", "h2"), "v").drop("v"), "nd_of"))
     # a class without an entry is one document that is linked with none
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("v")).alias("v"), *[c for c in signed.columns if c == "_row"]).join(of, "v", "left")
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), *[F.when(F.col("n") > 0, F.col(h)).alias(h) for h in ("h1", "h2")], *(["_row"] if row else [])).join(of, ["h1", "h2"], "left")
     rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    more = ["_row", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "v")).alias("_group")] if "_row" in docs.columns else []
+    more = ["_row", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("_group")] if row else []
     return rows.select("doc_id", "n_shingles", "component_id", *more, F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -9,11 +9,20 @@ to it, both counted over all documents. Tokens met by high-confidence patterns a
 spans of the kind of the pattern's seeds. Base spans stay as they are. All of it is
 DataFrame work; texts are not shuffled.
 
+What may be an identifier, and what a pattern is, are definitions of the model: a free token
+has 6 to 64 characters, four of them digits; a context word lies within 40 characters, and
+of a longer one its 24 letters next to the token count. Base patterns know no such limits.
+
+Where the words around identifiers tell nothing (in the test tables they are inserted at
+random places, and every word meets all kinds), no pattern is trusted and none is found.
+
 Nulls and edge cases: a null or empty text has no spans; a null doc_id is carried along;
-rows with equal doc_id or text are searched each, and every row counts in the graph; spans
-of different kinds may overlap, new spans overlap no others; runs of many thousand digits
-or letters take linear time; an empty table gives an empty result; other columns are left
-alone.
+rows with equal doc_id or text are searched each, and every row counts in the graph; rows
+are told apart by 128 bits of doc_id and text, and equal ones have equal spans; of several
+trusted patterns that meet a token the best one names it, ties go to the later kind; spans
+of different kinds may overlap, new spans overlap no others; very long texts, also of one
+run of digits or letters, take linear time; an empty table gives an empty result; other
+columns stay, but for those that bear the name of a column that is made.
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small, stash
+from .common import apart, load, small, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Possessive runs, and looks behind that rule out starts which
@@ -44,6 +53,7 @@ MAYBE = r"[0-9][^\x20\x09-\x0D]*[0-9]|[0-9][\x20)(./-]{1,3}[0-9]|@|[(\[](?i:at)[
 DATE = r"^\(?(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})$"
 #: Bit of a candidate that a trusted pattern of any kind makes a span, though it looks like none.
 ANY = 1 << 4
+MADE = ("_base", "_spans")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: A pattern needs so many known instances, and so high a share of them.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 2
@@ -178,16 +188,19 @@ def learn(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
 
 
 def extract(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """docs and _base, _spans: array<struct(start, kind, end)>, the base spans and all spans."""
-    marked = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_base", base_spans(F.coalesce("text", F.lit("")))).withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = stash(candidates(marked.select("_row", "text", "_base")), "pii_found")
+    """docs, a null text empty, and _base, _spans: array<struct(start, kind, end)>, the base spans and all spans."""
+    text = F.coalesce("text", F.lit(""))
+    filled, fields = apart(docs.withColumn("text", text), MADE, "doc_id", "text")
+    marked = filled.select("_row", "text", base_spans(F.col("text")).alias("_base"), F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary")).alias("_id"))
+    found = stash(candidates(marked.select(F.col("_id").alias("_row"), "text", "_base")), "pii_found")
     trusted = small(learn(found, support, confidence, rounds))
-    # equal rows have the same spans, so the row's hash stands for them
+    # equal rows have the same spans, so the row's digest stands for them
     more = found.where("kind is null").drop("kind").join(trusted.withColumn("k", F.col("kind")), "pattern").where(_fits()).groupBy("_row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
-    new = more.groupBy("_row").agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("_new"))
+    new = more.groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("_new"))
     new = small(stash(new, "pii_new"))
-    got = marked.join(new, "_row", "left")
-    return got.withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce(F.col("_new").cast(SPAN), F.array().cast(SPAN))))).drop("_row", "_new")
+    got = marked.join(new, F.col("_id") == F.col("_of"), "left")
+    spans = F.array_sort(F.concat("_base", F.coalesce(F.col("_new").cast(SPAN), F.array().cast(SPAN))))
+    return got.select(*fields, "_base", spans.alias("_spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
