@@ -7,8 +7,8 @@ so their names can't clash.
 Nulls and edge cases: a null text is read as an empty one by every stage, and becomes one in
 the stage pii; a row with a null doc_id is never a near copy and stays; a null source is a
 source of its own; repeated rows are near copies of each other; rows that share a doc_id but
-not their text are judged apart by near_dedup, and, with equal size, alike by mix; an empty
-table stays empty.
+not their text are judged apart by near_dedup, and, with equal size, alike by mix; very long
+texts are read whole by every stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (five-word shingles, similarity 0.8) one row of the smallest doc_id stays."""
     # numbered before it is read twice, so that the numbers hold
     docs = stash(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    judged = stash(neardup.near_duplicates(docs.select("doc_id", "text", "_row")).where("_group is not null").select("doc_id", "_row", "_group"), "judged")
+    judged = stash(neardup.near_duplicates(docs.select("doc_id", "text", "_row"), row="_row").where("_group is not null").select("doc_id", "_row", "_group"), "judged")
     first = judged.groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("_group", "first._row")
     gone = judged.join(small(stash(first.withColumnRenamed("_row", "_first"), "first")), "_group").where("_row <> _first").select("_row")
     return docs.join(small(stash(gone, "gone")), "_row", "left_anti").select(*COLUMNS)
@@ -46,9 +46,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it; of one document a source, its first words besides."""
     mixed = mixing.mix(docs.select(*COLUMNS))
-    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*COLUMNS)
+    times = F.col("_copies") + (F.col("_part") > 0).cast("long")
+    each = mixed.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    cut = F.col("_copy") > F.col("_copies")
+    each = each.withColumn("text", F.when(cut, mixing.first_words(F.col("text"), F.col("_part"))).otherwise(F.col("text")))
+    return each.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
