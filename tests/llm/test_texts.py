@@ -283,22 +283,64 @@ def test_pieces_tables(spark):
 # fingerprints
 
 
+def brute_print(t):
+    """SimHash, a bit at a time."""
+    import math
+    from collections import Counter
+
+    count = Counter(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    bits = {w: bin(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") + (1 << 64))[3:] for w in count}
+    votes = [sum((1 if bits[w][k] == "1" else -1) * round((1 + math.log(n)) * 1024) for w, n in count.items()) for k in range(64)]
+    return int("".join("1" if v > 0 else "0" for v in votes), 2)
+
+
+def brute_fingerprints(rows):
+    """rows (doc_id, text) with different ids: what the query returns, but for the neighbours."""
+    order = sorted(rows, key=lambda r: -r[0])
+    prints = {i: brute_print(t) for i, t in rows}
+    out = {}
+    for k, (i, t) in enumerate(order):
+        t, (j, n) = t or "", order[(k + 1) % len(order)]
+        cut = len(t) // 3
+        e = t[: len(t) - cut] + (n or "")[:cut]
+        same = lambda x, y: sum(a == b for a, b in zip(f"{x:064b}", f"{y:064b}", strict=True)) / 64
+        f = brute_print(e)
+        out[i] = (i, len(t), hashlib.sha256(e.encode()).hexdigest(), f"{prints[i]:016x}", f"{f:016x}", same(prints[i], f), same(prints[i], prints[j]))
+    return out
+
+
 def test_fingerprints(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(500)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 120)))) for i in rng.sample(range(10_000), 300)]
     rows += [(20_000, None), (20_001, "")]
-    got = {r.doc_id: r for r in fingerprints.compare_edited(docs(spark, rows), parts=7).collect()}
-    assert len(got) == len(rows)
-    order = sorted(rows, reverse=True)
-    v = fingerprints.Voter()
-    for k, (i, t) in enumerate(order):
-        t, n = t or "", order[(k + 1) % len(order)][1] or ""
-        e = fingerprints.edited(t, n)
-        a, b, c = (v.fingerprint(x) for x in (t, e, n))
-        want = (len(t), hashlib.sha256(e.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", fingerprints.likeness(a, b), fingerprints.likeness(a, c))
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) == want
+    got = {r.doc_id: tuple(r) for r in fingerprints.compare_edited(docs(spark, rows), parts=7).collect()}
+    assert got == brute_fingerprints(rows)
+    assert {r.doc_id: tuple(r) for r in fingerprints.compare_edited(docs(spark, rows)).collect()} == got
+
+
+def test_fingerprint_query(spark, tmp_path):
+    """The whole query, neighbours included, against brute force."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(words) for _ in range(400)] for _ in range(12)]
+    rows = []
+    for i in range(240):
+        t = list(base[i % 12])
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    rows += [(1_000, None), (1_020, ""), (1_040, rows[40][1])]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_fingerprints(rows)
+    prints = {int(r[3], 16) for r in want.values()}
+    got = fingerprints.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and max(r.n_near or 0 for r in got) > 1
+    for r in got:
+        assert tuple(r)[:7] == want[r.doc_id]
+        mine = int(r.fingerprint, 16)
+        near = sorted(((mine ^ p).bit_count(), p) for p in prints if 0 < (mine ^ p).bit_count() <= 3)
+        assert (r.n_near, r.nearest) == ((len(near), f"{near[0][1]:016x}" if near else None) if r.doc_id % 20 == 0 else (None, None))
 
 
 def test_fingerprints_odd_tables(spark):
@@ -308,15 +350,25 @@ def test_fingerprints_odd_tables(spark):
     assert fingerprints.fingerprint(docs(spark, ODD)).count() == len(ODD)
 
 
-def test_search_within_radius(spark):
+@pytest.mark.parametrize("block", [4_096, 8])
+def test_search_within_radius(spark, monkeypatch, block):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(40)]
     near = [b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (1, 2, 3, 4)]
-    prints = spark.createDataFrame([(f"{x:016x}",) for x in base + near + base[:5]], "fingerprint string")
+    near += [base[0] ^ sum(1 << k for k in rng.sample(range(12), 2)) for _ in range(60)]  # a large bucket
+    stored = {*near, *base[:30]}
+    prints = spark.createDataFrame([(f"{x:016x}",) for x in [*stored, *base[:5]]] + [(None,)], "fingerprint string")
     asked = spark.createDataFrame([(f"{x:016x}",) for x in base], "fingerprint string")
-    got = {(r.asked, r.found, r.distance) for r in fingerprints.within_radius(prints, asked).collect()}
-    want = {(f"{a:016x}", f"{b:016x}", (a ^ b).bit_count()) for a in base for b in set(base + near) if a != b and (a ^ b).bit_count() <= 3}
-    assert got == want
+    want = {(f"{a:016x}", f"{b:016x}", (a ^ b).bit_count()) for a in base for b in stored if 0 < (a ^ b).bit_count() <= 3}
+    got = [(r.asked, r.found, r.distance) for r in fingerprints.search(prints, asked, pairs=True).collect()]
+    assert len(got) == len(want) and set(got) == want
+    best = {}
+    for a, b, d in sorted(want, key=lambda x: (x[0], x[2], int(x[1], 16))):
+        n, *first = best.get(a, (0, b, d))
+        best[a] = (n + 1, *first)
+    assert {r.fingerprint: (r.n_near, r.nearest, r.distance) for r in fingerprints.search(prints, asked).collect()} == best
+    assert fingerprints.search(prints.limit(0), asked.limit(0)).count() == 0
 
 
 # near duplicates

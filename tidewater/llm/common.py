@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def listed(values: list, kind: str) -> Column:
+    """A literal array, folded into the plan, of however many values."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def count_below(n: int, below: Callable[[Column], Column]) -> Column:
+    """Binary search over places 0 to n - 1: how many come before the first for which below(place) is false."""
+    middle = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(max(1, n.bit_length()))),
+        F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s).when(below(middle(s)), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))),
+    )["lo"]
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges(a, b): (v, c), c the smallest vertex reachable.
 

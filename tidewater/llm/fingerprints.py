@@ -1,15 +1,21 @@
 """Document fingerprints: 64-bit SimHash, with permuted block tables for search.
 
 Every word votes with its hash's bits, weighted by 1 + ln(count); the sign of a bit's sum
-is the fingerprint's bit. Equal texts have equal fingerprints. within_radius() finds all
+is the fingerprint's bit. Equal texts have equal fingerprints. search() finds all
 fingerprints that differ in at most `radius` bits from those asked for: the bits are cut
-into more blocks than the radius, so that two near fingerprints agree in some of them, and
-each choice of agreeing blocks is a table that is joined on equality.
+into radius + spare blocks, so that two near fingerprints agree in `spare` of them at least,
+and each choice of so many blocks is a table of buckets. Copies of a fingerprint are one
+entry. Buckets that hold one entry, or none that is asked for, end there; the others are
+compared in blocks inside tasks, which return a row an asked entry and no pairs, each pair
+counted in the first table that it meets in. A bucket of m entries of which a are asked for
+costs a * m comparisons, in tasks of BLOCK entries.
 
 Nulls and edge cases: a null text is an empty text, whose fingerprint is 0; a null doc_id
 comes after all others in descending order; rows with equal doc_id follow each other by
-text; an empty table gives an empty result; of a single row the next document is itself;
-other columns are left alone.
+text, and those that are alike in any order (rows of one id, or without one, are read one
+after the other in one task); very long texts are read whole, their words in slices; an
+empty table gives an empty result; of a single row the next document is itself; the result
+has the named columns only, whatever others the table has.
 """
 
 from __future__ import annotations
@@ -21,15 +27,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import count_below, listed, load, small, stash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BITS = 64
 #: Words whose votes a task keeps at a time.
 KEPT_WORDS = 200_000
+#: Bytes of text that a task reads, about; with very many bytes, parts grow (they are streamed).
+PART_BYTES, MOST_PARTS = 64 << 20, 10_000
+RADIUS, SPARE, BLOCK = 3, 3, 4_096
 
 
 class Voter:
@@ -98,33 +107,26 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     that reads a part in order meets every row's next document. Texts are shuffled once.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n, some = ids.agg(F.count("*").alias("n"), F.count("doc_id").alias("k")).first()
-    parts = parts or max(1, min(10_000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50 + 1))
-    # boundaries are ids; a few of them (parts) come to the driver
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 and some else []
-    bounds = [int(b) for b in bounds]
-    part = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length()))),
-        F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
-        lambda s, _: F.when(
-            s["lo"] < s["hi"],
-            F.when(F.element_at(F.lit(bounds or [0]), F.shiftright(s["lo"] + s["hi"], 1) + 1) < F.col("doc_id"), F.struct((F.shiftright(s["lo"] + s["hi"], 1) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.shiftright(s["lo"] + s["hi"], 1).alias("hi"))),
-        ).otherwise(s),
-    )["lo"]
-    # part 0 is last in descending order, and the only one with null ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("_part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part))
-    firsts = rows.select("_part", "doc_id").groupBy("_part").agg(F.max("doc_id").alias("first")).collect()  # parts + 1 rows at most
-    order = sorted((r["_part"] for r in firsts), reverse=True)
+    n, some, size = rows.agg(F.count("*"), F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = parts or max(1, min(MOST_PARTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES), n // 50 + 1))
+    # boundaries are ids; a few of them (parts) come to the driver
+    bounds = sorted({int(b) for b in rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 and some else []
+    ends = listed(bounds or [0], "bigint")
+    # part 0 holds rows without an id, and is last in descending order
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(count_below(len(bounds), lambda i: F.element_at(ends, i + 1) < F.col("doc_id")) + 1)
+    rows = rows.withColumn("_part", part)
+    firsts = rows.groupBy("_part").agg(F.max("doc_id").alias("first")).collect()  # parts + 1 rows at most
     first = {r["_part"]: r["first"] for r in firsts}
-    before = {p: order[i - 1] for i, p in enumerate(order)}  # the part that needs p's first row after its own; the last needs the very first
-    takes = F.create_map(*[F.lit(x) for p in order for x in (p, before[p])]) if order else F.create_map(F.lit(0), F.lit(0))
-    heads = F.create_map(*[F.lit(x) for p in order for x in (p, first[p] if first[p] is not None else -(1 << 62))]) if order else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    is_head = F.coalesce("doc_id", F.lit(-(1 << 62))) == heads[F.col("_part")]
-    both = rows.withColumn("_to", F.when(is_head, F.array(F.struct(F.col("_part").alias("p"), F.lit(True).alias("own")), F.struct(takes[F.col("_part")].alias("p"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(True).alias("own")))))
-    both = both.select("doc_id", "text", F.explode("_to").alias("_to")).select("doc_id", "text", F.col("_to.p").alias("_part"), F.col("_to.own").alias("_own"))
-    return both.repartition("_part").sortWithinPartitions(F.col("_part"), F.col("_own").desc(), F.col("doc_id").desc_nulls_last(), "text")
+    order = sorted(first, reverse=True)
+    # the part that needs p's first row after its own; the last needs the very first
+    needs = {p: order[i - 1] for i, p in enumerate(order)}
+    heads = F.element_at(listed([first.get(p) for p in range(len(bounds) + 2)], "bigint"), F.col("_part") + 1)
+    to = F.element_at(listed([needs.get(p) for p in range(len(bounds) + 2)], "int"), F.col("_part") + 1)
+    one = lambda p, own: F.struct(p.alias("_part"), F.lit(own).alias("_own"))
+    own = one(F.col("_part"), True)
+    both = rows.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(heads), F.array(own, one(to, False))).otherwise(F.array(own))).alias("_to")).select("doc_id", "text", "_to.*")
+    return both.repartitionById(len(bounds) + 2, F.col("_part")).sortWithinPartitions("_part", F.col("_own").desc(), F.col("doc_id").desc_nulls_last(), "text")
 
 
 def compare_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -157,29 +159,97 @@ def compare_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return with_next(docs, parts).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def within_radius(prints: DataFrame, asked: DataFrame, radius: int = 3, spare: int = 3) -> DataFrame:
-    """Pairs (asked, found, distance) of different fingerprints within the Hamming radius.
+def value(fingerprint: Column) -> Column:
+    """The 16 hex digits as a number of 64 bits."""
+    half = lambda i: F.conv(F.substring(fingerprint, i, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
-    prints and asked have a column fingerprint (hex). Both are made distinct first, so
-    copies cost nothing. With radius + spare blocks, two fingerprints within the radius
-    agree in `spare` of them at least; each choice of so many blocks is one table.
-    """
+
+def _tables(radius: int, spare: int) -> list[tuple[int, list[int]]]:
+    """Of each table: a mask of its blocks, and those of the blocks that a pair which meets here first doesn't agree in."""
     blocks = radius + spare
     edges = [BITS * i // blocks for i in range(blocks + 1)]
-    half = lambda c, i: F.conv(F.substring(c, i, 8), 16, 10).cast("long")
-    value = lambda c: F.shiftleft(half(c, 1), 32).bitwiseOR(half(c, 9))
-    block = lambda v, i: F.shiftrightunsigned(v, BITS - edges[i + 1]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    mask = [((1 << (b - a)) - 1) << (BITS - b) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(sum(mask[i] for i in chosen), [mask[i] for i in range(chosen[-1]) if i not in chosen]) for chosen in combinations(range(blocks), spare)]
 
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        v = value(F.col("fingerprint"))
-        keys = [F.struct(F.lit(n).alias("table"), F.concat_ws("-", *[block(v, i).cast("string") for i in chosen]).alias("key")) for n, chosen in enumerate(combinations(range(blocks), spare))]
-        return df.select("fingerprint").where("fingerprint is not null").distinct().select(F.col("fingerprint").alias(name), v.alias(f"{name}_v"), F.explode(F.array(*keys)).alias("k")).select(name, f"{name}_v", "k.*")
 
-    pairs = tables(asked, "asked").join(tables(prints, "found"), ["table", "key"])
-    near = pairs.withColumn("distance", F.bit_count(F.col("asked_v").bitwiseXOR(F.col("found_v")))).where((F.col("distance") <= radius) & (F.col("asked") != F.col("found")))
-    return near.select("asked", "found", "distance").distinct()
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edited(load(spark, sf_dir, "documents").select("doc_id", "text"))
+def search(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, spare: int = SPARE, pairs: bool = False) -> DataFrame:
+    """(fingerprint, n_near, nearest, distance) for the fingerprints (16 hex digits) of asked that have others within the radius.
+
+    n_near counts the different fingerprints of prints within the radius, nearest is the
+    nearest of them (ties: the smaller). With pairs: (asked, found, distance), a row each.
+    """
+    spark = prints.sparkSession
+    tables = _tables(radius, spare)
+    mine = asked.select(value(F.col("fingerprint")).alias("v"), F.lit(1).alias("asked"), F.lit(0).alias("there"))
+    all_ = prints.select(value(F.col("fingerprint")).alias("v"), F.lit(0).alias("asked"), F.lit(1).alias("there"))
+    entries = stash(all_.union(mine).where("v is not null").groupBy("v").agg(F.max("asked").alias("asked"), F.max("there").alias("there")), "fp_entries")
+    masks = listed([_signed(m) for m, _ in tables], "bigint")
+    each = entries.select("v", "asked", "there", F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"))
+    each = each.withColumn("key", F.col("v").bitwiseAND(F.element_at(masks, F.col("t") + 1)))
+    buckets = each.groupBy("t", "key").agg(F.sum("there").alias("m"), F.sum("asked").alias("a"), F.count("*").alias("n")).where("a > 0 and m > 0 and n > 1").select("t", "key", "m")
+    met = each.join(small(stash(buckets, "fp_buckets")), ["t", "key"])
+    # an entry lies in one block of its bucket; one that is asked for passes by all of them
+    count = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
+    held = F.when(F.col("there") == 1, F.array(F.struct(F.pmod(F.xxhash64("v"), count).alias("block"), F.lit(0).alias("asks")))).otherwise(F.array())
+    asks = F.when(F.col("asked") == 1, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("asks")))).otherwise(F.array())
+    dealt = met.select("t", "key", "v", F.explode(F.concat(held, asks)).alias("to")).select("t", "key", "to.block", "to.asks", "v")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(parts, "t", "key", "block").sortWithinPartitions("t", "key", "block", "asks", "v")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, others = None, [], np.zeros(0, np.uint64)
+
+        def compare(t: int, some: np.ndarray) -> pa.RecordBatch | None:
+            x = some[:, None] ^ others[None, :]
+            d = np.bitwise_count(x).astype(np.int64)
+            near = (d > 0) & (d <= radius)
+            for m in tables[t][1]:
+                near &= (x & np.uint64(m)) != 0
+            if pairs:
+                i, j = np.nonzero(near)
+                return pa.RecordBatch.from_arrays([pa.array(some[i].view(np.int64)), pa.array(others[j].view(np.int64)), pa.array(d[i, j])], ["v", "found", "distance"]) if len(i) else None
+            n = near.sum(1)
+            has = np.flatnonzero(n)
+            if not len(has):
+                return None
+            least = np.where(near, d, BITS + 1)[has].min(1)
+            first = np.argmax(near[has] & (d[has] == least[:, None]), axis=1)  # others are in ascending order
+            return pa.RecordBatch.from_arrays([pa.array(some[has].view(np.int64)), pa.array(n[has].astype(np.int64)), pa.array(least), pa.array(others[first].view(np.int64))], ["v", "n", "distance", "found"])
+
+        for b in batches:
+            cols = [b.column(c).to_numpy() for c in ("t", "key", "block", "asks", "v")]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1 if b.num_rows else []
+            for lo, hi in zip([0, *cut], [*cut, b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                key, v = tuple(int(c[lo]) for c in cols[:3]), cols[4][lo:hi].view(np.uint64)
+                if key != now:
+                    now, mine, others = key, [], np.zeros(0, np.uint64)
+                if not cols[3][lo]:
+                    mine.append(v.copy())
+                    others = np.sort(np.concatenate(mine))
+                elif len(others):
+                    for i in range(0, len(v), 256):
+                        if (out := compare(key[0], v[i : i + 256])) is not None:
+                            yield out
+
+    hex_ = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    if pairs:
+        got = dealt.mapInArrow(run, "v long, found long, distance long")
+        return got.select(hex_("v").alias("asked"), hex_("found").alias("found"), F.col("distance").cast("int").alias("distance"))
+    got = dealt.mapInArrow(run, "v long, n long, distance long, found long")
+    best = got.groupBy("v").agg(F.sum("n").alias("n_near"), F.min(F.struct("distance", hex_("found").alias("found"))).alias("best"))
+    return best.select(hex_("v").alias("fingerprint"), "n_near", F.col("best.found").alias("nearest"), F.col("best.distance").cast("int").alias("distance"))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprints; of each whose doc_id 20 divides, also its neighbours among all."""
+    prints = stash(compare_edited(load(spark, sf_dir, "documents").select("doc_id", "text")), "fp_prints")
+    asks = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    found = small(stash(search(prints, prints.where(asks)).drop("distance"), "fp_found"))
+    return prints.join(found, "fingerprint", "left").select(*prints.columns, F.when(asks, F.coalesce("n_near", F.lit(0))).alias("n_near"), F.when(asks, F.col("nearest")).alias("nearest"))

@@ -12,9 +12,11 @@ counts are prefix-summed within each arc, and only a bucket's own rows are sorte
 is DataFrame work on narrow rows.
 
 Nulls and edge cases: a null text has 0 bytes (size 1, checksum 0); a null doc_id takes
-its place from the checksum and size; rows with equal doc_id share a place on the ring and
-are told apart by size and checksum, equal rows in any order; an empty table gives an
-empty result; other columns are left alone.
+its place from the checksum and size; a very long text counts by its size alone; rows with
+equal doc_id share a place on the ring and are told apart by checksum and size, equal rows
+in any order (one id that many rows have is sorted in one task, without its texts); an
+empty table gives an empty result with no shard; the result has the named columns only,
+whatever others the table has.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, stash
+from .common import count_below, listed, load, stash
 
 SHARDS, VIRTUAL = 16, 64
 #: Rows in a fine bucket, on average.
@@ -87,7 +89,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack:
     rows = rows.withColumn("_at", F.when(F.col("doc_id").isNull(), place("_crc", "_size")).otherwise(place("doc_id")))
     owner = ring(spark, shards, virtual).select(F.transform("nodes", lambda x: x["at"]).alias("ats"), F.transform("nodes", lambda x: x["shard"]).alias("owners"))
     table = owner.first()  # shards * virtual entries
-    rows = rows.withColumn("_arc", F.pmod(_search([int(x) for x in table.ats], F.col("_at")), F.lit(shards * virtual)))
+    ats = listed([int(x) for x in table.ats], "bigint")
+    rows = rows.withColumn("_arc", F.pmod(count_below(len(table.ats), lambda i: F.element_at(ats, i + 1) < F.col("_at")), F.lit(shards * virtual)))
     rows = stash(rows, "ring_rows")
     fine = max(64, rows.count() // BUCKET_ROWS)
     width = (1 << RING_BITS) // fine + 1
@@ -103,25 +106,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack:
     # at most two pieces an arc more than there are shards * virtual arcs
     p = F.broadcast(pieces)
     got = ranked.join(p, (F.col("_arc") == p.arc) & (F.col("_rank") >= p.lo) & (F.col("_rank") < p.hi))
-    home = F.element_at(F.lit([int(x) for x in table.owners]), (F.col("_arc") + 1).cast("int"))
+    home = F.element_at(listed([int(x) for x in table.owners], "int"), (F.col("_arc") + 1).cast("int"))
     return got.select("doc_id", "_size", "_crc", home.alias("_home"), F.col("shard").alias("_shard"), (p.slot + F.col("_rank") - p.lo).alias("_slot"))
 
 
-def _search(ats: list[int], at: F.Column) -> F.Column:
-    """How many of the sorted ats are below at: binary search over a literal array."""
-    steps = max(1, (len(ats)).bit_length())
-    sorted_ = F.lit(ats)
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("lo"), F.lit(len(ats)).alias("hi")),
-        lambda s, _: F.when(
-            s["lo"] < s["hi"],
-            F.when(F.element_at(sorted_, F.shiftright(s["lo"] + s["hi"], 1) + 1) < at, F.struct((F.shiftright(s["lo"] + s["hi"], 1) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), F.shiftright(s["lo"] + s["hi"], 1).alias("hi"))),
-        ).otherwise(s),
-    )
-    return found["lo"]
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = shard(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select(
