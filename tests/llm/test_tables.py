@@ -127,35 +127,45 @@ def test_urls_of_nothing(spark):
 # archives
 
 
+def find(spark, archive, *keys):
+    """(record_type, payload) of all records of the keys."""
+    return [(r.record_type, bytes(r.payload)) for r in warc.read(archive, warc.locate(archive, spark.createDataFrame([(k,) for k in keys], "key string")), payload=True).collect()]
+
+
 def test_archives(spark):
     body = "<html>" + "x" * 200 + "é</html>"
-    rows = [(5, "http://b.example.org/p?q=1", body), (3, "http://a.example.org/", body), (9, None, body), (4, "http://b.example.org/p?q=1", "other"), (7, "bad\r\nurl", ""), (8, "http://a.example.org/", None), (10, "http://z.net/", "short"), (11, "http://z.net/", "short"), (None, "http://n.net/", body), (3, "http://a.example.org/", body)]
-    archive = warc.index(*warc.write(pages(spark, rows)), lines=3)
-    got = sorted(map(tuple, warc.read_all(archive).collect()), key=repr)
+    rows = [(5, "http://b.example.org/p?q=1", body), (3, "http://a.example.org/", body), (9, None, body), (4, "http://b.example.org/p?q=1", "other"), (7, "bad\r\nurl", ""), (8, "http://a.example.org/", None), (10, "http://z.net/", "short"), (11, "http://z.net/", "short"), (None, "http://n.net/", body), (3, "http://a.example.org/", body), (12, "http://long.net/" + "u" * 20_000, "y" * 3_000_000)]
+    table = pages(spark, rows)
+    archive = warc.index(*warc.write(table), lines=3)
+    got = sorted(map(tuple, warc.read(archive, warc.locate(archive, table.select(warc.url_key(table.url).alias("key"), "page_id"))).collect()), key=repr)
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     size = lambda t: len((t or "").encode())
     want = [(i, size(t), sha(t), "revisit" if t == body and i != 3 else "response", 3 if t == body and i != 3 else None) for i, _, t in rows]
     assert got == sorted(want, key=repr)
-    find = warc.Finder(archive)
-    hits = find.find("org,example,b)/p?q=1")
-    assert sorted(f["warc-type"] for f, _ in hits) == ["response", "revisit"] and b"other" in [p for _, p in hits]
-    assert len(find.find("net,z)/")) == 2 and find.find("org,none)/") == []
+    assert sorted(find(spark, archive, "org,example,b)/p?q=1")) == [("response", b"other"), ("revisit", b"")]
+    assert len(find(spark, archive, "net,z)/")) == 2 and find(spark, archive, "org,none)/", "", "zzz") == [("revisit", b"")]
     assert archive.directory.count() >= 4
 
 
 def test_many_captures_are_found(spark):
-    rows = [(i, f"http://h{i % 37}.example.com/{i % 50}", f"page {i} " * 20) for i in range(2_000)]
-    archive = warc.index(*warc.write(pages(spark, rows)), lines=50)
-    find = warc.Finder(archive)
+    """Keys with many captures, over several blocks and files of the index."""
+    rows = [(i if i % 50 else None, f"http://h{i % 37}.example.com/{i % 5}" if i % 4 else "http://hot.com/", f"page {i} " * 20) for i in range(2_000)]
+    table = pages(spark, rows)
+    archive = warc.index(*warc.write(table), lines=20)
+    assert len(archive.files) > 1
     for i in (0, 777, 1_999):
-        key = f"com,example,h{i % 37})/{i % 50}"
-        want = {t.encode() for _, u, t in rows if u == rows[i][1]}
-        assert {p for _, p in find.find(key)} == want
+        key = f"com,example,h{i % 37})/{i % 5}" if i % 4 else "com,hot)/"
+        want = sorted(t.encode() for _, u, t in rows if u == rows[i][1])
+        assert sorted(p for _, p in find(spark, archive, key, key)) == want
+    all_ = warc.read(archive, warc.locate(archive, table.select(warc.url_key(table.url).alias("key"), "page_id")), payload=True)
+    assert sorted(bytes(r.payload) for r in all_.collect()) == sorted(t.encode() for _, _, t in rows)
+    some = table.where("page_id % 7 = 0").select(warc.url_key(table.url).alias("key"), "page_id")
+    assert sorted(r.page_id for r in warc.locate(archive, some).collect()) == [i for i, _, _ in rows if i is not None and i % 7 == 0]
 
 
 def test_archive_of_nothing(spark):
     archive = warc.index(*warc.write(pages(spark, [])))
-    assert warc.read_all(archive).count() == 0 and warc.Finder(archive).find("x") == []
+    assert archive.files == [] and find(spark, archive, "x") == []
 
 
 # the registered queries
