@@ -231,6 +231,9 @@ TEXTS = ["Hello world", "", " a  b\n c", "naïve café 😀 日本語\n\t漢字"
 def test_pieces_are_the_librarys(codec):
     rng = random.Random(2)
     more = ["".join(rng.choice("abcdefgh THEing  .,\né") for _ in range(200)) for _ in range(50)]
+    # runs of spaces and words of any length
+    more += [" " * n + w for n in (2, 3, 16, 17, 31, 150, 199, 200, 201, 202, 1_000, 5_000) for w in ("", "b", "the ends")]
+    more += ["ab" * 3_000, "the" * 500 + "  " * 300 + "x"]
     for t in TEXTS + more:
         assert codec.encode(t) == codec.sp.encode(t), t
         assert codec.decode(codec.encode(t)) == t

@@ -10,17 +10,21 @@ its own beginning. The result is the one that merging by rank gives.
 Pieces don't reach over a word's beginning, so texts are cut there and words that come
 again are looked up.
 
-Nulls and edge cases: a null text is an empty text and has no pieces; characters without a
-piece become byte pieces, or the unknown piece in a model without; decoding gives the
-normalized text back (a U+2581 in it, and what the model's normalizer changes, don't come
-back); repeated rows are encoded each; an empty table gives an empty result; other columns
-are left alone.
+Nulls and edge cases: a null text is an empty text and has no pieces; very long texts are
+encoded whole, a word of n characters in about n steps; of ways with equal sums the one that
+is found first stays (the longest last piece), of equal ranks the leftmost pair joins first;
+characters without a piece become byte pieces, or the unknown piece in a model without;
+decoding gives the normalized text back (a U+2581 in it, and what the model's normalizer
+changes, don't come back); repeated rows are encoded each; an empty table gives an empty
+result; the result has the named columns only, whatever others the table has.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -93,23 +97,36 @@ class Codec:
         # what a piece stands for in the text
         self.text = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else b"" if self.sp.is_control(i) else " ⁇ ".encode() if self.sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
         self.words: dict[str, bytes] = {}
+        self.cutters: dict[str, re.Pattern] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.lone: dict[int, bool] = {}
         self.rank = {p: self.score[i] for p, i in self.id.items()}
         self.size = [len(p) for p in self.piece]
 
     def merged(self, text: str) -> list[str]:
-        """The text's pieces by definition: of all neighbours that join to a piece, the best joins first."""
-        parts, rank = list(text), self.rank
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                got = rank.get(parts[i] + parts[i + 1])
-                if got is not None and (best is None or got > best):
-                    best, at = got, i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """The text's pieces by definition: of all neighbours that join to a piece, the best joins first, the leftmost of equals."""
+        part, rank, n = list(text), self.rank, len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if after[i] < n and (got := rank.get(s := part[i] + part[after[i]])) is not None:
+                heapq.heappush(heap, (-got, i, s))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, s = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or not part[i] or part[i] + part[j] != s:
+                continue  # one of the two has joined another since
+            part[i], part[j], after[i] = s, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            if before[i] >= 0:
+                offer(before[i])
+            offer(i)
+        return [p for p in part if p]
 
     def _stay(self, a: int, b: int) -> bool:
         """Whether two pieces stay two when their text is merged."""
@@ -125,19 +142,22 @@ class Codec:
         last: list[int | None] = [None] * (len(s) + 1)
         pairs, stay, alone, size = self.pairs, self._stay, self._alone, self.size
         for end, (length, i) in self.automaton.iter(s):
-            start = end + 1 - length
+            end += 1
             # longer pieces come first, and only one of those that end here can follow
-            if last[end + 1] is None and alone(i):
-                if not start:
-                    last[end + 1] = i
-                elif (before := last[start]) is not None:
+            if last[end] is None:
+                if length == end:
+                    if alone(i):
+                        last[end] = i
+                elif (before := last[end - length]) is not None:
+                    # two that stay two stay one each, too
                     ok = pairs.get((before, i))
                     if stay(before, i) if ok is None else ok:
-                        last[end + 1] = i
+                        last[end] = i
         out, end = [], len(s)
         while end:
-            out.append(last[end])
-            end -= size[last[end]]
+            i = last[end]
+            out.append(i)
+            end -= size[i]
         out.reverse()
         return out
 
@@ -198,18 +218,33 @@ class Codec:
         if self.crossing:
             return np.array(self.stretch(s), "<i4").tobytes()
         words, out = self.words, []
-        for w in WORD.findall(s):
+        # no piece holds a character that is none, so a model that merges by rank may cut there, too
+        for w in (self._cutter(set(s) - self.id.keys()) if self.kind == BPE else WORD).findall(s):
             got = words.get(w)
             if got is None:
                 if len(words) >= KEPT_WORDS:
                     words.clear()
                 # of several spaces any two may join, with equal rank: there the order of merging decides
-                several = self.kind == BPE and w.startswith(SPACE * 2)
-                ids = [i for p in self.merged(w) for i in ([self.id[p]] if p in self.id else self._bytes(p))] if several and len(w) <= 200 else self.stretch(w)
-                got = words[w] = np.array(ids, "<i4").tobytes()
+                if self.kind != BPE:
+                    ids = self.stretch(w)
+                elif w[0] not in self.id:
+                    ids = self._bytes(w)
+                else:
+                    ids = [self.id[p] for p in self.merged(w)] if w.startswith(SPACE * 2) else self._whole(w)
+                got = words[w] = struct.pack(f"<{len(ids)}i", *ids)
             out.append(got)
         return b"".join(out)
 
+    def _cutter(self, odd: set[str]) -> re.Pattern:
+        """Cuts at word beginnings and around the odd characters."""
+        key = "".join(sorted(odd))
+        if key not in self.cutters:
+            if len(self.cutters) > 1_000:
+                self.cutters.clear()
+            some = re.escape(key)
+            self.cutters[key] = re.compile(f"{SPACE}*[^{SPACE}{some}]+|{SPACE}+|[{some}]") if key else WORD
+        return self.cutters[key]
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text or ""), "<i4").tolist()
 
