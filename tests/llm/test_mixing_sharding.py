@@ -23,9 +23,9 @@ def docs(spark, rows):
 def brute_quality(t):
     if t is None:
         return 0.05
-    words = WORD.findall(t)
+    lines = t.split("\n")
     plain = 1.0 - 4.0 * sum(c in "#$%&*!|<>{}[]=+_~^@\\/" for c in t) / max(len(t), 1)
-    return max(0.1, plain) * max(0.5, min(1.0, 2.0 * len(set(words)) / max(len(words), 1)))
+    return max(0.1, plain) * max(0.5, len(set(lines)) / len(lines))
 
 
 def brute_mix(rows):
@@ -65,7 +65,7 @@ def test_mix_is_what_brute_force_gives(spark, monkeypatch, few, buckets):
     """With small limits the steps are narrowed many times."""
     monkeypatch.setattr(mixing, "FEW", few)
     monkeypatch.setattr(mixing, "BUCKETS", buckets)
-    rows = [(i, " ".join("w#$"[: 1 + (i * k) % 3] for k in range(i * 7 % 23)), f"s{i % 5}" if i % 11 else None) for i in range(300 if few > 1 else 60)]
+    rows = [(i, " \n"[i % 2].join("w#$"[: 1 + (i * k) % 3] for k in range(i * 7 % 23)), f"s{i % 5}" if i % 11 else None) for i in range(300 if few > 1 else 60)]
     rows += [(1_300, None, "s1"), (1_301, "", "tiny"), (1_302, "one", "tiny"), (1_303, "word " * 5_000, "s3"), (None, "a b c", "s2"), (1_304, "twice it is", "s4"), (1_304, "twice it is", "s4")]
     got = mixing.mix(docs(spark, rows)).collect()
     want = brute_mix(rows)

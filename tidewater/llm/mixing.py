@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, apart, discard, load, small, stash
+from .common import WORD, apart, discard, load, n_words, small, stash
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -41,24 +41,24 @@ SYMBOLS = "#$%&*!|<>{}[]=+_~^@\\/"
 MADE = ("_size", "_source_size", "_target", "_copies", "_part", "_taken")
 
 
-def quality(text: Column, words: Column) -> Column:
-    """Weight in [0.05, 1]: texts of symbols, and of few different words, get less than prose.
+def quality(text: Column) -> Column:
+    """Weight in [0.05, 1]: texts of symbols, and of repeated lines, get less than prose.
 
     A text with a symbol for every fourth character or more gets the least of the first
-    factor, one whose every second word at least is new gets all of the second.
+    factor; the second is the share of its different lines, half at least.
     """
     plain = 1.0 - 4.0 * (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))) / F.greatest(F.length(text), F.lit(1))
-    new = 2.0 * F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
-    return F.when(text.isNull(), 0.05).otherwise(F.greatest(F.lit(0.1), plain) * F.greatest(F.lit(0.5), F.least(F.lit(1.0), new)))
+    lines = F.split(text, "\n", -1)
+    new = F.size(F.array_distinct(lines)).cast("double") / F.size(lines)
+    return F.when(text.isNull(), 0.05).otherwise(F.greatest(F.lit(0.1), plain) * F.greatest(F.lit(0.5), new))
 
 
 def keyed(docs: DataFrame, weight: Column | None = None, seed: int = 0) -> DataFrame:
     """docs(doc_id, text, ...) and _size, _key: exponential keys scaled by the weight."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    scaled = -F.log(u) / (weight if weight is not None else quality(F.col("text"), words))
-    return docs.withColumns({"_size": F.size(words).cast("long"), "_key": scaled})
+    scaled = -F.log(u) / (weight if weight is not None else quality(F.col("text")))
+    return docs.withColumns({"_size": n_words(F.col("text")), "_key": scaled})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -162,10 +162,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH s AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    len(list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words FROM documents),
+    len(list_distinct(string_split(text, chr(10)))) AS new, len(string_split(text, chr(10))) AS lines FROM documents),
 k AS (SELECT doc_id, source, size,
     -ln((CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
-    / CASE WHEN text IS NULL THEN 0.05::DOUBLE ELSE greatest(0.1::DOUBLE, plain) * greatest(0.5::DOUBLE, least(1.0::DOUBLE, 2.0::DOUBLE * words / greatest(size, 1))) END AS key
+    / CASE WHEN text IS NULL THEN 0.05::DOUBLE ELSE greatest(0.1::DOUBLE, plain) * greatest(0.5::DOUBLE, new::DOUBLE / lines) END AS key
   FROM (SELECT *, 1.0::DOUBLE - 4.0::DOUBLE * (length(text) - length(translate(text, '#$%&*!|<>{}[]=+_~^@\/', ''))) / greatest(length(text), 1) AS plain FROM s)),
 z AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM z),
