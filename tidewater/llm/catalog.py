@@ -19,10 +19,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": urlfilter.query,
     "op9_warc": warc.query,
     "op10_fingerprints": fingerprints.query,
+    # what SQL can tell of operators that it can't express as a whole; the operators run whole
+    "pii_base_spans": pii.base_query,
+    "shard_counts": sharding.counts_query,
+    "url_rules": urlfilter.rules_query,
+    "fingerprint_edits": fingerprints.edits_query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
     "op6_exact_topk": topk.SQL,
     "op9_warc": warc.SQL,
+    "pii_base_spans": pii.BASE_SQL,
+    "shard_counts": sharding.COUNTS_SQL,
+    "url_rules": urlfilter.RULES_SQL,
+    "fingerprint_edits": fingerprints.EDITS_SQL,
 }

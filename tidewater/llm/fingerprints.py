@@ -253,3 +253,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
     found = small(stash(search(prints, prints.where(asks)).drop("distance"), "fp_found"))
     return prints.join(found, "fingerprint", "left").select(*prints.columns, F.when(asks, F.coalesce("n_near", F.lit(0))).alias("n_near"), F.when(asks, F.col("nearest")).alias("nearest"))
+
+
+def edits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of compare_edited(): sizes and edited texts."""
+    return query(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS following FROM d)
+SELECT doc_id, length(text) AS n_chars, sha256(left(text, length(text) - length(text) // 3) || left(following, length(text) // 3)) AS edited_sha256 FROM n
+"""

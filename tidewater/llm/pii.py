@@ -220,3 +220,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = extract(load(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return got.select("doc_id", *counts, F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of extract(): the base spans."""
+    return query(spark, sf_dir).drop("spans")
+
+
+#: A kind's matches and what lies between them; starts are running lengths of both.
+_MATCHES = """
+{kind}0 AS (SELECT id, regexp_extract_all(text, '{rx}') AS m, string_split_regex(text, '{rx}') AS g FROM d WHERE regexp_matches(text, '{rx}')),
+{kind}1 AS (SELECT id, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS begins FROM {kind}0),
+{kind} AS (SELECT id, {k} AS k, '{kind}' AS kind, begins, begins + length(m) AS upto, regexp_replace(m, '[^0-9]', '', 'g') AS digits, m FROM {kind}1),"""
+_LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(digits[-i] AS INTEGER) WHEN CAST(digits[-i] AS INTEGER) > 4 THEN CAST(digits[-i] AS INTEGER) * 2 - 9 ELSE CAST(digits[-i] AS INTEGER) * 2 END)) % 10 = 0"
+_PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, coalesce(text, '') AS text FROM documents),
+{"".join(_MATCHES.format(kind=kind, k=k, rx=_PLAIN[kind]) for k, kind in enumerate(KINDS))}
+a AS (SELECT * FROM email UNION ALL SELECT * FROM ip WHERE len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || left(ltrim(p, '0'), 3) AS INTEGER) > 255)) = 0
+  UNION ALL SELECT * FROM card WHERE length(digits) BETWEEN 12 AND 19 AND {_LUHN}
+  UNION ALL SELECT * FROM phone WHERE length(digits) BETWEEN 9 AND 15),
+s AS (SELECT id, {", ".join(f"count_if(kind = '{kind}') AS n_{kind}" for kind in KINDS)}, string_agg(kind || ':' || begins || ':' || upto, ',' ORDER BY begins, k) AS spans FROM a GROUP BY id)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind in KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN s USING (id)
+"""

@@ -122,3 +122,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("_home").alias("home_shard"),
     )
+
+
+def counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of shard(): how many rows and bytes there are, and that slots are gapless."""
+    got = query(spark, sf_dir)
+    each = got.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("size"), (F.max("slot") - F.min("slot") + 1).alias("span"), F.countDistinct("slot").alias("slots"))
+    all_ = each.groupBy().agg(F.sum("size").alias("size"))
+    return each.select("shard", "n", "span", "slots").join(F.broadcast(all_))  # one row
+
+
+COUNTS_SQL = """
+WITH t AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size FROM documents),
+s AS (SELECT CAST(range AS INTEGER) AS shard, n // 16 + CAST(range < n % 16 AS BIGINT) AS n, size FROM range(16), t)
+SELECT shard, n, n AS span, n AS slots, size FROM s WHERE n > 0
+"""

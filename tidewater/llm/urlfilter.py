@@ -14,8 +14,11 @@ work; the walk carries one row a host and goes on until the ranks stand still.
 
 Nulls and edge cases: a null url, or one without ://, has an empty host and path; no rule
 fits it, it takes no part in the graph, and its verdict is the default; a null html has no
-links; rows with equal page_id are judged each; hosts that no walk reaches get the
-default, allow; an empty table gives an empty result; other columns are left alone.
+links; rows with equal page_id, and repeated rows, are judged each and each of their links
+counts; very long urls and htmls are searched whole, in linear time; of rules of equal
+length the first in code point order wins; a host whose distrust equals its trust, or that
+no walk reaches, gets the default, allow; an empty table gives an empty result; the result
+has the named columns only, whatever others the table has.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, small, stash
+from .common import discard, load, small, stash
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -86,7 +89,7 @@ def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: i
     out = edges.groupBy("src").agg(F.sum("w").alias("o"))
     links = stash(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("o")).alias("p")), "walk_links")
     rank = start.select("host", F.col("s").alias("rank"))
-    i = 0
+    i, held = 0, None
     while mass and (rounds is None or i < rounds):
         i += 1
         check = rounds is None and i % 4 == 0
@@ -97,6 +100,9 @@ def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: i
             new = new.join(was, "host", "full").select("host", F.coalesce("rank", F.lit(0.0)).alias("rank"), F.coalesce("was", F.lit(0.0)).alias("was"))
         if i % 2 == 0 or i == rounds:
             new = stash(new, "walk")
+            if held is not None:
+                discard(held)
+            held = new
         rank = new.select("host", "rank")
         if check and (new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) <= tolerance * mass:
             break
@@ -125,3 +131,18 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, thr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of judge(): host, path, rule, and the verdicts of rules."""
+    got = query(spark, sf_dir)
+    return got.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+RULES_SQL = r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS n FROM pages),
+r(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT n, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(verdict, length(r.h || r.p)) AS ruled FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p) GROUP BY n)
+SELECT page_id, host, path, rule, ruled FROM p LEFT JOIN m USING (n)
+"""
