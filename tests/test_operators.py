@@ -71,7 +71,7 @@ def test_headings_only_are_cut_into_windows(spark):
     parts = K.chunks(steps, 300, 60)
     assert len(parts) > 5 and all(s is None and 25 <= len(t) <= 300 + 60 for s, t, _ in parts)
     assert all(any(s in t for _, t, _ in parts) for s in K.split_sentences(steps))
-    assert parts[0][2] == 0 and parts[1][1].startswith(K._tail(parts[0][1], 60)) and parts[1][2] == len(parts[0][1]) - len(K._tail(parts[0][1], 60))
+    assert parts[0][2] == 0 and parts[1][1].startswith(K._ending(parts[0][1], 60)) and parts[1][2] == len(parts[0][1]) - len(K._ending(parts[0][1], 60))
     docs = spark.createDataFrame([(1, text), (2, "# A\n# B")], "doc_id long, text string")
     assert [(r.doc_id, r.section) for r in K.chunk_documents(docs).collect()] == [(1, None)]
 
@@ -115,7 +115,7 @@ def test_search_takes_every_query(spark, monkeypatch, tmp_path):
 
 def test_versions(spark):
     rows = [("f", 1, "a"), ("f", 2, "a"), ("f", 3, "b"), ("f", 4, "a"), ("g", 1, None)]
-    got = K.versions(spark.createDataFrame(rows, "f string, n int, hash string"), ["f"], ["n"]).where("f = 'f'").orderBy("n").collect()
+    got = K.versions(spark.createDataFrame(rows, "f string, n int, hash string"), ["f"], "n").where("f = 'f'").orderBy("n").collect()
     assert [(r.n, r.version, r.status) for r in got] == [(1, 1, "superseded"), (3, 2, "superseded"), (4, 3, "active")]
 
 

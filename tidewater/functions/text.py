@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,11 +25,8 @@ CLAIM = r"(?i)(?:rs\.?\s?)?\b\d{1,3}(?:,\d{3})+\b|\b\d+\s*(?:days|day|weeks|week
 
 
 def contains_any(text: Column, terms: tuple[str, ...] | list[str]) -> Column:
-    """Whether one of the terms is in the text, also inside a word."""
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | text.contains(t)
-    return hit
+    """Whether one of the terms is in the text, also inside a word: one expression, however many terms."""
+    return text.rlike("|".join(map(re.escape, terms))) if terms else F.lit(False)
 
 
 def count_terms(text: Column, terms: tuple[str, ...] | list[str]) -> Column:
@@ -153,9 +153,26 @@ def unsupported_claims(answer: Column, evidence: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(claims(answer), lambda c: (F.length(digits(c)) >= 2) & ~F.contains(hay, digits(c))), lambda c: F.trim(c)))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and the letters they decompose to."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x250)]
+    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and b[0].isascii() and all(map(unicodedata.combining, b[1:]))]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_marks(text: Column) -> Column:
+    """Letters without their marks, whether written as one character or as two."""
+    return F.regexp_replace(F.translate(text, *_plain_letters()), "\\p{M}+", "")
+
+
+def listed(text: Column) -> Column:
+    """array<string>: the parts between commas, trimmed, without blank ones; null and blank give none."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def slug(text: Column, most: int = 80) -> Column:
-    """Lower case, & spelled out, anything else than letters and digits a hyphen."""
-    out = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "-")
+    """Lower case, without marks, & spelled out, anything else than letters and digits a hyphen."""
+    out = F.regexp_replace(F.replace(F.lower(without_marks(text)), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "-")
     return F.regexp_replace(F.substring(F.regexp_replace(out, "^-+|-+$", ""), 1, most), "-+$", "")
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text as T
 
@@ -18,117 +21,111 @@ CHUNK_SIZE, OVERLAP, LEAST_CHUNK, LEAST_BUDGET = 900, 150, 25, 200
 #: Vectors that a part of a search has, about; queries that pass by it at once.
 PART_ROWS, QUERY_SLICE = 32_768, 128
 WEIGHTS = (0.55, 0.15, 0.30)  # best similarity, agreement of the next two, coverage of the terms
-_MARKDOWN = re.compile(r"(#{1,6})\s+(.*\S)\s*$")
-_NUMBERED = re.compile(r"(\d+(?:\.\d+)*)[.)]\s+([A-Z].{2,80})$")
-_SHORT = re.compile(r"\b(?:Rs|No)\.|\b[eE]\.[gG]\.|\b[iI]\.[eE]\.|\b[aA]pprox\.")
-_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
+# What is a heading, what ends a sentence and which abbreviations don't.
+HEADING = r"^(?:(?P<marks>#{1,6})[^\S\n]+(?P<title>\S.*?)[^\S\n]*|(?P<number>\d+(?:\.\d+)*)[.)][^\S\n]+(?P<name>[A-Z].{2,80}))$"
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9])"
+ABBREVIATION = r"\b(?:Rs|No)\.|\b[eE]\.[gG]\.|\b[iI]\.[eE]\.|\b[aA]pprox\."
+
+_HEADING, _GAP, _ABBREVIATION = re.compile(HEADING, re.MULTILINE), re.compile(SENTENCE_GAP), re.compile(ABBREVIATION)
 
 
 def split_sentences(text: str) -> list[str]:
-    held = _SHORT.sub(lambda m: m.group().replace(".", "\0"), text)
-    return [s for s in (p.replace("\0", ".").strip() for p in _END.split(held)) if s]
-
-
-def sections(text: str) -> list[tuple[int, str | None, str, int]]:
-    """(level, heading, body, offset), cut at Markdown and numbered headings."""
-    out: list[tuple[int, str | None, str, int]] = []
-    level, heading, lines, start, at = 0, None, [], 0, 0
-    for line in [*text.split("\n"), None]:
-        m = _MARKDOWN.match(line) if line is not None else None
-        n = _NUMBERED.match(line) if line is not None and not m else None
-        if line is None or m or n:
-            body = "\n".join(lines).strip()
-            if body or heading:
-                out.append((level, heading, body, start))
-            lines = []
-            if m:
-                level, heading, start = len(m[1]), m[2].strip(), at
-            elif n:
-                level, heading, start = n[1].count(".") + 1, f"{n[1]} {n[2]}".strip(), at
-        else:
-            lines.append(line)
-        at += len(line or "") + 1
-    return out
+    held = _ABBREVIATION.sub(lambda m: m.group().replace(".", "\0"), text)
+    return [s for s in (p.replace("\0", ".").strip() for p in _GAP.split(held)) if s]
+
+
+def sections(text: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """(headings that lead here, body, offset) of what lies between a document's headings.
+
+    Of the headings before, those lead here that are the last of a level above all later ones.
+    """
+    found = list(_HEADING.finditer(text))
+    ends = [m.start() for m in found[1:]] + [len(text)]
+    out = [((), text[: found[0].start() if found else len(text)].strip(), 0)]
+    leads: dict[int, str] = {}
+    for m, end in zip(found, ends, strict=False):
+        level = len(m["marks"]) if m["marks"] else m["number"].count(".") + 1
+        leads = {at: h for at, h in leads.items() if at < level} | {level: m["title"] or f"{m['number']} {m['name']}".strip()}
+        out.append((tuple(leads.values()), text[m.end() : end].strip(), m.start()))
+    return [s for s in out if s[0] or s[1]]
+
 
+class Lengths:
+    """Running lengths of pieces that are joined by a glue."""
 
-def trail(path: list[tuple[int, str]], level: int, heading: str | None) -> list[tuple[int, str]]:
-    """Headings above a section: the nearest of each smaller level, then its own."""
-    if heading is None:
-        return path
-    return [*[p for p in path if p[0] < level], (level, heading)]
+    def __init__(self, pieces: list[str], glue: str) -> None:
+        self.pieces, self.glue = pieces, glue
+        self.upto = [0, *accumulate(len(p) + len(glue) for p in pieces)]
 
+    def between(self, a: int, b: int) -> int:
+        return self.upto[b] - self.upto[a] - len(self.glue)
 
-def _tail(text: str, most: int) -> str:
-    """Whole sentences from the end, one at least, most characters together."""
-    picked: list[str] = []
-    total = 0
-    for s in reversed(split_sentences(text) if most > 0 else []):
-        if picked and total + len(s) > most:
-            break
-        picked.append(s)
-        total += len(s) + 1
-    return " ".join(reversed(picked))
+    def join(self, a: int, b: int) -> str:
+        return self.glue.join(self.pieces[a:b])
 
+    def reach(self, a: int, room: int) -> int:
+        """The end of the longest run from a on that fits; one piece at least."""
+        return max(a + 1, bisect_right(self.upto, self.upto[a] + room + len(self.glue)) - 1)
 
-def _units(body: str, budget: int) -> Iterator[str]:
+    def last(self, b: int, room: int) -> int:
+        """The beginning of the longest run up to b that fits; one piece at least."""
+        return min(b - 1, bisect_left(self.upto, self.upto[b] - room - len(self.glue)))
+
+
+def _ending(text: str, room: int) -> str:
+    """Whole sentences from the end of a text that fit, one at least; none without room."""
+    s = Lengths(split_sentences(text), " ")
+    return s.join(s.last(len(s.pieces), room), len(s.pieces)) if s.pieces and room > 0 else ""
+
+
+def _units(body: str, room: int) -> list[str]:
     """Paragraphs, and runs of sentences of those that are too long."""
-    for p in (p.strip() for p in re.split(r"\n{2,}", body)):
-        if len(p) <= budget:
-            if p:
-                yield p
-            continue
-        now = ""
-        for s in split_sentences(p):
-            if now and len(now) + len(s) + 1 > budget:
-                yield now.strip()
-                now = ""
-            now = f"{now} {s}" if now else s
-        if now.strip():
-            yield now.strip()
+    out = []
+    for p in filter(None, map(str.strip, re.split(r"\n{2,}", body))):
+        s, at = Lengths(split_sentences(p) if len(p) > room else [p], " "), 0
+        while at < len(s.pieces):
+            out.append(s.join(at, end := s.reach(at, room)))
+            at = end
+    return out
 
 
 def chunks(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[tuple[str | None, str, int]]:
     """(section, text, start) of a document's chunks.
 
-    Units are packed up to the size; a chunk begins with the last sentences of the one
-    before, which don't count against the size. A packed buffer under 25 characters isn't
-    cut off but grows into the next. A text of headings only, or of tiny sections, is cut
-    into windows of sentences.
+    A chunk is a run of units whose joined length fits, below the headings that lead to it.
+    It begins with the last sentences of the one before, which don't count against the size.
+    A run that would make a chunk of under 25 characters takes in the next unit, too. A text of
+    headings only, or of tiny sections, is cut into windows of sentences.
     """
     overlap = min(overlap, size // 2)
     out: list[tuple[str | None, str, int]] = []
-    path: list[tuple[int, str]] = []
-    for level, heading, body, offset in sections(text):
-        path = trail(path, level, heading)
-        prefix = " > ".join(h for _, h in path) + "\n" if path else ""
-        budget = max(LEAST_BUDGET, size - len(prefix))
-        held, carry, start = "", "", offset
-        for unit in [*_units(body, budget), None]:
-            if held and (unit is None or len(held) + len(unit) + 2 > budget):
-                whole = f"{carry}\n\n{held}" if carry else held
-                full = (prefix + whole).strip()
-                if len(full) >= LEAST_CHUNK:
-                    out.append((heading, full, start))
-                    carry, start, held = _tail(held, overlap), start + len(whole), ""
-            if unit is not None:
-                held = f"{held}\n\n{unit}" if held else unit
+    for leads, body, start in sections(text):
+        above = " > ".join(leads) + "\n" if leads else ""
+        room = max(LEAST_BUDGET, size - len(above))
+        units, at, carry = Lengths(_units(body, room), "\n\n"), 0, ""
+        while at < len(units.pieces):
+            before = carry + "\n\n" if carry else ""
+            end = units.reach(at, room)
+            while (short := len(above) + len(before) + units.between(at, end) < LEAST_CHUNK) and end < len(units.pieces):
+                end += 1
+            if short:
+                break
+            run = units.join(at, end)
+            out.append((leads[-1] if leads else None, above + before + run, start))
+            at, start, carry = end, start + len(before) + len(run), _ending(run, overlap)
     return out or _windows(text, size, overlap)
 
 
 def _windows(text: str, size: int, overlap: int) -> list[tuple[None, str, int]]:
-    """Whole sentences up to the size, with overlap: for texts whose sections give no chunk."""
-    out: list[tuple[None, str, int]] = []
-    if len(text.strip()) < LEAST_CHUNK:
-        return out
-    held, start = "", 0
-    for s in split_sentences(text):
-        if held and len(held) + len(s) + 1 > size:
-            out.append((None, held.strip(), start))
-            carry = _tail(held, overlap)
-            start, held = start + len(held) - len(carry), carry
-        held = f"{held} {s}" if held else s
-    if len(held.strip()) >= LEAST_CHUNK:
-        out.append((None, held.strip(), start))
+    """Whole sentences up to the size, each window with the end of the one before: for texts whose sections give no chunk."""
+    s, out, at, end = Lengths(split_sentences(text), " "), [], 0, 0
+    n = len(s.pieces)
+    while len(text.strip()) >= LEAST_CHUNK and end < n:
+        # at least one sentence that the window before doesn't have
+        end = max(end + 1, s.reach(at, size))
+        if end < n or s.between(at, end) >= LEAST_CHUNK:
+            out.append((None, s.join(at, end), s.upto[at]))
+        at = s.last(end, overlap) if overlap > 0 else end
     return out
 
 
@@ -160,12 +157,13 @@ def _buckets(feature: str, dims: int) -> tuple[tuple[int, int], tuple[int, int]]
     return tuple((h % dims, 1 - 2 * (h >> 16 & 1)) for h in pair)
 
 
-def hashed_embedding(docs: DataFrame, dims: int = 64) -> DataFrame:
-    """(doc_id, embedding): words count 1, pairs of neighbours 0.6; 1 + ln(count) in two signed buckets; length 1.
+def hashed_embedding(docs: DataFrame, dims: int = 64, text: str = "text") -> DataFrame:
+    """docs, without its text where that is the column text, and embedding: words count 1, pairs of neighbours 0.6; 1 + ln(count) in two signed buckets; length 1.
 
     Terms are made by Spark; a task only hashes the distinct features of its rows.
     """
-    listed = docs.select("doc_id", T.terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    kept = [c for c in docs.columns if c not in ("text", "embedding")]
+    listed = docs.select(*kept, T.terms(F.coalesce(text, F.lit(""))).alias("terms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
@@ -188,9 +186,9 @@ def hashed_embedding(docs: DataFrame, dims: int = 64) -> DataFrame:
                         v[at] += sign * (1 + math.log(n))
                 length = math.sqrt(sum(x * x for x in v))
                 out.append([x / length for x in v] if length else v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.list_(pa.float64()))], [*kept, "embedding"])
 
-    return listed.mapInArrow(run, "doc_id long, embedding array<double>")
+    return listed.mapInArrow(run, StructType([*(f for f in listed.schema if f.name != "terms"), StructField("embedding", ArrayType(DoubleType()))]))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -290,12 +288,30 @@ def confidence(ranked: DataFrame, coverage: Column | None = None) -> DataFrame:
     return got.withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)), 3))
 
 
-def versions(arrivals: DataFrame, keys: list[str], order: list[str], digest: str = "hash") -> DataFrame:
-    """Rows whose content differs from the one before, numbered; the last is active, others superseded."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = arrivals.withColumn("_was", F.lag(digest).over(w)).where(~F.col("_was").eqNullSafe(F.col(digest))).drop("_was")
-    ranked = changed.withColumn("version", F.row_number().over(w)).withColumn("_next", F.lead(digest).over(w))
-    return ranked.withColumn("status", F.when(F.col("_next").isNull(), "active").otherwise("superseded")).drop("_next")
+def versions(arrivals: DataFrame, keys: list[str], order: str, digest: str = "hash", width: int = 10_000) -> DataFrame:
+    """Rows whose content differs from the one before, numbered; the last is active, others superseded.
+
+    order is a whole number. A key's rows are taken by stretches of `width` of it: what a
+    stretch knows of its neighbours is one row each (the last content before it, how many
+    versions lie before it, whether any comes after), so that no task holds all of a key.
+    """
+    stretch = F.floor(F.col(order) / width).alias("_at")
+    rows = arrivals.withColumn("_at", stretch)
+    # keys may be null, and are joined as such
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*keys, "_at"]])
+    over = Window.partitionBy(*keys).orderBy("_at")
+    ends = rows.groupBy(*keys, "_at").agg(F.max_by(F.struct(digest), order).alias("_last"))
+    ends = ends.withColumn("_prior", F.lag("_last").over(over)).drop("_last")
+    within = Window.partitionBy(*keys, "_at").orderBy(order)
+    both = rows.alias("r").join(ends.alias("e"), same("r", "e")).select("r.*", "e._prior")
+    was = F.coalesce(F.lag(F.struct(digest)).over(within), F.col("_prior"))
+    changed = both.withColumn("_was", was).where(F.col("_was").isNull() | ~F.col(f"_was.{digest}").eqNullSafe(F.col(digest))).drop("_was", "_prior")
+    counts = changed.groupBy(*keys, "_at").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(over) - F.col("_n")).withColumn("_more", F.lead("_n").over(over).isNotNull()).drop("_n")
+    numbered = changed.withColumn("_k", F.row_number().over(within)).withColumn("_after", F.lead(order).over(within).isNotNull())
+    got = numbered.alias("r").join(counts.alias("e"), same("r", "e"))
+    active = ~(F.col("_after") | F.col("_more"))
+    return got.select(*[f"r.{c}" for c in arrivals.columns], (F.col("_before") + F.col("_k")).cast("int").alias("version"), F.when(active, "active").otherwise("superseded").alias("status"))
 
 
 def extractive_answer(chunks_: DataFrame, terms: Column, k: int = 3) -> DataFrame:

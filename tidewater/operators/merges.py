@@ -61,3 +61,21 @@ def duplicates(frame: DataFrame, keys: list[str]) -> DataFrame:
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose key isn't null and has no parent."""
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias("_p")), F.col(key) == F.col("_p"), "left_anti")
+
+
+def contained(parts: DataFrame, part: str, texts: DataFrame, text: str, gram: int = 4) -> DataFrame:
+    """The distinct values of the column part that are a substring of some text.
+
+    No part is tried against every text: parts and texts meet where they share a piece of
+    `gram` characters (a shorter part is its own piece), of each part the one that fewest texts
+    have. Pieces that no text has end the search for their part.
+    """
+    wanted = parts.select(F.col(part).alias("_p")).where(F.col(part) != "").distinct()
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+    c, p = F.col("_t"), F.col("_p")
+    said = texts.select(F.col(text).alias("_t")).where(F.col(text) != "").distinct()
+    some = F.flatten(F.array(*[F.when(F.length(c) >= n, pieces(c, n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1)]))
+    have = said.select("_t", F.explode(some).alias("_g"))
+    own = wanted.select("_p", F.explode(F.when(F.length(p) >= gram, pieces(p, gram)).otherwise(F.array(p))).alias("_g"))
+    rare = own.join(have.groupBy("_g").agg(F.count("*").alias("_n")), "_g", "left").groupBy("_p").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_g"))
+    return rare.join(have, "_g").where(F.contains("_t", "_p")).select(p.alias(part)).distinct()

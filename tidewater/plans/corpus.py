@@ -11,7 +11,7 @@ from ..functions import values as V
 from ..operators import aggregates as A
 from ..operators import knowledge as K
 from ..operators import merges as M
-from .registry import query, table
+from .registry import AS_OF, as_of, moment, query, table
 
 
 def _any(column: str, terms: tuple[str, ...]) -> str:
@@ -74,13 +74,14 @@ def intent_classify(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "SELECT conv_id, turn, CASE trig WHEN 'customer_requested_human' THEN 'other' WHEN 'complex_refund' THEN 'refund_request' ELSE trig END AS issue, CASE WHEN trig IN ('damaged_product', 'angry_customer') THEN 'urgent' ELSE 'high' END AS priority, "
-    "CASE WHEN trig IN ('damaged_product', 'angry_customer') THEN 1 ELSE 4 END AS hours FROM (SELECT *, CASE WHEN human THEN 'customer_requested_human' WHEN damaged THEN 'damaged_product' WHEN angry THEN 'angry_customer' WHEN refund THEN 'complex_refund' END AS trig "
+    "CASE WHEN trig IN ('damaged_product', 'angry_customer') THEN 1 ELSE 4 END AS hours, strftime(TIMESTAMP '" + AS_OF + "' + to_hours(CASE WHEN trig IN ('damaged_product', 'angry_customer') THEN 1 ELSE 4 END), '%Y-%m-%d %H:%M:%S') AS due FROM (SELECT *, CASE WHEN human THEN 'customer_requested_human' WHEN damaged THEN 'damaged_product' WHEN angry THEN 'angry_customer' WHEN refund THEN 'complex_refund' END AS trig "
     f"FROM {_FLAGS}) WHERE trig IS NOT NULL"
 )
 def escalation_policy(spark: SparkSession, d: str) -> DataFrame:
-    """Messages that go to a person, with issue, priority and real hours to answer."""
+    """Messages that go to a person, with issue, priority, hours to answer, and the moment when they are over."""
     got = _said(spark, d).select("conv_id", "turn", R.escalation(F.col("said")).alias("e")).where("e is not null")
-    return got.select("conv_id", "turn", "e.issue", "e.priority", "e.hours")
+    due = moment(as_of() + F.make_dt_interval(hours=F.col("e.hours")))
+    return got.select("conv_id", "turn", "e.issue", "e.priority", "e.hours", due.alias("due"))
 
 
 @query(f"SELECT conv_id, turn, 'UC-' || regexp_extract(said, '(?i)\\buc[- ]?([0-9]{{5}})\\b', 1) AS order_number FROM {_SAID} WHERE regexp_matches(said, '(?i)\\buc[- ]?[0-9]{{5}}\\b')")
@@ -88,28 +89,32 @@ def order_number_extract(spark: SparkSession, d: str) -> DataFrame:
     return _said(spark, d).select("conv_id", "turn", R.order_number(F.col("said")).alias("order_number")).where("order_number is not null")
 
 
-@query(f"SELECT conv_id, turn, CAST(CASE WHEN contains(said, '2 lakh') THEN 200000 WHEN contains(said, '45,000') THEN 45000 END AS BIGINT) AS budget FROM {_SAID} WHERE contains(said, '2 lakh') OR contains(said, '45,000')")
-def budget_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = _said(spark, d).where(F.col("said").contains("2 lakh") | F.col("said").contains("45,000"))
-    return rows.select("conv_id", "turn", V.budget_in(F.col("said")).alias("budget"))
+def _amount(x: str) -> str:
+    """SQL: the whole amount that a text states."""
+    t = f"trim(regexp_replace(lower({x}), 'rs\\.?|pkr|rupees?', '', 'g'))"
+    scaled = " ".join(f"WHEN regexp_matches({t}, '[0-9.]+\\s*{unit}') THEN CAST(floor(TRY_CAST(regexp_extract({t}, '([0-9.]+)\\s*{unit}', 1) AS DOUBLE) * {n} + 0.5) AS BIGINT)" for unit, n in (("(?:lakhs|lakh|lac)", 100_000), ("crore", 10_000_000), ("k\\b", 1_000)))
+    return f"CASE {scaled} ELSE CAST(floor(TRY_CAST(nullif(regexp_extract(regexp_replace({t}, '[,\\s]', '', 'g'), '([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) + 0.5) AS BIGINT) END"
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN contains(t, 'lahore') THEN 'Lahore' END AS location, CASE WHEN regexp_matches(t, '\\b(just (asking|checking|browsing|looking)|curious|window shopping)\\b') THEN 'browsing' WHEN {_any('t', R.BUY)} THEN 'considering' END AS stage FROM {_LOW} WHERE contains(t, 'lahore') OR contains(t, 'browsing') OR contains(t, 'want to buy')")
-def entities_extract(spark: SparkSession, d: str) -> DataFrame:
-    said = F.col("said")
-    t = F.lower(said)
-    rows = _said(spark, d).where(t.contains("lahore") | t.contains("browsing") | t.contains("want to buy"))
-    return rows.select("conv_id", "turn", R.location(said).alias("location"), R.buying_stage(said).alias("stage"))
+_STATED = (
+    r"(?i)\b(?:budget|afford|spend|spending|price range|under|below|around|about|up\s?to|maximum|max)\b[^0-9]{0,24}((?:(?:rs\.?|pkr)?\s?[0-9][0-9,.\s]*\s*(?:k\b|lakhs|lakh|lac|crore)?))",
+    r"(?i)\b(?:rs\.?|pkr)\s?([0-9][0-9,.\s]*\s*(?:k\b|lakh|lac|crore)?)", r"(?i)\b([0-9.]+\s*(?:k|lakhs|lakh|lac|crore)\b)",
+)
+_BUDGET = "coalesce(" + ", ".join(f"CASE WHEN ({_amount(f'a{i}')}) > 0 THEN {_amount(f'a{i}')} END" for i in range(3)) + ")"
+
+
+@query(f"SELECT conv_id, turn, {_BUDGET} AS budget FROM (SELECT conv_id, turn, " + ", ".join(f"nullif(regexp_extract(said, '{p}', 1), '') AS a{i}" for i, p in enumerate(_STATED)) + f" FROM {_SAID})")
+def budget_extract(spark: SparkSession, d: str) -> DataFrame:
+    return _said(spark, d).select("conv_id", "turn", V.budget_in(F.col("said")).alias("budget"))
 
 
 @query(
-    "SELECT event_id, CASE WHEN " + _any("a", R.FORBIDDEN) + " THEN 'blocked' WHEN a IN ('create_task', 'update_task_owner', 'flag_record', 'add_note') THEN 'approved' ELSE 'blocked' END AS verdict "
-    "FROM (SELECT event_id, ['create_task', 'send_email', 'flag_record', 'issue_refund', 'add_note', 'reboot'][CAST(event_id % 6 AS INTEGER) + 1] AS a FROM events)"
+    "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(regexp_replace(t, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\b{c}\\b') THEN '{c.capitalize()}'" for c in R.CITIES)
+    + " END AS location, CASE " + " ".join(f"WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN '{stage}'" for stage, p in R.BUYING_STAGES) + f" WHEN {_any('t', R.BUY)} THEN 'considering' END AS stage FROM {_LOW}"
 )
-def action_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Proposed actions: forbidden ones first, then the safe list, else blocked."""
-    said = F.element_at(F.array(*map(F.lit, ("Create Task | call back", "send_email | offer", "Flag  Record", "issue refund | 20", "add_note", "reboot"))), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", R.guard(said).alias("verdict"))
+def entities_extract(spark: SparkSession, d: str) -> DataFrame:
+    said = F.col("said")
+    return _said(spark, d).select("conv_id", "turn", R.location(said).alias("location"), R.buying_stage(said).alias("stage"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, length(coalesce(text, '')) AS n_chars, CAST(ceil(length(coalesce(text, '')) / 4.0) AS INTEGER) AS token_estimate, CASE WHEN length(trim(coalesce(text, ''))) < 20 THEN 'failed' ELSE 'ok' END AS status FROM documents")
@@ -118,20 +123,57 @@ def document_facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(t.cast("binary"), 256).alias("content_hash"), F.length(t).cast("long").alias("n_chars"), T.token_estimate(t).alias("token_estimate"), F.when(F.length(F.trim(t)) < 20, "failed").otherwise("ok").alias("status"))
 
 
-@query()
+def _chain(x: str, steps: tuple[tuple[str, str], ...]) -> str:
+    """SQL: replacements one after the other."""
+    for pattern, put in steps:
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', {put if put.startswith('chr') or put.startswith(chr(39)) else chr(39) + put + chr(39)}, 'g')"
+    return x
+
+
+_CLEAN = _chain("coalesce(text, '')", (
+    (r"\r\n?", "chr(10)"), ("[\u2018\u2019\u201b]", "chr(39)"), ("[\u201c\u201d]", '"'), ("[\u2013\u2014]", "-"), ("\u2026", "..."), ("\u00a0", " "), (r"\f", "chr(10)"),
+    (r"([0-9A-Za-z_])-\n([0-9A-Za-z_])", r"\1\2"), (r"\\([.\-+*_\[\]()#!`>~|$%])", r"\1"),
+    (r"(?im)^[^\S\n]*(?:page[^\S\n]+)?\d+[^\S\n]*(?:of[^\S\n]+\d+)?[^\S\n]*(?:\n|\z)", ""), (r"[ \t]+", " "), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", ""),
+))
+_HTML = _chain("coalesce(html, '')", (
+    (r"(?is)<script\b.*?</script>", ""), (r"(?is)<style\b.*?</style>", ""), (r"(?s)<!--.*?-->", ""), *((rf"(?i)<h{n}[^>]*>", f"chr(10) || '{'#' * n} '") for n in range(1, 7)),
+    (r"(?i)<li[^>]*>", "chr(10) || '- '"), (r"(?i)</t[dh]>", " | "), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</(p|div|h[1-6]|tr|table|ul|ol|section|article)>", "chr(10) || chr(10)"),
+    (r"<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "chr(39)"), ("&amp;", "&"), (r"[ \t]+", " "), (r" ?\n ?", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", ""),
+))
+
+
+def _stem(w: str) -> tuple[str, ...]:
+    """SQL: the steps of a stem, each from the column w of the one before."""
+    rules = " ".join(f"WHEN ends_with(w, '{a}') AND length(w) - {len(a) - len(b)} >= {T.SHORTEST_STEM} THEN left(w, length(w) - {len(a)}) || '{b}'" for a, b in T.SUFFIXES)
+    return (
+        f"CASE {rules} ELSE w END", "CASE WHEN ends_with(w, 'ate') AND length(w) > 6 THEN left(w, length(w) - 3) ELSE w END",
+        f"CASE WHEN regexp_matches(w, '(bb|dd|ff|gg|ll|mm|nn|pp|rr|tt)$') AND length(w) > {T.SHORTEST_STEM} THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN length(w) > {T.SHORTEST_STEM} AND regexp_matches(w, '(s|x|z|ch|sh)es$') THEN left(w, length(w) - 2) WHEN length(w) > {T.SHORTEST_STEM} AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END",
+    )
+
+
+_WORDS = "(SELECT w FROM (SELECT unnest(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS w FROM documents) WHERE length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"
+_TERMS = _WORDS
+for _step in _stem("w"):
+    _TERMS = f"(SELECT {_step} AS w FROM {_TERMS})"
+
+
+@query(f"SELECT doc_id, sha256({_CLEAN}) AS clean_sha256 FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(T.clean(F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("clean_sha256"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: length(trim(s)) > 0)) AS n_sentences FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(Rs|No|[Aa]pprox|[.!?]\\s+[A-Z0-9][.!?])[.]?') AND NOT regexp_matches(coalesce(text, ''), '(?i)(e\\.g\\.|i\\.e\\.)') AND NOT regexp_matches(coalesce(text, ''), '[.!?]\\s+[A-Z0-9][.!?]\\s+[A-Z0-9]')")
+_HELD = _chain("coalesce(text, '')", ((r"\bRs\.", "'Rs' || chr(1)"), (r"(?i)\b(e)\.(g)\.", r"'\1' || chr(1) || '\2' || chr(1)"), (r"(?i)\b(i)\.(e)\.", r"'\1' || chr(1) || '\2' || chr(1)"), (r"\bNo\.", "'No' || chr(1)"), (r"(?i)\b(Approx)\.", r"'\1' || chr(1)")))
+# what follows a gap isn't consumed there, so gaps are marked twice: a mark may itself begin the next
+_GAPS = _chain(_HELD, ((r"([.!?])\s+([A-Z0-9])", r"'\1' || chr(2) || '\2'"), (r"([.!?])\s+([A-Z0-9])", r"'\1' || chr(2) || '\2'")))
+
+
+@query(f"SELECT doc_id, count(*) FILTER (length(trim(translate(s, chr(1), '.'), ' ')) > 0) AS n_sentences FROM (SELECT doc_id, unnest(string_split({_GAPS}, chr(2))) AS s FROM documents) GROUP BY 1")
 def split_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of texts without abbreviations, which is what SQL can say; units test the rest."""
-    t = F.coalesce("text", F.lit(""))
-    plain = table(spark, d, "documents").where(~t.rlike(r"(Rs|No|[Aa]pprox|[.!?]\s+[A-Z0-9][.!?])[.]?") & ~t.rlike(r"(?i)(e\.g\.|i\.e\.)") & ~t.rlike(r"[.!?]\s+[A-Z0-9][.!?]\s+[A-Z0-9]"))
-    return plain.select("doc_id", F.size(T.sentences(t)).cast("long").alias("n_sentences"))
+    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.coalesce("text", F.lit("")))).cast("long").alias("n_sentences"))
 
 
-@query()
+@query(f"SELECT w AS term, count(*) AS n FROM {_TERMS} GROUP BY 1")
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed terms of each document, counted; Spark counts, so no text leaves its row."""
     each = table(spark, d, "documents").select(F.explode(T.words(F.coalesce("text", F.lit("")))).alias("word"))
@@ -150,20 +192,28 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     return K.repeated_lines(table(spark, d, "documents").select("source", "doc_id", "text"), ["source"], "doc_id", 0.05)
 
 
-@query()
+@query(f"SELECT page_id, {_HTML} AS text FROM pages")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.html_to_text(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-@query()
+_CLAIM = r"(?i)(?:rs\.?\s?)?\b\d{1,3}(?:,\d{3})+\b|\b\d+\s*(?:days|day|weeks|week|months|month|years|year|%|percent)\b|\brs\.?\s?\d+\b"
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, regexp_extract_all(coalesce(d.text, '') || ' Returned within 14 days it costs Rs. 1,200.', '{_CLAIM}') AS said,
+      translate(lower(concat_ws(' ', i.text, CASE WHEN doc_id % 2 = 0 THEN 'The fee is Rs 1,200' END)), 'rs., ' || chr(9) || chr(10), '') AS hay FROM documents d LEFT JOIN benchmark i ON i.item_id = doc_id % 50),
+    c AS (SELECT DISTINCT doc_id, trim(c) AS claim FROM (SELECT doc_id, hay, unnest(said) AS c FROM b) WHERE length(regexp_replace(c, '[^0-9]', '', 'g')) >= 2 AND NOT contains(hay, regexp_replace(c, '[^0-9]', '', 'g')))
+    SELECT doc_id, count(*) AS n, string_agg(claim, '|' ORDER BY claim) AS claims FROM c GROUP BY 1"""
+)
 def unsupported_claims(spark: SparkSession, d: str) -> DataFrame:
     """Numeric claims of documents that the next benchmark item doesn't hold."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence"))
-    docs = table(spark, d, "documents").where(F.col("text").rlike("[0-9]")).withColumn("item_id", F.col("doc_id") % 50)
-    both = docs.join(items, "item_id", "left")
-    answer = F.concat_ws(" ", "text", F.lit("Returned within 14 days it costs Rs. 1,200."))
+    both = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 50).join(items, "item_id", "left")
+    answer = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.lit("Returned within 14 days it costs Rs. 1,200."))
     known = F.concat_ws(" ", "evidence", F.when(F.col("doc_id") % 2 == 0, "The fee is Rs 1,200"))
-    return both.select("doc_id", T.unsupported_claims(answer, known).alias("claims")).where(F.size("claims") > 0)
+    got = both.select("doc_id", F.array_sort(T.unsupported_claims(answer, known)).alias("c")).where(F.size("c") > 0)
+    return got.select("doc_id", F.size("c").cast("long").alias("n"), F.array_join("c", "|").alias("claims"))
 
 
 @query(
@@ -174,7 +224,7 @@ def unsupported_claims(spark: SparkSession, d: str) -> DataFrame:
 def doc_hash_versions(spark: SparkSession, d: str) -> DataFrame:
     """A source's documents as arrivals of one file: only changed content makes a version."""
     arrivals = table(spark, d, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("hash"))
-    return K.versions(arrivals, ["source"], ["doc_id"]).select("doc_id", "source", "version", "status")
+    return K.versions(arrivals, ["source"], "doc_id").select("doc_id", "source", "version", "status")
 
 
 @query("SELECT d.doc_id, CASE WHEN p.doc_id IS NULL THEN 'created' WHEN p.h <> sha256(d.text) THEN 'updated' ELSE 'skipped' END AS action FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256('old') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 0) p USING (doc_id)")
@@ -193,7 +243,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return K.hashed_embedding(table(spark, d, "documents"))
+    return K.hashed_embedding(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -282,11 +332,10 @@ def grounding_status_all(spark: SparkSession, d: str) -> DataFrame:
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of the chunks nearest to every 20th benchmark item that share most terms with the item."""
     items = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text"), T.terms(F.col("text")).alias("asked"))
-    asked = K.hashed_embedding(items.select(F.col("query_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"))
-    pieces = K.chunk_documents(table(spark, d, "documents"))
-    keyed = pieces.withColumn("_id", F.xxhash64("doc_id", "chunk_index"))
-    vectors = K.hashed_embedding(keyed.select(F.col("_id").alias("doc_id"), F.col("chunk_text").alias("text"))).withColumnRenamed("doc_id", "_id")
-    near = K.top_k(vectors, asked, 5, 0.08, order=[F.col("_id")]).join(keyed.select("_id", "chunk_text"), "_id").join(items.select("query_id", "asked"), "query_id")
+    asked = K.hashed_embedding(items.select("query_id", "text")).withColumnRenamed("embedding", "query")
+    # chunks keep their texts through the search, so that they are made once
+    pieces = K.hashed_embedding(K.chunk_documents(table(spark, d, "documents")).select("doc_id", "chunk_index", "chunk_text"), text="chunk_text")
+    near = K.top_k(pieces, asked, 5, 0.08, order=[F.col("doc_id"), F.col("chunk_index")]).join(items.select("query_id", "asked"), "query_id")
     return K.extractive_answer(near, F.col("asked")).select("query_id", "rank", "sentence", "score")
 
 
@@ -297,8 +346,10 @@ _SEARCHES = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SEARCHE
 @query(
     f"""WITH c AS (SELECT query_id, p_partkey, 1 AS stage, 1.0::DOUBLE AS score FROM {_SEARCHES} JOIN part ON lower(p_brand) = lower(q)
     UNION ALL SELECT query_id, p_partkey, 2, CASE WHEN p_name = lower(q) THEN 1.0::DOUBLE WHEN list_contains(string_split(p_name, ' '), lower(q)) THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END FROM {_SEARCHES} JOIN part ON p_name = lower(q) OR list_contains(string_split(p_name, ' '), lower(q)) OR starts_with(p_name, lower(q)) OR starts_with(lower(q), p_name)
-    UNION ALL SELECT query_id, p_partkey, 3, least(0.75::DOUBLE, n * 0.25::DOUBLE) FROM (SELECT query_id, p_partkey, len(list_intersect(string_split(p_name, ' '), string_split(lower(q), ' '))) AS n FROM {_SEARCHES} CROSS JOIN part) WHERE n > 0)
-    SELECT query_id, p_partkey, stage, score FROM c QUALIFY stage = min(stage) OVER (PARTITION BY query_id)"""
+    UNION ALL SELECT query_id, p_partkey, 3, least({R.RANK_CAP}::DOUBLE, {R.RANK_SCALE} * sum(0.1::DOUBLE * k / {R.RANK_LIMIT}::DOUBLE) / any_value(terms)) FROM (
+      SELECT query_id, p_partkey, term, any_value(terms) AS terms, list_sum(list_transform(range(1, count(*) + 1), lambda i: 1.0::DOUBLE / (i * i))) AS k
+      FROM (SELECT query_id, unnest(list_distinct(string_split(lower(q), ' '))) AS term, len(list_distinct(string_split(lower(q), ' '))) AS terms FROM {_SEARCHES}) JOIN (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) ON word = term GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT query_id, p_partkey, stage, round(score, 6) AS score FROM c QUALIFY stage = min(stage) OVER (PARTITION BY query_id)"""
 )
 def product_search_staged(spark: SparkSession, d: str) -> DataFrame:
     """Code, then name or alias, then words; a later stage counts only if the earlier ones find nothing."""
@@ -308,10 +359,13 @@ def product_search_staged(spark: SparkSession, d: str) -> DataFrame:
     named = parts.join(asked, (F.col("p_name") == F.col("q")) | F.array_contains("words", F.col("q")) | F.col("p_name").startswith(F.col("q")) | F.col("q").startswith(F.col("p_name")))
     by_name = named.select("query_id", "p_partkey", F.lit(2).alias("stage"), F.when(F.col("p_name") == F.col("q"), 1.0).when(F.array_contains("words", F.col("q")), 0.95).otherwise(0.8).alias("score"))
     # words meet words: an inverted index of the terms, not all parts for all queries
-    index = parts.select("p_partkey", F.explode(F.array_distinct("words")).alias("term"))
-    terms = asked.select("query_id", F.explode(F.array_distinct(F.split("q", " "))).alias("term"))
-    by_word = index.join(terms, "term").groupBy("query_id", "p_partkey").agg(F.least(F.lit(0.75), F.count("*") * 0.25).alias("score")).select("query_id", "p_partkey", F.lit(3).alias("stage"), "score")
-    return M.staged(by_code, by_name, by_word)
+    index = parts.select("p_partkey", F.explode("words").alias("term"))
+    terms = asked.select("query_id", F.size(F.array_distinct(F.split("q", " "))).alias("n_terms"), F.explode(F.array_distinct(F.split("q", " "))).alias("term"))
+    counts = index.join(terms, "term").groupBy("query_id", "n_terms", "p_partkey", "term").agg(F.count("*").alias("n"))
+    ranked = counts.groupBy("query_id", "n_terms", "p_partkey").agg(F.collect_list("n").alias("counts"))
+    score = F.least(F.lit(R.RANK_CAP), R.RANK_SCALE * R.text_rank(F.col("counts"), F.col("n_terms")))
+    by_word = ranked.select("query_id", "p_partkey", F.lit(3).alias("stage"), score.alias("score"))
+    return M.staged(by_code, by_name, by_word).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda a: starts_with(a, 'wid') OR starts_with('wid', a))) > 0")

@@ -11,7 +11,7 @@ from ..functions import values as V
 from ..operators import knowledge as K
 from ..operators import merges as M
 from .corpus import _FLAGS, _SAID, _any, _said
-from .registry import EVENTS_AS_OF, query, table
+from .registry import AS_OF, as_of, query, table
 
 
 @query(
@@ -38,15 +38,23 @@ def matching_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'not_found' WHEN o_orderkey % 4 = 1 THEN 'verified' WHEN o_orderkey % 4 = 2 THEN 'verified' ELSE 'verification_required' END AS outcome FROM orders"""
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'not_found' WHEN o_orderkey % 6 IN (1, 2, 4) THEN 'verified' ELSE 'verification_required' END AS outcome FROM orders"""
 )
 def identity_verification(spark: SparkSession, d: str) -> DataFrame:
     """An order is shown to who gives its customer's id, phone or full name; else a check is asked for."""
     k = F.col("o_orderkey")
-    asked = table(spark, d, "orders").select("o_orderkey", F.when(k % 4 == 0, -1 - k).otherwise(k).alias("number"), F.when(k % 4 == 1, F.col("o_custkey")).alias("id"), F.when(k % 4 == 2, F.concat(F.lit("CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).when(k % 4 == 3, F.lit("someone else")).alias("name"))
-    known = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"), "o_custkey").join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    number = lambda key: F.lpad(key.cast("string"), 9, "0")
+    asked = table(spark, d, "orders").select(
+        "o_orderkey", F.when(k % 6 == 0, -1 - k).otherwise(k).alias("number"), F.when(k % 6 == 1, F.col("o_custkey")).alias("id"),
+        F.when(k % 6 == 2, F.concat(F.lit("CUSTOMER#"), number(F.col("o_custkey")))).when(k % 6 == 3, F.lit("someone else")).alias("name"),
+        # the right number in a local spelling, and a wrong one
+        V.phone(F.when(k % 6 == 4, F.concat(F.lit("03"), number(F.col("o_custkey")))).when(k % 6 == 5, F.concat(F.lit("+923"), number(F.col("o_custkey") + 1)))).alias("phone"),
+    )
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", F.concat(F.lit("+923"), number(F.col("c_custkey"))).alias("c_phone"))
+    known = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"), "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     both = asked.join(known, "number", "left")
-    fits = F.coalesce(F.col("id") == F.col("c_custkey"), F.lit(False)) | F.coalesce(F.lower("name") == F.lower("c_name"), F.lit(False))
+    same = (F.col("id") == F.col("c_custkey"), F.col("phone") == F.col("c_phone"), F.lower("name") == F.lower("c_name"))
+    fits = F.coalesce(F.greatest(*[F.coalesce(x, F.lit(False)) for x in same]), F.lit(False))
     return both.select("o_orderkey", F.when(F.col("c_custkey").isNull(), "not_found").when(fits, "verified").otherwise("verification_required").alias("outcome"))
 
 
@@ -81,54 +89,6 @@ def chat_turn_routing(spark: SparkSession, d: str) -> DataFrame:
     return said.select("conv_id", "turn", route.alias("route"))
 
 
-@query("SELECT event_id, CASE WHEN k % 5 = 0 THEN 'TIMEOUT' WHEN k % 5 = 1 THEN 'AUTH' WHEN k % 5 = 2 THEN 'RATE_LIMIT' WHEN k % 5 = 3 THEN 'VALIDATION' ELSE 'UNKNOWN' END AS code FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'error')")
-def error_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Codes from the words of error messages."""
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    said = F.element_at(F.array(*map(F.lit, ("Request timed out (ETIMEDOUT)", "401 Unauthorized", "429 Too many requests", "Validation failed: name", "odd"))), k % 5 + 1)
-    rows = table(spark, d, "events").where("event_type = 'error'").select("event_id", F.lower(said).alias("m"))
-    code = F.lit("UNKNOWN")
-    for words, name in (("validation|invalid", "VALIDATION"), ("429|too many", "RATE_LIMIT"), ("401|403|unauthorized|forbidden", "AUTH"), ("timed out|timeout|etimedout", "TIMEOUT")):
-        code = F.when(F.col("m").rlike(words), name).otherwise(code)
-    return rows.select("event_id", code.alias("code"))
-
-
-@query("SELECT s_suppkey, count(*) FILTER (contains(t, lower(s_name))) > 0 AS follow_up_exists FROM supplier CROSS JOIN (SELECT string_agg(lower(s_name), '; ' ORDER BY s_suppkey) AS t FROM supplier WHERE s_suppkey % 3 = 0) GROUP BY 1")
-def followup_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a follow-up's customer is in the title of an open task.
-
-    Titles are taken apart into names, so that the match is a join on equality instead of
-    every title against every customer.
-    """
-    suppliers = table(spark, d, "supplier").select("s_suppkey", F.lower("s_name").alias("who"))
-    titles = suppliers.where("s_suppkey % 3 = 0").select(F.concat(F.lit("follow up — "), "who", F.lit(" (open)")).alias("title"))
-    named = titles.select(F.trim(F.split(F.regexp_replace("title", "^follow up — ", ""), r"\(")[0]).alias("who")).distinct().withColumn("hit", F.lit(True))
-    return suppliers.join(named, "who", "left").select("s_suppkey", F.coalesce("hit", F.lit(False)).alias("follow_up_exists"))
-
-
-@query(f"SELECT conv_id, turn, 'phone' AS product FROM {_SAID} WHERE starts_with(said, 'I want to buy a phone')")
-def product_query(spark: SparkSession, d: str) -> DataFrame:
-    """The product that a message asks for, from a list of kinds; policy words are no products."""
-    found = F.lower(F.regexp_extract("said", r"(?i)\b((?:wireless\s+|bluetooth\s+|noise\s+cancelling\s+)?(?:headphones?|earbuds?|earphones?|smart\s*watch|laptop|charger|backpack|coffee\s+maker|tablet|phone))\b", 1))
-    return _said(spark, d).where(F.col("said").startswith("I want to buy a phone")).select("conv_id", "turn", found.alias("product"))
-
-
-@query(
-    """SELECT event_id, 'Dr. ' || ['Khan', 'Ali', 'Sara'][CAST(user_id % 3 AS INTEGER) + 1] AS doctor, strftime(CAST(ts AS DATE) + CAST(user_id % 2 AS INTEGER), '%Y-%m-%d') AS day, (9 + user_id % 9) AS hour,
-      isodow(CAST(ts AS DATE) + CAST(user_id % 2 AS INTEGER)) <> 7 AS open FROM events WHERE event_type = 'signup'"""
-)
-def booking_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Doctor, day and hour from a sentence; Sundays are closed."""
-    hour = 9 + F.col("user_id") % 9
-    clock = F.when(hour > 12, F.concat((hour - 12).cast("string"), F.lit(" pm"))).when(hour == 12, F.lit("12 pm")).otherwise(F.concat(hour.cast("string"), F.lit(" am")))
-    said = F.concat(F.lit("appointment with dr "), F.element_at(F.array(*map(F.lit, ("khan", "ALI", "Sara"))), (F.col("user_id") % 3 + 1).cast("int")), F.when(F.col("user_id") % 2 == 1, " tomorrow").otherwise(" today"), F.lit(" at "), clock)
-    rows = table(spark, d, "events").where("event_type = 'signup'").select("event_id", F.to_date("ts").alias("now"), F.lower(said).alias("said"))
-    doctor = F.concat(F.lit("Dr. "), F.initcap(F.regexp_extract("said", r"dr\.?\s+([a-z]+)", 1)))
-    day = F.when(F.col("said").contains("tomorrow"), F.date_add("now", 1)).otherwise(F.col("now"))
-    h, pm = F.regexp_extract("said", r"(\d{1,2})\s*(am|pm)", 1).try_cast("int"), F.regexp_extract("said", r"(\d{1,2})\s*(am|pm)", 2)
-    return rows.select("event_id", doctor.alias("doctor"), F.date_format(day, "yyyy-MM-dd").alias("day"), (h % 12 + F.when(pm == "pm", 12).otherwise(0)).cast("long").alias("hour"), (F.dayofweek(day) != 1).alias("open"))
-
-
 STAGES = (("signup", "send_welcome", "customer"), ("view", "assign_task", "manager"), ("click", "assign_task", "manager"), ("purchase", "send_invoice", "customer"), ("error", "alert", "support"))
 
 
@@ -175,20 +135,19 @@ def ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and embeddings of the documents that a run created or updated."""
     changed = ingestion_run(spark, d).where("action in ('created', 'updated')").select("doc_id")
     docs = table(spark, d, "documents").join(changed, "doc_id", "left_semi").withColumn("text", T.clean(F.col("text")))
-    chunks = K.chunk_documents(docs).withColumn("chunk_id", F.xxhash64("doc_id", "chunk_index"))
-    vectors = K.hashed_embedding(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text"))).withColumnRenamed("doc_id", "chunk_id")
-    return chunks.join(vectors, "chunk_id").select("doc_id", "chunk_index", "section", "token_estimate", "embedding")
+    chunks = K.chunk_documents(docs).select("doc_id", "chunk_index", "section", "token_estimate", "chunk_text")
+    return K.hashed_embedding(chunks, text="chunk_text").drop("chunk_text")
 
 
 @query(
-    f"""SELECT c_custkey, o_orderkey, CASE WHEN idle > 2000 THEN 'cold' ELSE 'warm' END AS heat FROM (
-      SELECT o_custkey AS c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, CAST(floor((epoch_us(TIMESTAMP '{EVENTS_AS_OF}') - epoch_us(max(o_orderdate))) / 86400000000.0) AS BIGINT) - 8000 AS idle FROM orders GROUP BY 1)"""
+    f"""SELECT c_custkey, o_orderkey, CASE WHEN idle > 90 THEN 'cold' WHEN idle > 30 THEN 'warm' ELSE 'hot' END AS heat FROM (
+      SELECT o_custkey AS c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(o_orderdate))) / 86400000000.0) AS BIGINT) AS idle FROM orders GROUP BY 1)"""
 )
 def customer_heat(spark: SparkSession, d: str) -> DataFrame:
     """The last order of each customer, and how long ago it was."""
     last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"), F.max("o_orderdate").alias("at"))
-    idle = V.days_since(F.col("at"), F.lit(EVENTS_AS_OF).cast("timestamp")) - 8000
-    return last.select("c_custkey", "o_orderkey", F.when(idle > 2000, "cold").otherwise("warm").alias("heat"))
+    idle = V.days_since(F.col("at"), as_of())
+    return last.select("c_custkey", "o_orderkey", F.when(idle > 90, "cold").when(idle > 30, "warm").otherwise("hot").alias("heat"))
 
 
 @query(

@@ -40,9 +40,10 @@ def order_summary(spark: SparkSession, d: str) -> DataFrame:
     FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200"""
 )
 def lead_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """The newest leads with their customers. The limit comes before the join's columns are read."""
-    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return orders.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(200).select("o_orderkey", "c_name", "c_mktsegment", "o_totalprice", "o_orderpriority", moment(F.col("o_orderdate")).alias("created_at"))
+    """The newest leads that have a customer; the limit comes before the customers' columns are joined."""
+    newest = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(200)
+    both = newest.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return both.select("o_orderkey", "c_name", "c_mktsegment", "o_totalprice", "o_orderpriority", moment(F.col("o_orderdate")).alias("created_at"))
 
 
 @query(
@@ -172,7 +173,7 @@ def lead_score_pkr(spark: SparkSession, d: str) -> DataFrame:
         + CASE WHEN c_mktsegment = 'BUILDING' THEN 20 WHEN c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') THEN 15 ELSE 0 END AS score
       FROM orders JOIN customer ON o_custkey = c_custkey)"""
 )
-def lead_score_zapier(spark: SparkSession, d: str) -> DataFrame:
+def lead_score_bands(spark: SparkSession, d: str) -> DataFrame:
     """Urgency, budget and source points, in three bands; thresholds fit the table's prices."""
     from ..functions import rules as R
 

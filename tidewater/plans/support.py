@@ -132,12 +132,12 @@ def outbox_mark(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""SELECT o_orderkey, c_name, o_totalprice, idle AS days_idle, o_totalprice >= 250000 AS high_value FROM (
       SELECT *, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(o_orderdate)) / 86400000000.0) AS BIGINT) AS idle FROM orders WHERE o_orderstatus <> 'F')
-    JOIN customer ON o_custkey = c_custkey WHERE idle >= 5 AND idle < 400"""
+    JOIN customer ON o_custkey = c_custkey WHERE idle >= 5"""
 )
 def stale_deals(spark: SparkSession, d: str) -> DataFrame:
     """Open deals without activity for five days or more; the large ones are marked."""
     open_ = table(spark, d, "orders").where("o_orderstatus <> 'F'").withColumn("days_idle", days_between(F.col("o_orderdate"), as_of()))
-    return open_.where("days_idle >= 5 and days_idle < 400").join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice", "days_idle", (F.col("o_totalprice") >= 250000).alias("high_value"))
+    return open_.where("days_idle >= 5").join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice", "days_idle", (F.col("o_totalprice") >= 250000).alias("high_value"))
 
 
 @query(f"SELECT count(*) AS n, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS at_risk FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice >= 250000 AND o_orderdate <= TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY")
@@ -243,10 +243,10 @@ def allowed_types(spark: SparkSession, d: str) -> DataFrame:
     return used.select("user_id", F.array_join(F.array_except(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), "used"), ",").alias("allowed"))
 
 
-@query("SELECT DISTINCT p_name AS topic FROM part ANTI JOIN (SELECT DISTINCT lower(p_name) AS covered FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_returnflag = 'N' AND l_quantity >= 50) ON lower(p_name) = covered")
+@query("SELECT DISTINCT p_name AS topic FROM part ANTI JOIN (SELECT DISTINCT lower(p_name) AS covered FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity >= 50 AND l_discount = 0 AND l_shipdate < TIMESTAMP '1996-01-01') ON lower(p_name) = covered")
 def uncovered_topics(spark: SparkSession, d: str) -> DataFrame:
     """Topics that nothing covers, without regard to case."""
-    covered = table(spark, d, "lineitem").where("l_returnflag = 'N' and l_quantity >= 50").select("l_partkey").distinct().join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.lower("p_name").alias("covered")).distinct()
+    covered = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 50 and l_discount = 0 and l_shipdate < timestamp_ntz'1996-01-01'").select("l_partkey").distinct().join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.lower("p_name").alias("covered")).distinct()
     return table(spark, d, "part").select(F.col("p_name").alias("topic")).distinct().join(covered, F.lower("topic") == F.col("covered"), "left_anti")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import records
 from ..functions import text as T
 
 DOCUMENTS = ("md", "txt", "csv", "tsv", "html", "docx", "xlsx")
@@ -148,10 +149,9 @@ def salvage_json(text: Column, schema: str) -> Column:
     return F.from_json(F.coalesce(fenced, F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))), schema)
 
 
-def append_outbox(rows: DataFrame, path: str, secrets: tuple[str, ...] = ("token", "authorization", "password", "api_key")) -> None:
-    """Appends rows as JSON lines; columns named like secrets are starred."""
-    shown = rows.select(*[F.when(F.col(c).isNotNull(), F.lit("[redacted]")).alias(c) if c.lower() in secrets else F.col(c) for c in rows.columns])
-    shown.write.mode("append").option("ignoreNullFields", "false").json(path)
+def append_outbox(rows: DataFrame, path: str) -> None:
+    """Appends rows as JSON lines, without secrets and with personal data masked, at any depth."""
+    records.redact(rows).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
 def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
