@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import struct
 from collections.abc import Iterator
 
@@ -36,7 +35,6 @@ from .common import load
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words, and pairs of pieces, that a worker remembers at a time.
 KEPT_WORDS = 600_000
 UNIGRAM, BPE = 1, 2
@@ -73,6 +71,10 @@ def model_type(proto: bytes) -> int:
     return next((int(v) for k, spec in _fields(proto) if k == 2 for f, v in _fields(spec) if f == 3), UNIGRAM)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Codec:
     """Encodes and decodes with one model, given as its bytes."""
 
@@ -96,10 +98,12 @@ class Codec:
             self.automaton.make_automaton()
         # what a piece stands for in the text
         self.text = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else b"" if self.sp.is_control(i) else " ⁇ ".encode() if self.sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
+        #: ids of the words met, by the word, and of those after one space by what follows it
         self.words: dict[str, bytes] = {}
-        self.cutters: dict[str, re.Pattern] = {}
+        self.spaced: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.lone: dict[int, bool] = {}
+        self.chars = frozenset(p for p in self.id if len(p) == 1)
         self.rank = {p: self.score[i] for p, i in self.id.items()}
         self.size = [len(p) for p in self.piece]
 
@@ -216,34 +220,53 @@ class Codec:
         if not s:
             return b""
         if self.crossing:
-            return np.array(self.stretch(s), "<i4").tobytes()
-        words, out = self.words, []
-        # no piece holds a character that is none, so a model that merges by rank may cut there, too
-        for w in (self._cutter(set(s) - self.id.keys()) if self.kind == BPE else WORD).findall(s):
-            got = words.get(w)
-            if got is None:
-                if len(words) >= KEPT_WORDS:
-                    words.clear()
-                # of several spaces any two may join, with equal rank: there the order of merging decides
-                if self.kind != BPE:
-                    ids = self.stretch(w)
-                elif w[0] not in self.id:
-                    ids = self._bytes(w)
+            return _packed(self.stretch(s))
+        out: list[bytes] = []
+        words, spaced = self.words, self.spaced
+        for run in self._runs(s):
+            first, *rest = run.split(SPACE)
+            if first:
+                out.append(words.get(first) or self._word(first, words))
+            spaces = 0
+            for w in rest:
+                # most words come after one space, and are looked up without it
+                if not w:
+                    spaces += 1
+                elif spaces:
+                    w, spaces = SPACE * (spaces + 1) + w, 0
+                    out.append(words.get(w) or self._word(w, words))
                 else:
-                    ids = [self.id[p] for p in self.merged(w)] if w.startswith(SPACE * 2) else self._whole(w)
-                got = words[w] = struct.pack(f"<{len(ids)}i", *ids)
-            out.append(got)
+                    out.append(spaced.get(w) or self._word(w, spaced, SPACE))
+            if spaces:
+                out.append(self._word(SPACE * spaces, words))
         return b"".join(out)
 
-    def _cutter(self, odd: set[str]) -> re.Pattern:
-        """Cuts at word beginnings and around the odd characters."""
-        key = "".join(sorted(odd))
-        if key not in self.cutters:
-            if len(self.cutters) > 1_000:
-                self.cutters.clear()
-            some = re.escape(key)
-            self.cutters[key] = re.compile(f"{SPACE}*[^{SPACE}{some}]+|{SPACE}+|[{some}]") if key else WORD
-        return self.cutters[key]
+    def _runs(self, s: str) -> list[str]:
+        """The text cut around characters that no piece of a model that merges by rank holds."""
+        odd = set(s) - self.chars if self.kind == BPE else None
+        if not odd:
+            return [s]
+        mark = next(c for c in map(chr, range(1, 0x110000)) if c not in odd and c not in self.chars)
+        for c in odd:
+            s = s.replace(c, mark + c + mark)
+        return [x for x in s.split(mark) if x]
+
+    def _word(self, w: str, known: dict[str, bytes], before: str = "") -> bytes:
+        """The ids of a word, which is remembered."""
+        if len(known) >= KEPT_WORDS:
+            known.clear()
+        s = before + w
+        if self.kind != BPE:
+            ids = self.stretch(s)
+        elif s[0] not in self.id:
+            ids = self._bytes(s)
+        elif s.startswith(SPACE * 2):
+            # of several spaces any two may join, with equal rank: there the order of merging decides
+            ids = [self.id[p] for p in self.merged(s)]
+        else:
+            ids = self._whole(s)
+        got = known[w] = _packed(ids)
+        return got
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text or ""), "<i4").tolist()
