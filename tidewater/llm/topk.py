@@ -11,14 +11,16 @@ query, and those meet by query.
 
 Nulls and edge cases: a vector that is null, or holds a null or a component that isn't
 finite, takes no part; so does a null vec_id. Vectors of different length are compared
-over the components both have. Ties go to the smaller vec_id. Rows with equal vec_id are
-separate candidates (but never answers to their own id). Quantized components must be
-below 2^28 in size. Without queries or candidates the result is empty.
+over the components both have; the basis takes the square of the longest one's length in
+memory. Ties go to the smaller vec_id. Rows with equal vec_id are separate candidates (but
+never answers to their own id). Quantized components must be below 2^28 in size. Without
+queries or candidates the result is empty. The result has the named columns only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +105,7 @@ def scan(block: tuple[np.ndarray, np.ndarray], basis: np.ndarray, k: int, head:
         slack = 1e-6 * (q_len * (length.max() if len(length) else 0) + 1)
         live = np.flatnonzero(q_len * (length.max() if len(length) else 0) + slack >= theta)
         if not len(live):
-            continue
+            continue  # shorter ones follow, until the task comes to its next file
         xr = xf @ basis
         rest = np.sqrt((xr[:, head:] ** 2).sum(1))
         bound = qr[live, :head] @ xr[:, :head].T + q_rest[live, None] * rest[None, :] + slack[live, None]
@@ -123,7 +125,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, head: int = 16) -
     spark = vectors.sparkSession
     all_ = stash(quantize(vectors.select("vec_id", "embedding")), "topk_vectors")
     width = all_.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    schema = "query_id long, vec_id long, score long"
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     basis = rotation(all_, width)
@@ -135,38 +136,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, head: int = 16) -
     n = asked.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     longest = [(np.array([r.vec_id for r in rows]), np.array([list(r.v) + [0] * (width - len(r.v)) for r in rows], np.int64).reshape(-1, width)) for rows in [all_.withColumn("_length", length).orderBy(F.col("_length").desc(), "vec_id").limit(ROWS).select("vec_id", "v").collect()]]
-    found = None
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.col("_u"), F.lit(blocks)) == b).select("vec_id", "v").collect()  # about QUERY_BLOCK rows
-        if not mine:
-            continue
-        block = np.array([r.vec_id for r in mine]), np.array([list(r.v) + [0] * (width - len(r.v)) for r in mine], np.int64).reshape(-1, width)
-        floor = scan(block, basis, k, head, None, iter(longest)).theta()  # the longest vectors give every task a first bound
-        sent = spark.sparkContext.broadcast((block, basis, floor))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block, basis, floor = sent.value
-
-            def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for b in batches:
-                    ids, m = b.column("vec_id").to_numpy(), _matrix(b.column("v"), width)
-                    for i in range(0, len(ids), ROWS):
-                        yield ids[i : i + ROWS], m[i : i + ROWS]
-
-            best = scan(block, basis, k, head, floor, parts())
-            some = np.flatnonzero(best.n)
-            q = np.repeat(block[0][some], best.n[some])
-            has = np.arange(k)[None, :] < best.n[some][:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(best.id[some][has], pa.int64()), pa.array(best.score[some][has], pa.int64())], ["query_id", "vec_id", "score"])
-
-        part = ordered.select("vec_id", "v").mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-        if b % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1:
-            found = stash(found, "topk_found")  # plans stay small, however many blocks there are
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda parts: reduce(DataFrame.union, parts).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    done: list[DataFrame] = []
+    for first in range(0, blocks, BLOCKS_AT_ONCE):
+        parts, sent = [], []
+        for b in range(first, min(blocks, first + BLOCKS_AT_ONCE)):
+            mine = asked.where(F.pmod(F.col("_u"), F.lit(blocks)) == b).select("vec_id", "v").collect()  # about QUERY_BLOCK rows
+            if not mine:
+                continue
+            block = np.array([r.vec_id for r in mine]), np.array([list(r.v) + [0] * (width - len(r.v)) for r in mine], np.int64).reshape(-1, width)
+            floor = scan(block, basis, k, head, None, iter(longest)).theta()  # the longest vectors give every task a first bound
+            sent.append(spark.sparkContext.broadcast((block, basis, floor)))
+            parts.append(ordered.select("vec_id", "v").mapInArrow(_scanner(sent[-1], width, k, head), "query_id long, vec_id long, score long"))
+        if parts:
+            # a query is in one block only: what is found for it is reduced to k rows and written once
+            done.append(stash(best(parts), "topk_found"))
+        for x in sent:
+            x.destroy()
+    return reduce(DataFrame.union, done) if done else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _scanner(sent, width: int, k: int, head: int):
+    """What a task does with a block of queries: its k best rows for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, basis, floor = sent.value
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                ids, m = b.column("vec_id").to_numpy(), _matrix(b.column("v"), width)
+                for i in range(0, len(ids), ROWS):
+                    yield ids[i : i + ROWS], m[i : i + ROWS]
+
+        best = scan(block, basis, k, head, floor, parts())
+        some = np.flatnonzero(best.n)
+        q = np.repeat(block[0][some], best.n[some])
+        has = np.arange(k)[None, :] < best.n[some][:, None]
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(best.id[some][has], pa.int64()), pa.array(best.score[some][has], pa.int64())], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
