@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from test_mixing_sharding import brute_mix
+from test_mixing_sharding import WORD, brute_mix
 from test_texts import BASE, base, brute_components, codec, corpus, family  # noqa: F401
 
 from tidewater.llm import toxicity
@@ -40,8 +40,12 @@ def test_pipeline_is_what_brute_force_gives(spark, codec, small_corpus):  # noqa
     mixed = brute_mix(rest)
     want = []
     for i, t, _ in rest:
-        n, _, _, taken = mixed[i]
-        want += [(i, codec.sp.encode(t))] * (taken // n if n else 0)
+        ends = [m.end() for m in WORD.finditer(t)]
+        taken = mixed[i, len(ends)][3]
+        if ends:
+            want += [(i, codec.sp.encode(t))] * (taken // len(ends))
+            if taken % len(ends):  # the document in which its source's budget ends
+                want.append((i, codec.sp.encode(t[: ends[taken % len(ends) - 1]])))
     got = [(r.doc_id, r.ids) for r in pipeline.run(spark, at).collect() if r.ids]
     assert sorted(got) == sorted(want)
 
