@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import mixing, neardup, pieces, pii, toxicity
-from tidewater.llm.common import small, stash
+from tidewater.llm.common import discard, small, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -74,6 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

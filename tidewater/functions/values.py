@@ -51,7 +51,9 @@ def budget_in(text: Column) -> Column:
         F.regexp_extract(text, r"(?i)\b(?:rs\.?|pkr)\s?([0-9][0-9,.\s]*\s*(?:k\b|lakh|lac|crore)?)", 1),
         F.regexp_extract(text, r"(?i)\b([0-9.]+\s*(?:k|lakhs|lakh|lac|crore)\b)", 1),
     ]
-    return F.coalesce(*[F.when(budget(F.nullif(x, F.lit(""))) > 0, budget(F.nullif(x, F.lit("")))) for x in found])
+    # of an array, so that the amounts are one expression
+    amounts = F.transform(F.array(*found), lambda x: budget(F.nullif(x, F.lit(""))))
+    return F.get(F.filter(amounts, lambda b: b > 0), F.lit(0))
 
 
 def money(raw: Column) -> Column:

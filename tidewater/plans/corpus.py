@@ -11,7 +11,7 @@ from ..functions import values as V
 from ..operators import aggregates as A
 from ..operators import knowledge as K
 from ..operators import merges as M
-from .registry import AS_OF, as_of, moment, query, table
+from .registry import AS_OF, ORACLES, QUERIES, as_of, moment, query, table
 
 
 def _any(column: str, terms: tuple[str, ...]) -> str:
@@ -247,10 +247,11 @@ def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id in (0, 1, 2, 3, 4)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    """The query set of the searches, every 20th vector; it grows with the table."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-_COS = "SELECT q.vec_id AS query_id, c.vec_id, c.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id IN (0, 1, 2, 3, 4)"
+_COS = "SELECT q.vec_id AS query_id, c.vec_id, c.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0"
 
 
 @query(f"SELECT query_id, vec_id, round(similarity, 4) AS similarity FROM ({_COS}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 5")
@@ -268,11 +269,7 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT query_id, round(max(similarity) FILTER (rn = 1), 4) AS best, round(avg(similarity) FILTER (rn IN (2, 3)), 4) AS agreement FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rn FROM ({_COS})) GROUP BY 1")
 def mean_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return _agreement(spark, d, _asked(spark, d))
-
-
-def _agreement(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    ranked = K.top_k(table(spark, d, "embeddings"), asked, 5, order=[F.col("vec_id")])
+    ranked = K.top_k(table(spark, d, "embeddings"), _asked(spark, d), 5, order=[F.col("vec_id")])
     return K.confidence(ranked).select("query_id", F.round("best", 4).alias("best"), F.round("agreement", 4).alias("agreement"))
 
 
@@ -285,11 +282,7 @@ def _agreement(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
 )
 def grounding_status(spark: SparkSession, d: str) -> DataFrame:
     """Search within the hinted kinds, then once among all; the better confidence counts."""
-    return _grounding(spark, d, _asked(spark, d))
-
-
-def _grounding(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    rows = table(spark, d, "embeddings")
+    rows, asked = table(spark, d, "embeddings"), _asked(spark, d)
     narrow = K.confidence(K.top_k(rows, asked, 5, where=F.col("label").isin(1, 2, 3), order=[F.col("vec_id")])).select("query_id", F.col("confidence").alias("n"))
     wide = K.confidence(K.top_k(rows, asked, 5, order=[F.col("vec_id")])).select("query_id", F.col("confidence").alias("w"))
     both = wide.join(narrow, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
@@ -297,35 +290,9 @@ def _grounding(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
     return both.select("query_id", best.alias("confidence"), (F.col("w") > F.col("n")).alias("widened"), F.when(best >= 0.22, "grounded").otherwise("refused").alias("status"))
 
 
-def _every_20th(spark: SparkSession, d: str) -> DataFrame:
-    """The whole query set of the searches; it grows with the table. _asked() is that of their SQL, five rows."""
-    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-
-
-@query()
-def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
-    """vector_topk for every vector whose id 20 divides."""
-    got = K.top_k(table(spark, d, "embeddings"), _every_20th(spark, d), 5, order=[F.col("vec_id")])
-    return got.select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
-
-
-@query()
-def vector_topk_filtered_all(spark: SparkSession, d: str) -> DataFrame:
-    """vector_topk_filtered for every vector whose id 20 divides."""
-    got = K.top_k(table(spark, d, "embeddings"), _every_20th(spark, d), 5, 0.0, F.col("label").isin(1, 2, 3), [F.col("vec_id")])
-    return got.select("query_id", "vec_id", "label")
-
-
-@query()
-def mean_agreement_all(spark: SparkSession, d: str) -> DataFrame:
-    """mean_agreement for every vector whose id 20 divides."""
-    return _agreement(spark, d, _every_20th(spark, d))
-
-
-@query()
-def grounding_status_all(spark: SparkSession, d: str) -> DataFrame:
-    """grounding_status for every vector whose id 20 divides."""
-    return _grounding(spark, d, _every_20th(spark, d))
+# the searches' other names
+for _name in ("vector_topk", "vector_topk_filtered", "mean_agreement", "grounding_status"):
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
 
 
 @query()
