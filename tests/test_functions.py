@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions import records as J
 from tidewater.functions import rules as R
 from tidewater.functions import text as T
 from tidewater.functions import values as V
@@ -122,3 +123,55 @@ def test_guard_and_quality(spark):
 def test_document_types(spark):
     assert one(spark, "Can I return it and is there a warranty?", R.document_types) == ["return_policy", "warranty_policy"]
     assert one(spark, "what time is it", R.document_types) is None
+
+
+@pytest.mark.parametrize(("said", "want"), [("Crème brûlée & Co", "creme-brulee-and-co"), ("Ångström  Łódź", "angstrom-odz"), ("e\u0301te\u0301", "ete"), ("--", "")])
+def test_slug(spark, said, want):
+    assert one(spark, said, T.slug) == want
+
+
+def test_rank_of_words(spark):
+    """A word's k-th occurrence counts 1 / k^2; the sum is shared by the words asked for."""
+    got = spark.createDataFrame([([1], 1), ([2, 1], 4), ([], 2)], "c array<int>, n int").select(R.text_rank(F.col("c"), F.col("n")).alias("r")).collect()
+    assert [r.r for r in got] == pytest.approx([0.1 / 1.64493406685, 0.1 * 2.25 / 1.64493406685 / 4, 0.0])
+
+
+def test_contains_any_takes_terms_literally(spark):
+    assert [one(spark, x, lambda c: T.contains_any(c, ("a.b", "c+", "can't"))) for x in ("xa.bx", "aXb", "c+", "cc", "I can't")] == [True, False, True, False, True]
+    assert one(spark, "x", lambda c: T.contains_any(c, ())) is False
+
+
+@pytest.mark.parametrize(
+    ("record", "fragment", "want"),
+    [('{"a":1,"b":{"c":"x","d":2}}', {"b": {"c": "x"}}, True), ('{"a":1,"b":{"c":"x"}}', {"a": 1, "b": {"c": "y"}}, False), ('{"a":1}', {}, True), ("[1]", {}, False), ('{"a":true}', {"a": True}, True), ('{"b":1}', {"b": {"c": 1}}, False), (None, {"a": 1}, False)],
+)
+def test_containment(spark, record, fragment, want):
+    assert one(spark, record, lambda c: J.contains(c, fragment)) is want
+
+
+@pytest.mark.parametrize(
+    ("record", "want"),
+    [('{"query":"x","topK":3}', []), ('{"query":"x","topK":3.5}', ["topK is not valid"]), ('{"query":"x","topK":99,"k":1}', ["unknown field k", "topK is not valid"]), ("{}", ["query is required"]), (None, ["not an object"])],
+)
+def test_strict_shapes(spark, record, want):
+    assert one(spark, record, lambda c: J.problems(c, J.SEARCH)) == want
+
+
+def test_redaction_at_any_depth(spark):
+    rows = spark.createDataFrame(
+        [("x" * 700, "+923001234567", [("k1", {"x-api-key": "v", "email": "ab@c.d", "note": "n"})] * 60, {"auth": 1, "n": 2})],
+        "note string, phone string, calls array<struct<apiKey: string, headers: map<string,string>>>, counts map<string,int>",
+    )
+    got = J.redact(rows).first()
+    assert len(got.note) == 600 + len("\u2026[truncated]") and got.phone == "+9230*****567" and len(got.calls) == 50
+    assert got.calls[0].apiKey == "[REDACTED]" and got.calls[0].headers == {"x-api-key": "[REDACTED]", "email": "a*@c.d", "note": "n"} and got.counts == {"n": 2}
+    assert [one(spark, v, J.masked) for v in ("123456", "a@b.com", None)] == ["******", "a*@b.com", None]
+
+
+def test_picked_property(spark):
+    got = spark.createDataFrame([({" Due Date ": "2024", "Name": " "},)], "p map<string,string>").select(J.picked(F.col("p"), ("name", "DUE DATE")).alias("x")).first().x
+    assert got == "2024"
+
+
+def test_people_and_products_of_nothing(spark):
+    assert one(spark, None, R.person_name) is None and one(spark, None, R.product_query) is None and one(spark, None, T.listed) == []

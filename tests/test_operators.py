@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidewater.operators import aggregates as A
@@ -113,10 +115,49 @@ def test_search_takes_every_query(spark, monkeypatch, tmp_path):
     assert sorted((r.query_id, r.vec_id) for r in filtered) == sorted((q, i) for q, hits in want.items() for _, i in sorted(h for h in hits if labels[h[1]] in (1, 2, 3) and -h[0] >= 0)[:5])
 
 
-def test_versions(spark):
-    rows = [("f", 1, "a"), ("f", 2, "a"), ("f", 3, "b"), ("f", 4, "a"), ("g", 1, None)]
-    got = K.versions(spark.createDataFrame(rows, "f string, n int, hash string"), ["f"], "n").where("f = 'f'").orderBy("n").collect()
-    assert [(r.n, r.version, r.status) for r in got] == [(1, 1, "superseded"), (3, 2, "superseded"), (4, 3, "active")]
+@pytest.mark.parametrize("width", [1, 3, 10_000])
+def test_versions(spark, width):
+    """Against a plain walk over each key's rows, whatever the stretches."""
+    rng = random.Random(4)
+    rows = [(k, n, rng.choice(["a", "b", None])) for k in ("f", "g", None) for n in rng.sample(range(60), 25)]
+    want = []
+    for k in ("f", "g", None):
+        mine = sorted(((n, h) for x, n, h in rows if x == k), key=lambda r: r[0])
+        kept = [n for i, (n, h) in enumerate(mine) if i == 0 or mine[i - 1][1] != h]
+        want += [(k, n, v + 1, "active" if n == kept[-1] else "superseded") for v, n in enumerate(kept)]
+    got = K.versions(spark.createDataFrame(rows, "f string, n int, hash string"), ["f"], "n", width=width)
+    assert sorted((tuple(r) for r in got.select("f", "n", "version", "status").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_contained(spark):
+    """Substrings against a plain search, with parts shorter than a piece and pieces that all share."""
+    rng = random.Random(7)
+    parts = ["ali", "al", "x", "supplier 7", "supplier 77", "nowhere", "", None, *("".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(60))]
+    texts = ["call khalid", "follow up — supplier 77 (5)", "", None, *("".join(rng.choice("ab ") for _ in range(rng.randint(0, 25))) for _ in range(40))]
+    one = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = sorted(r.p for r in M.contained(one(parts, "p"), "p", one(texts, "t"), "t").collect())
+    assert got == sorted({p for p in parts if p and any(p in t for t in texts if t)})
+
+
+def test_chunks_keep_to_their_rules():
+    """On random documents: room, the headings above, the overlap, and nothing lost."""
+    rng = random.Random(5)
+    line = lambda: rng.choice(["# Head", "## Sub", "1.2. Numbered Part", "short", "A few words stand here. And there, e.g. so. Rs. 5 each!", " ".join(f"Word {i} goes on." for i in range(rng.randint(1, 80))), ""])
+    for _ in range(300):
+        text = "\n".join(line() for _ in range(rng.randint(0, 25)))
+        got = K.chunks(text, 300, 60)
+        leads = {}
+        for headings, body, _ in K.sections(text):
+            leads.setdefault(headings[-1] if headings else None, []).append(" > ".join(headings))
+        for section, chunk, _ in got:
+            assert 25 <= len(chunk)
+            if section:
+                above, _, rest = chunk.partition("\n")
+                assert above in leads[section] and len(rest) <= 300 + 2 + max(60, max(map(len, K.split_sentences(rest)), default=0)) + 300
+        all_ = " ".join(c for _, c, _ in got)
+        if got and any(s for s, _, _ in got):
+            bodies = [b for _, b, _ in K.sections(text) if len(b) >= 25]
+            assert all(s in all_ for b in bodies for p in b.split("\n\n") for s in K.split_sentences(p.strip()))
 
 
 def test_repeated_lines(spark):

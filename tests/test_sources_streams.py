@@ -46,8 +46,10 @@ def test_voice_calls_and_salvage(spark):
 
 
 def test_outbox_and_blocks(spark, tmp_path):
-    S.append_outbox(spark.createDataFrame([("x", "secret")], "body string, token string"), str(tmp_path / "o"))
-    assert spark.read.json(str(tmp_path / "o")).first().token == "[redacted]"
+    sent = spark.createDataFrame([("x", "secret", ("Bearer 1", "a@b.com"))], "body string, token string, request struct<Authorization: string, email: string>")
+    S.append_outbox(sent, str(tmp_path / "o"))
+    got = spark.read.json(str(tmp_path / "o")).first()
+    assert (got.body, got.token, got.request.Authorization, got.request.email) == ("x", "[REDACTED]", "[REDACTED]", "a***@b.com".replace("***", "*"))
     blocks = S.markdown_blocks(spark.createDataFrame([(1, "# H\n\n- one\n---\nplain")], "doc_id int, text string")).orderBy("block").collect()
     assert [(b.kind, b.text) for b in blocks] == [("heading", "H"), ("bullet", "one"), ("divider", "---"), ("paragraph", "plain")]
 
