@@ -428,6 +428,9 @@ def test_large_buckets_and_families(spark, monkeypatch):
         monkeypatch.setattr(neardup, name, {"PAIR_BUCKET": 2, "BUCKET_BLOCK": 8, "BLOCK": 8}[name])
     rng = random.Random(12)
     rows = list(enumerate([*family(rng, 120, 80, 8), *family(rng, 30, 300, 20)]))
+    # a chain of texts, each near its neighbours only: what hangs together is found over many blocks
+    words = [f"c{i}" for i in range(300)]
+    rows += [(1_000 + i, " ".join(words[i : i + 60])) for i in range(0, 240, 3)]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows), k=4).collect())
     assert got == brute_components(rows, 4, 80)
 

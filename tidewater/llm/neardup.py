@@ -9,15 +9,17 @@
    estimate (corrected for chance collisions of registers) may reach the threshold are
    candidates. Buckets above PAIR_BUCKET members are compared in pairs of blocks inside
    tasks, which return what joins components instead of all pairs.
-4. Candidates make families (connected components). A family's texts meet once, large
-   families in pairs of blocks, and every pair of a block is intersected on full sets; tasks
-   return the edges by which confirmed links join components, so that no link between
-   different texts is lost and no group is expanded into all its pairs.
+4. Candidates make families (connected components). A family's texts meet once, in blocks,
+   and every pair of a block is intersected on full sets; tasks return the edges by which
+   confirmed links join components, so that no group is expanded into all its pairs. A block
+   of a large family also meets as many others as its number has bits, and what then hangs
+   together with the most of the family is known; only the rest meets all of it.
 5. Components of the confirmed links, carried back to the members of the classes.
 
 The chance that a pair at the threshold shares no band is (1 - 0.8^4)^24 = 3e-6; the
-estimate's margin is five standard errors. A family of m texts costs m^2 / (2 * BLOCK)
-texts sent, in tasks of at most two blocks.
+estimate's margin is five standard errors. A family of m texts of which r don't hang
+together with the most of it costs m * log2(m / BLOCK) + 2 * m * r / BLOCK texts sent, in tasks
+of at most two blocks; confirmed components are exact whatever r is.
 
 Nulls and edge cases: a null or empty text, or one without words, has no shingles and is
 linked with nothing; a null doc_id takes part in nothing, has a null component and is kept;
@@ -274,35 +276,85 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
 
 
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Shingle sets in the place of texts, a few rows at a time; a row whose text isn't its class's (another with the same doc_id) goes."""
+    words = _Words()
+    for b in batches:
+        names = [c for c in b.schema.names if c not in ("text", "h1", "h2")]
+        for lo in range(0, b.num_rows, 64):
+            part = b.slice(lo, 64)
+            sets = [shingles(t, words, k) for t in part.column("text").to_pylist()]
+            same = pa.array([_class(s) == h for s, h in zip(sets, zip(part.column("h1").to_pylist(), part.column("h2").to_pylist(), strict=True), strict=True)])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "s"]).filter(same)
+
+
+def _held(rows: list[dict]) -> tuple[list[int], list[np.ndarray]]:
+    """The rows' classes and sets, by class, each once."""
+    sets = {r["v"]: np.frombuffer(r["s"], np.uint64) for r in rows}
+    return sorted(sets), [sets[v] for v in sorted(sets)]
+
+
 def links(docs: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links between classes, confirmed on full sets; families: (doc_id, v, h1, h2, fam, m)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(families), "doc_id")
-    rows = _block_pairs(rows.drop("doc_id"), F.col("m"), BLOCK, "fam").select("fam", "_i", "_j", "_mine", "v", "h1", "h2", "text")
+    """(a, b): links between classes, confirmed on full sets, that tell which of them hang together.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+    families: (doc_id, v, h1, h2, fam, m), stashed. A family's classes are dealt into blocks.
+    First each block is compared within itself and with log2(blocks) others (those whose
+    number differs in one bit), which joins what is alike throughout. Pairs that hang
+    together already need no link of their own; what doesn't hang together with the most
+    of its family is then compared with all of it.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    count = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
+    own = F.pmod(F.xxhash64("v"), count)
+    bits = F.transform(F.sequence(F.lit(0), F.floor(F.log2(count)).cast("int")), lambda i: own.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    others = F.transform(F.filter(bits, lambda j: j < count), lambda j: F.struct(F.least(own, j).alias("_i"), F.greatest(own, j).alias("_j")))
+    to = F.concat(F.array(F.struct(own.alias("_i"), own.alias("_j"))), others)
+    rows = texts.join(small(families), "doc_id").withColumn("_mine", own).withColumn("_to", F.explode(to))
+    rows = rows.select("fam", "_to._i", "_to._j", "_mine", "v", "h1", "h2", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), group in _groups(_sets(batches, k), ("fam", "_i", "_j")):
+            vs, sets = _held(group)
+            block = {r["v"]: r["_mine"] for r in group}
+            if len(vs) > 1 and (out := _joined(vs, _linked(sets, percent), np.array([block[v] for v in vs]), i != j)):
+                yield _edges(out)
 
-        def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Sets instead of texts; a few rows at a time."""
-            for b in batches:
-                for lo in range(0, b.num_rows, 64):
-                    part = b.slice(lo, 64)
-                    sets = [shingles(t, words, k) for t in part.column("text").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column(c) for c in ("fam", "_i", "_j", "_mine", "v", "h1", "h2")] + [pa.array([s.tobytes() for s in sets], pa.binary())], ["fam", "_i", "_j", "_mine", "v", "h1", "h2", "s"])
-
-        for (_, i, j), group in _groups(slim(batches), ("fam", "_i", "_j")):
-            held = {}
-            for r in group:
-                s = np.frombuffer(r["s"], np.uint64)
-                if _class(s) == (r["h1"], r["h2"]):  # another text with the same doc_id isn't meant
-                    held[r["v"]] = (s, r["_mine"])
-            if len(held) < 2:
-                continue
-            vs = sorted(held)
-            if out := _joined(vs, _linked([held[v][0] for v in vs], percent), np.array([held[v][1] for v in vs]), i != j):
+    first = rows.repartition("fam", "_i", "_j").sortWithinPartitions("fam", "_i", "_j").mapInArrow(compare, "a long, b long")
+    first = stash(first, "nd_links")
+    large = stash(families.where(F.col("m") > BLOCK), "nd_large")
+    if not large.limit(1).count():
+        return first
+    found = components(first.join(large.select(F.col("v").alias("a")), "a", "left_semi"), "nd_parts")
+    state = stash(large.join(found, "v", "left").withColumn("c", F.coalesce("c", "v")), "nd_state")
+    most = state.groupBy("fam", "c").agg(F.count("*").alias("n")).groupBy("fam").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    most = small(stash(most.where(F.col("all") > F.col("n")).select("fam", "most", (F.col("all") - F.col("n")).alias("rest")), "nd_most"))
+    state = state.join(most, "fam")
+    if not state.limit(1).count():
+        return first
+    apart = F.ceil(F.col("rest") / F.lit(BLOCK)).cast("long")
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # as one of all, a class meets every block of the rest; as one of the rest, every block of all
+    place = F.transform(numbers(apart), lambda x: F.struct(x.alias("_i"), own.alias("_j"), F.lit(0).alias("_asks")))
+    asks = F.transform(numbers(count), lambda x: F.struct(F.pmod(F.xxhash64("v"), apart).alias("_i"), x.alias("_j"), F.lit(1).alias("_asks")))
+    to = F.when(F.col("c") == F.col("most"), place).otherwise(F.concat(place, asks))
+    rows = texts.join(small(stash(state, "nd_rest")), "doc_id").withColumn("_to", F.explode(to)).select("fam", "_to.*", "v", "c", "h1", "h2", "text")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _groups(_sets(batches, k), ("fam", "_i", "_j")):
+            vs, sets = _held(group)
+            part, asks = {r["v"]: r["c"] for r in group}, {r["v"] for r in group if r["_asks"]}
+            label = {c: i for i, c in enumerate(sorted(set(part.values())))}
+            forest, out = _Forest(len(label)), []
+            if len(label) > 1:
+                for x, y in zip(*np.nonzero(_linked(sets, percent)), strict=True):
+                    a, b = vs[x], vs[y]
+                    if (a in asks or b in asks) and forest.join(label[part[a]], label[part[b]]):
+                        out.append((a, b))
+            if out:
                 yield _edges(out)
 
-    return rows.repartition("fam", "_i", "_j").sortWithinPartitions("fam", "_i", "_j").mapInArrow(run, "a long, b long")
+    second = rows.repartition("fam", "_i", "_j").sortWithinPartitions("fam", "_i", "_j").mapInArrow(rest, "a long, b long")
+    return stash(first.union(second), "nd_links")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = THRESHOLD, row: str | None = None) -> DataFrame:
@@ -322,7 +374,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = THRESHOLD,
     family = components(pairs, "nd_families").select("v", F.col("c").alias("fam"))
     sizes = small(stash(family.groupBy("fam").agg(F.count("*").alias("m")), "nd_sizes"))
     families = stash(family.join(sizes, "fam").join(named, "v").select("doc_id", "v", "h1", "h2", "fam", "m"), "nd_members")
-    found = components(stash(links(docs, families, k, percent), "nd_links"), "nd_components")
+    found = components(links(docs, families, k, percent), "nd_components")
     least = stash(found.join(named, "v").groupBy("c").agg(F.min("doc_id").alias("component_id")), "nd_least")
     of = found.join(small(least), "c").select("v", "component_id", "c")
     many = classes.where("copies > 1").select("v", F.col("doc_id").alias("own"))
