@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidewater.llm import topk, urlfilter, warc
+from tidewater.llm import common, topk, urlfilter, warc
 from tidewater.llm.catalog import ORACLES, QUERIES
 
 DATA = os.environ.get("TIDEWATER_TESTDATA", "/root/testdata/sf0.001")
@@ -82,7 +82,9 @@ def test_links_carry_trust_and_distrust(spark):
     assert got[4].trust > 0 and got[3].distrust > 0
 
 
-def test_walk_is_page_rank(spark):
+@pytest.mark.parametrize("hub", [100_000, 2])
+def test_walk_is_page_rank(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(3)
     hosts = [f"h{i}" for i in range(12)]
     edges = {(a, b): float(rng.randint(1, 3)) for a in hosts for b in rng.sample(hosts, 3)}

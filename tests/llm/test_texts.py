@@ -452,8 +452,11 @@ def test_estimates():
         assert abs(neardup.estimate(np.array([same]), np.array([len(a)]), np.array([len(b)]))[0] - true) < 5 * (0.25 / neardup.REGISTERS) ** 0.5
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(100, 200), (200, 300), (5, 5)], "a long, b long")
+@pytest.mark.parametrize("hub", [100_000, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
+    monkeypatch.setattr(common, "SALT", 4)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(100, 200), (200, 300), (5, 5)] + [(1_000, i) for i in range(1_001, 1_020)] + [(1_020, 1_010)], "a long, b long")
     got = {r.v: r.c for r in common.components(edges).collect()}
-    assert got == {i: 10 for i in range(10, 41)} | {100: 100, 200: 100, 300: 100}
+    assert got == {i: 10 for i in range(10, 41)} | {100: 100, 200: 100, 300: 100} | {i: 1_000 for i in range(1_000, 1_021)}
     assert common.components(edges.limit(0)).count() == 0

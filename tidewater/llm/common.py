@@ -95,34 +95,44 @@ def count_below(n: int, below: Callable[[Column], Column]) -> Column:
     )["lo"]
 
 
+def salted(edges: DataFrame, key: str, other: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """edges, stashed, with a salt _s, and the hubs: keys with more than HUB edges, whose edges are dealt over SALT salts by the other column; _s is -1 for the rest."""
+    hubs = edges.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HUB).select(F.col(key).alias("_hub"))
+    hubs = stash(hubs, name)
+    salt = F.when(F.col("_hub").isNotNull(), F.pmod(F.xxhash64(other), F.lit(SALT))).otherwise(-1)
+    return stash(edges.join(small(hubs), F.col(key) == F.col("_hub"), "left").select(*edges.columns, salt.cast("long").alias("_s")), name), hubs
+
+
+def offered(rows: DataFrame, key: str, hubs: DataFrame) -> DataFrame:
+    """rows with _s -1, and those of hubs once a salt besides, to be joined with salted() edges on key and _s."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
+    plain = rows.withColumn("_s", F.lit(-1).cast("long"))
+    return plain.union(rows.join(hubs, F.col(key) == F.col("_hub"), "left_semi").select(*rows.columns, salts.alias("_s")))
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges(a, b): (v, c), c the smallest vertex reachable.
 
     Minimum labels travel over edges, then each label jumps to its label's label, until
-    nothing changes. All of it is grouped by vertex with partial sums. Edges that end in a
-    hub (a vertex with more than HUB edges) are joined in SALT parts, and of the labels only
-    those that have a smaller one themselves are looked up, so that neither a hub nor the
-    label of a giant component is a hot key. Vertices without an edge don't appear. Tables
-    of earlier rounds are deleted.
+    nothing changes. All of it is grouped by vertex with partial sums; edges that end in a
+    hub are joined in parts, and of the labels only those that have a smaller one themselves
+    are looked up, so that neither a hub nor the label of a giant component is a hot key.
+    Vertices without an edge don't appear. Tables of earlier rounds are deleted.
     """
     both = stash(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), name)
-    hubs = stash(both.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(F.col("b").alias("hub")), name)
-    salt = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("a"), F.lit(SALT))).otherwise(-1)
-    salted = stash(both.join(small(hubs), F.col("b") == F.col("hub"), "left").select("a", "b", salt.cast("long").alias("s")), name)
+    parted, hubs = salted(both, "b", "a", name)
     discard(both)
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
-    held = stash(salted.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), name)
+    held = stash(parted.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), name)
     while True:
         lab = held.select("v", "c")
-        own = lab.select(F.col("v").alias("b"), "c", F.lit(-1).cast("long").alias("s"))
-        offered = own.union(own.join(hubs, F.col("b") == F.col("hub"), "left_semi").select("b", "c", salts.alias("s")))
-        seen = salted.join(offered, ["b", "s"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
+        ends = offered(lab.select(F.col("v").alias("b"), "c"), "b", hubs)
+        seen = parted.join(ends, ["b", "_s"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         near = stash(lab.join(seen, "v").select("v", "c", F.least("c", "m").alias("n")), name)
         on = near.where("n <> v").select(F.col("v").alias("n"), F.col("n").alias("up")).join(near.select("n").distinct(), "n", "left_semi")
         on = stash(on, name)
         new = stash(near.join(small(on), "n", "left").select("v", F.least("n", F.coalesce("up", "n")).alias("c"), F.col("c").alias("was")), name)
         discard(held, near, on)
         if not new.where("c <> was").limit(1).count():
-            discard(salted, hubs)
+            discard(parted, hubs)
             return new.select("v", "c")
         held = new

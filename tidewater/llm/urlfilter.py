@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, load, small, stash
+from .common import discard, load, offered, salted, small, stash
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -80,20 +80,20 @@ def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: i
     tolerance times the seeds' mass, or for the given rounds. A round changes them by at most
     2 * damping^round of that mass, so it ends, at 1e-4 after 64 rounds at the latest.
     Ranks are in units of the seeds' mass, so those of two walks can be compared.
-    One row a host goes round; links are summed by host with partial sums, so that a hub
-    is no hot spot. Mass of hosts without a way out is lost; every host with
+    One row a host goes round; links are summed by host with partial sums, and those that
+    leave a hub are joined in parts, so that a hub is no hot spot. Mass of hosts without a way out is lost; every host with
     pages has one, its own links.
     """
     start = stash(seeds.where("mass > 0").groupBy("host").agg(F.sum("mass").alias("s")), "walk_start")
     mass = start.agg(F.sum("s")).first()[0]
     out = edges.groupBy("src").agg(F.sum("w").alias("o"))
-    links = stash(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("o")).alias("p")), "walk_links")
+    links, hubs = salted(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("o")).alias("p")), "src", "dst", "walk_links")
     rank = start.select("host", F.col("s").alias("rank"))
     i, held = 0, None
     while mass and (rounds is None or i < rounds):
         i += 1
         check = rounds is None and i % 4 == 0
-        moved = rank.join(links, rank.host == links.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
+        moved = offered(rank.withColumnRenamed("host", "src"), "src", hubs).join(links, ["src", "_s"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
         new = moved.join(start, "host", "full").select("host", (F.lit(damping) * F.coalesce("m", F.lit(0.0)) + F.lit(1 - damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
         if check:
             was = rank.select("host", F.col("rank").alias("was"))
