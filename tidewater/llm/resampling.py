@@ -37,6 +37,8 @@ from .common import discard, load, stash
 BUCKETS, LONGEST, LEAST_WORDS, SHARE, SEED = 10_000, 3, 20, 5, 42
 #: Words whose states are extended at once.
 BLOCK = 65_536
+#: Documents whose buckets are held at once.
+ROWS = 512
 #: Rows that a part of the ranking has, about.
 PART_ROWS = 1_000_000
 #: Letters, digits and all that isn't ASCII make words; A-Z are lowered. Other bytes become spaces.
@@ -72,26 +74,34 @@ def histogram(text: bytes | None, buckets: int = BUCKETS, longest: int = LONGEST
     return len(words), counts
 
 
+def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """The buckets that have features, two bytes each, and how many, one byte each if that is enough for all."""
+    some = np.flatnonzero(counts)
+    many = counts[some]
+    return some.astype(np.uint16).tobytes(), (many.astype(np.uint8) if many.max(initial=0) < 256 else many).tobytes()
+
+
+def unpacked(buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(buckets, np.uint16)
+    return at, np.frombuffer(counts, np.uint8 if len(counts) == len(at) else np.int64)
+
+
 def featured(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
-    """docs(text, ...) without its text, but with _words, _features, _buckets and _counts."""
+    """docs(text, ...) without its text, but with _words, _features, and packed() _buckets and _counts."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words, n_features, at, many = [], [], [], []
-            for text in b.column("text"):
-                n, counts = histogram(text.as_py(), buckets, longest)
-                some = np.flatnonzero(counts)
-                n_words.append(n)
-                at.append(some.astype(np.int32))
-                many.append(counts[some])
-                n_features.append(int(many[-1].sum()))
-            ends = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
-            flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-            made = [pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()), pa.ListArray.from_arrays(ends, flat(at, pa.int32())), pa.ListArray.from_arrays(ends, flat(many, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], [*kept, "_words", "_features", "_buckets", "_counts"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "_words long, _features long, _buckets array<int>, _counts array<long>"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                b = whole.slice(lo, ROWS)
+                made = []
+                for text in b.column("text"):
+                    n, counts = histogram(text.as_py(), buckets, longest)
+                    made.append((n, int(counts.sum()), *packed(counts)))
+                cols = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], [*kept, "_words", "_features", "_buckets", "_counts"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "_words long, _features long, _buckets binary, _counts binary"])
     return docs.select(*kept, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -101,7 +111,9 @@ def totals(found: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            np.add.at(total, b.column("_buckets").flatten().to_numpy(), b.column("_counts").flatten().to_numpy())
+            for at, many in zip(b.column("_buckets"), b.column("_counts"), strict=True):
+                ids, n = unpacked(at.as_py(), many.as_py())
+                total[ids] += n  # each bucket once
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
@@ -125,10 +137,9 @@ def weighed(found: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = sent.value[b.column("_buckets").flatten().to_numpy()] * b.column("_counts").flatten().to_numpy()
-            upto = np.concatenate([[0], np.cumsum(each)])
-            ends = np.concatenate([[0], np.cumsum(b.column("_buckets").value_lengths().to_numpy())])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.diff(upto[ends]), pa.int64())], [*kept, "_weight"])
+            each = (unpacked(at.as_py(), many.as_py()) for at, many in zip(b.column("_buckets"), b.column("_counts"), strict=True))
+            weight = [int((sent.value[ids] * n).sum()) for ids, n in each]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(weight, pa.int64())], [*kept, "_weight"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in kept), "_weight long"])
     return found.mapInArrow(run, schema)
