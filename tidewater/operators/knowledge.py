@@ -129,18 +129,29 @@ def _windows(text: str, size: int, overlap: int) -> list[tuple[None, str, int]]:
     return out
 
 
-def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, chunk_index, section, chunk_text, char_start, token_estimate); a document is one row's work."""
+def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, keep..., chunk_index, section, chunk_text, char_start, token_estimate); a document is one row's work.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                rows = [(i, k, s, t, at, math.ceil(len(t) / 4)) for i, text in zip(b.column("doc_id").to_pylist()[lo : lo + 500], b.column("text").to_pylist()[lo : lo + 500], strict=True) for k, (s, t, at) in enumerate(chunks(text or "", size, overlap))]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["doc_id", "chunk_index", "section", "chunk_text", "char_start", "token_estimate"])
+    keep names columns that each chunk has from its document.
+    """
+    kept = ["doc_id", *(keep or [])]
+    made = {"chunk_index": pa.int32(), "section": pa.string(), "chunk_text": pa.string(), "char_start": pa.int32(), "token_estimate": pa.int32()}
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index int, section string, chunk_text string, char_start int, token_estimate int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                found = [chunks(text or "", size, overlap) for text in b.column("text").to_pylist()]
+                rows = [(k, s, t, at, math.ceil(len(t) / 4)) for each in found for k, (s, t, at) in enumerate(each)]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(each) for each in found]), pa.int64())
+                cols = list(zip(*rows, strict=True)) or [()] * len(made)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in kept), *(pa.array(list(c), t) for c, t in zip(cols, made.values(), strict=True))], [*kept, *made])
+
+    rows = docs.select(*kept, "text")
+    schema = StructType([rows.schema[c] for c in kept])
+    for name, kind in (("chunk_index", "integer"), ("section", "string"), ("chunk_text", "string"), ("char_start", "integer"), ("token_estimate", "integer")):
+        schema.add(name, kind)
+    return rows.mapInArrow(run, schema)
 
 
 def fnv1a(text: str, seed: int = 0x811C9DC5) -> int:
