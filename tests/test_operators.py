@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import aggregates as A
 from tidewater.operators import knowledge as K
 from tidewater.operators import merges as M
+from tidewater.operators import vectors as V
 from tidewater.plans.catalog import QUERIES
 
 
@@ -95,8 +96,8 @@ def test_embedding_and_cosine(spark):
 
 
 def test_search_takes_every_query(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(K, "PART_ROWS", 64)
-    monkeypatch.setattr(K, "QUERY_SLICE", 4)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(V, "BLOCKS_AT_ONCE", 2)
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 5) for i in range(400)] + [(400 + i, [1.0] * 8, 1) for i in range(40)] + [(440, None, 1), (441, [0.0] * 8, 2), (442, [float("nan")] * 8, 3), (443, [1.0, None, 2.0], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")

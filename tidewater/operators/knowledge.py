@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import text as T
+from .vectors import top_k  # noqa: F401  searches are part of this module's surface
 
 CHUNK_SIZE, OVERLAP, LEAST_CHUNK, LEAST_BUDGET = 900, 150, 25, 200
-#: Vectors that a part of a search has, about; queries that pass by it at once.
-PART_ROWS, QUERY_SLICE = 32_768, 128
 WEIGHTS = (0.55, 0.15, 0.30)  # best similarity, agreement of the next two, coverage of the terms
 # What is a heading, what ends a sentence and which abbreviations don't.
 HEADING = r"^(?:(?P<marks>#{1,6})[^\S\n]+(?P<title>\S.*?)[^\S\n]*|(?P<number>\d+(?:\.\d+)*)[.)][^\S\n]+(?P<name>[A-Z].{2,80}))$"
@@ -212,82 +211,6 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
-    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    out = np.zeros((len(ends) - 1, width))
-    at = np.repeat(ends[:-1], np.diff(ends))
-    rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    out[rows, np.arange(ends[0], ends[-1]) - at] = flat[ends[0] : ends[-1]]
-    return out
-
-
-def _width(column: pa.ListArray) -> int:
-    return int(np.diff(column.offsets.to_numpy()).max(initial=0))
-
-
-def _search(rows: pa.Table, batches: Iterator[pa.RecordBatch], k: int, least: float) -> Iterator[pa.RecordBatch]:
-    """The k best of the rows (_v, _row), which come in the order that ties follow, for each query of the batches (_id, _v)."""
-    vectors, kept = rows.column("_v").combine_chunks(), rows.column("_row").combine_chunks()
-    x = _matrix(vectors, _width(vectors))
-    length = np.sqrt((x * x).sum(1))
-    for b in batches:
-        for lo in range(0, b.num_rows, QUERY_SLICE):
-            part = b.slice(lo, QUERY_SLICE)
-            q = _matrix(part.column("_v"), _width(part.column("_v")))
-            w = min(q.shape[1], x.shape[1])
-            n = np.sqrt((q * q).sum(1))[:, None] * length[None, :]
-            with np.errstate(all="ignore"):
-                s = np.where(n == 0, 0.0, q[:, :w] @ x[:, :w].T / n)
-                s = np.copysign(np.floor(np.abs(s) * 1e6 + 0.5) / 1e6, s) + 0.0
-                s[~(s >= least)] = -np.inf  # NaN, too
-            at = min(k, s.shape[1])
-            low = np.partition(s, s.shape[1] - at, axis=1)[:, s.shape[1] - at]
-            hits = []
-            for row, bound in zip(s, low, strict=True):
-                good = np.flatnonzero((row >= bound) & (row > -np.inf))
-                hits.append(good[np.argsort(-row[good], kind="stable")[:k]])
-            who, which = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.concatenate(hits)
-            ids, took = part.column("_id").take(pa.array(who)), kept.take(pa.array(which))
-            yield pa.RecordBatch.from_arrays([ids, *took.flatten(), pa.array(s[who, which])], ["query_id", *(f.name for f in took.type), "similarity"])
-
-
-def top_k(chunks_: DataFrame, queries: DataFrame, k: int, least: float = -1.0, where: Column | None = None, order: list[Column] | None = None) -> DataFrame:
-    """(query_id, rank, and the chunk's columns, similarity): filters before ranks.
-
-    Chunks are dealt into parts of bounded size. The queries(query_id, query), however many,
-    pass by each part in slices; a part keeps k rows a query, and those meet by query.
-    """
-    rows = chunks_ if where is None else chunks_.where(where)
-    order = order or []
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
-    kept = [c for c in rows.columns if c != "embedding"]
-    plain = lambda c: F.transform(F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>")), lambda e: F.coalesce(e, F.lit(0.0)))
-    # by place, not by content: copies of a row don't gather in one part
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
-    ours = rows.select(place.alias("_p"), F.lit(0).alias("_kind"), *[o.alias(f"_o{i}") for i, o in enumerate(order)], plain("embedding").alias("_v"), F.struct(*kept).alias("_row"))
-    held = {f.name: f.dataType for f in ours.schema}
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"), F.lit(1).alias("_kind"), *[F.lit(None).cast(held[f"_o{i}"]).alias(f"_o{i}") for i in range(len(order))], plain("query").alias("_v"), F.lit(None).cast(held["_row"]).alias("_row"), F.col("query_id").alias("_id"))
-    dealt = ours.unionByName(asked, allowMissingColumns=True).repartitionById(parts, F.col("_p"))
-    dealt = dealt.sortWithinPartitions("_kind", *[f"_o{i}" for i in range(len(order))]).select("_kind", "_id", "_v", "_row")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: list[pa.RecordBatch] = []
-        rows = None
-        for b in batches:
-            n = int(np.count_nonzero(b.column("_kind").to_numpy() == 0))
-            if n:
-                mine.append(b.slice(0, n))
-            if n < b.num_rows and mine:
-                rows = rows or pa.Table.from_batches(mine)
-                yield from _search(rows, iter([pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in b.slice(n).columns], schema=b.schema)]), k, least)
-
-    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), *(StructField(f.name, f.dataType) for f in rows.select(*kept).schema), StructField("similarity", DoubleType())])
-    good = dealt.mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), *order))
-    return good.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def confidence(ranked: DataFrame, coverage: Column | None = None) -> DataFrame:
     """(query_id, best, agreement, confidence) from top_k(): the best, the mean of ranks 2 and 3, coverage."""
     got = ranked.groupBy("query_id").agg(

@@ -11,6 +11,7 @@ from ..functions import values as V
 from ..operators import aggregates as A
 from ..operators import knowledge as K
 from ..operators import merges as M
+from ..operators import vectors
 from .registry import AS_OF, ORACLES, QUERIES, as_of, moment, query, table
 
 
@@ -282,7 +283,7 @@ def mean_agreement(spark: SparkSession, d: str) -> DataFrame:
 )
 def grounding_status(spark: SparkSession, d: str) -> DataFrame:
     """Search within the hinted kinds, then once among all; the better confidence counts."""
-    rows, asked = table(spark, d, "embeddings"), _asked(spark, d)
+    rows, asked = vectors.store(table(spark, d, "embeddings"), "label"), _asked(spark, d)
     narrow = K.confidence(K.top_k(rows, asked, 5, where=F.col("label").isin(1, 2, 3), order=[F.col("vec_id")])).select("query_id", F.col("confidence").alias("n"))
     wide = K.confidence(K.top_k(rows, asked, 5, order=[F.col("vec_id")])).select("query_id", F.col("confidence").alias("w"))
     both = wide.join(narrow, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
@@ -290,6 +291,15 @@ def grounding_status(spark: SparkSession, d: str) -> DataFrame:
     return both.select("query_id", best.alias("confidence"), (F.col("w") > F.col("n")).alias("widened"), F.when(best >= 0.22, "grounded").otherwise("refused").alias("status"))
 
 
+@query()
+def vector_topk_approx(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest, looked for in the cells nearest to each query; part of what vector_topk finds."""
+    rows = table(spark, d, "embeddings")
+    cells = vectors.train(rows)
+    got = K.top_k(vectors.store(rows, cells=cells), _asked(spark, d), 5, order=[F.col("vec_id")], cells=cells)
+    return got.select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"))
+
+
 # the searches' other names
 for _name in ("vector_topk", "vector_topk_filtered", "mean_agreement", "grounding_status"):
     QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

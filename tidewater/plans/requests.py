@@ -15,6 +15,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import knowledge as K
 from ..operators import merges as M
+from ..operators import vectors as V
 from .registry import moment, query, table
 
 
@@ -174,8 +175,8 @@ def grounded_retrieval(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text", F.array_distinct(T.terms(F.col("text"))).alias("asked"))
     asked = K.hashed_embedding(items.select("query_id", "text")).withColumnRenamed("embedding", "query")
     docs = table(spark, d, "documents").select("doc_id", "lang", T.clean(F.coalesce("text", F.lit(""))).alias("text"))
-    langs = docs.select("doc_id", "lang")
-    pieces = K.hashed_embedding(K.chunk_documents(docs).select("doc_id", "chunk_index", "chunk_text").join(langs, "doc_id"), text="chunk_text")
+    # chunked and embedded once, into folders by language: both searches read what is stored
+    pieces = V.store(K.hashed_embedding(K.chunk_documents(docs, keep=["lang"]).select("doc_id", "lang", "chunk_index", "chunk_text"), text="chunk_text"), "lang", "chunks")
 
     def asked_of(where: Column | None) -> DataFrame:
         got = K.top_k(pieces, asked, 5, 0.08, where, [F.col("doc_id"), F.col("chunk_index")]).join(items.select("query_id", "asked"), "query_id")
