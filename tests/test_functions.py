@@ -1,5 +1,9 @@
 """Scalar rules against tables of expected values."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +70,32 @@ def test_claims(spark):
     assert row.select(T.unsupported_claims(F.col("a"), F.col("e")).alias("c")).first().c == ["30 days"]
 
 
+def plain_html(page):
+    """The rules as Python's own regular expressions tell them, one after the other."""
+    steps = [(r"(?is)<(script|style)\b.*?</\1>", ""), (r"(?s)<!--.*?-->", ""), *((rf"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)), (r"(?i)<li[^>]*>", "\n- "), (r"(?i)</t[dh]>", " | ")]
+    steps += [(r"(?i)<br[ \t\n\x0b\f\r]*/?>", "\n"), (r"(?i)</(p|div|h[1-6]|tr|table|ul|ol|section|article)>", "\n\n"), (r"<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+    steps += [(r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n")]
+    for pattern, put in steps:
+        page = re.sub(pattern, lambda m, put=put: put, page)
+    return page.strip(" \t\n\x0b\f\r")
+
+
+def test_html_of_whatever_is_left_open(spark):
+    rng = random.Random(4)
+    bits = ["<script>", "</script>", "<STYLE a>", "</style>", "<script", "<style ", "<!--", "-->", "<h1", "<h2>", ">", "<", "<li>", "x", " ", "\n", "</p>", "<br />", "&lt;", "sty", "<a b", "<>", "le>", "\r"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(1500)]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.html_to_text(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert [(a, b) for a, b, t in zip(got, map(plain_html, texts), texts, strict=True) if a != b][:3] == []
+
+
+@pytest.mark.parametrize("bit", ["<", "<script ", "<!--", "<style", "<h1", "<li <br", "\r", "<script><style>", " \n", "</script", "<a href='"])
+def test_html_takes_linear_time(spark, bit):
+    page = bit * (1_000_000 // len(bit))
+    began = time.time()
+    got = spark.createDataFrame([(page,), (page + "> end",)], "t string").select(F.length(T.html_to_text(F.col("t"))).alias("n")).collect()
+    assert time.time() - began < 30 and len(got) == 2
+
+
 def test_html(spark):
     got = one(spark, "<h2>A &amp; B</h2><p>x<br>y</p><ul><li>one<li>two</ul><table><tr><td>c</td><td>d</td></tr></table><script>no()</script>", T.html_to_text)
     assert got.splitlines()[0] == "## A & B" and "- one" in got and "c | d |" in got and "no()" not in got

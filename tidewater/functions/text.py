@@ -122,19 +122,41 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("int")
 
 
+#: A character that no text has; it divides one while it is worked on, and goes if a text has it nevertheless.
+DIVIDER = "\uffff"
+
+
+def _without_scripts(html: Column) -> Column:
+    """Scripts and styles gone, up to their ends. What isn't closed stays.
+
+    A tag without an end is searched for it once: all that follows is set aside, in which no
+    tag of that name is closed, and the other name is looked for there.
+    """
+    gone = lambda c, names: F.split(F.regexp_replace(F.concat(F.replace(c, F.lit(DIVIDER), F.lit("")), F.lit(DIVIDER)), rf"(?is)<({names})\b.*?</\1>|(<(?:{names})\b[^{DIVIDER}]*)({DIVIDER})", "$3$2"), DIVIDER)
+    both = gone(html, "script|style")
+    one = lambda c, name: F.array_join(gone(c, name), "")
+    return F.concat(both[0], one(one(both[1], "script"), "style"))
+
+
 def html_to_text(html: Column) -> Column:
-    """Headings to #, list items to -, block ends to blank lines, cells to |; tags dropped, entities decoded."""
-    steps = (
-        (r"(?is)<(script|style)\b.*?</\1>", ""), (r"(?s)<!--.*?-->", ""),
+    """Headings to #, list items to -, block ends to blank lines, cells to |; tags dropped, entities decoded.
+
+    Time grows with the length of the page, whatever is left open in it: only what ends in a >
+    can hold tags, so each of them is closed.
+    """
+    whole = F.regexp_replace(_without_scripts(html), r"(?s)<!--.*?-->|(<!--.*)\z", "$1")
+    rest = F.substring_index(whole, ">", -1)
+    tags = F.left(whole, F.length(whole) - F.length(rest))
+    marks = (
         *((rf"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)),
-        (r"(?i)<li[^>]*>", "\n- "), (r"(?i)</t[dh]>", " | "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|h[1-6]|tr|table|ul|ol|section|article)>", "\n\n"),
-        (r"<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
-        (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
+        (r"(?i)<li[^>]*>", "\n- "), (r"(?i)</t[dh]>", " | "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|h[1-6]|tr|table|ul|ol|section|article)>", "\n\n"), (r"<[^>]+>", ""),
     )
-    out = html
-    for pattern, put in steps:
+    for pattern, put in marks:
+        tags = F.regexp_replace(tags, pattern, put)
+    out = F.concat(tags, rest)
+    for pattern, put in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n")):
         out = F.regexp_replace(out, pattern, put)
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.btrim(out, F.lit(" \t\n\x0b\f\r"))
 
 
 def html_escape(text: Column) -> Column:
