@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], fill_blank: tuple[str, ...] = ()) -> DataFrame:
     """One row a key: a value that isn't null wins over the old one; of fill_blank, '' counts as null.
@@ -63,19 +70,42 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias("_p")), F.col(key) == F.col("_p"), "left_anti")
 
 
-def contained(parts: DataFrame, part: str, texts: DataFrame, text: str, gram: int = 4) -> DataFrame:
+def contained(parts: DataFrame, part: str, texts: DataFrame, text: str, group: int = 1_000_000) -> DataFrame:
     """The distinct values of the column part that are a substring of some text.
 
-    No part is tried against every text: parts and texts meet where they share a piece of
-    `gram` characters (a shorter part is its own piece), of each part the one that fewest texts
-    have. Pieces that no text has end the search for their part.
+    Parts are dealt into groups of about `group` characters. An automaton over a group goes
+    through each text once, whatever the number of parts, and holds no more of it than its
+    place; texts are neither copied nor shuffled. Groups take their turns, so work is the
+    texts' length for each group.
     """
-    wanted = parts.select(F.col(part).alias("_p")).where(F.col(part) != "").distinct()
-    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
-    c, p = F.col("_t"), F.col("_p")
-    said = texts.select(F.col(text).alias("_t")).where(F.col(text) != "").distinct()
-    some = F.flatten(F.array(*[F.when(F.length(c) >= n, pieces(c, n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram + 1)]))
-    have = said.select("_t", F.explode(some).alias("_g"))
-    own = wanted.select("_p", F.explode(F.when(F.length(p) >= gram, pieces(p, gram)).otherwise(F.array(p))).alias("_g"))
-    rare = own.join(have.groupBy("_g").agg(F.count("*").alias("_n")), "_g", "left").groupBy("_p").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_g"))
-    return rare.join(have, "_g").where(F.contains("_t", "_p")).select(p.alias(part)).distinct()
+    wanted = stash(parts.select(F.col(part).cast("string").alias("p")).where("p <> ''").distinct(), "parts")
+    said = texts.select(F.col(text).cast("string").alias("t")).where("t <> ''")
+    groups = -(-(wanted.agg(F.sum(F.length("p"))).first()[0] or 0) // group)
+    found = [wanted.limit(0)]
+    for g in range(groups):
+        names = [r.p for r in wanted.where(F.pmod(F.xxhash64("p"), F.lit(groups)) == g).select("p").collect()]  # about `group` characters
+        if names:
+            sent = parts.sparkSession.sparkContext.broadcast(names)
+            # few are found often, so each task tells each once
+            found.append(stash(said.mapInArrow(_finder(sent), "p string").distinct(), "contained"))
+            sent.destroy()
+    return reduce(DataFrame.union, found).withColumnRenamed("p", part)
+
+
+def _finder(sent):
+    """What a task does with a group of parts: all of them that its texts hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for name in sent.value:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        told: set[str] = set()
+        for b in batches:
+            for t in b.column("t"):
+                new = {name for _, name in automaton.iter(t.as_py())} - told
+                if new:
+                    told |= new
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], ["p"])
+
+    return run

@@ -12,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import knowledge as K
 from ..operators import merges as M
 from ..operators import vectors
+from ..operators.index import Index
 from .registry import AS_OF, ORACLES, QUERIES, as_of, moment, query, table
 
 
@@ -335,11 +336,10 @@ def product_search_staged(spark: SparkSession, d: str) -> DataFrame:
     by_code = parts.join(asked, F.lower("p_brand") == F.col("q")).select("query_id", "p_partkey", F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
     named = parts.join(asked, (F.col("p_name") == F.col("q")) | F.array_contains("words", F.col("q")) | F.col("p_name").startswith(F.col("q")) | F.col("q").startswith(F.col("p_name")))
     by_name = named.select("query_id", "p_partkey", F.lit(2).alias("stage"), F.when(F.col("p_name") == F.col("q"), 1.0).when(F.array_contains("words", F.col("q")), 0.95).otherwise(0.8).alias("score"))
-    # words meet words: an inverted index of the terms, not all parts for all queries
-    index = parts.select("p_partkey", F.explode("words").alias("term"))
-    terms = asked.select("query_id", F.size(F.array_distinct(F.split("q", " "))).alias("n_terms"), F.explode(F.array_distinct(F.split("q", " "))).alias("term"))
-    counts = index.join(terms, "term").groupBy("query_id", "n_terms", "p_partkey", "term").agg(F.count("*").alias("n"))
-    ranked = counts.groupBy("query_id", "n_terms", "p_partkey").agg(F.collect_list("n").alias("counts"))
+    # words meet words in a kept index: searches read the postings of their terms
+    index = Index(spark, parts.schema["p_partkey"].dataType)
+    index.add(parts.select(F.col("p_partkey").alias("id"), F.col("words").alias("terms")))
+    ranked = index.search(asked.select("query_id", F.split("q", " ").alias("terms"))).withColumnRenamed("id", "p_partkey")
     score = F.least(F.lit(R.RANK_CAP), R.RANK_SCALE * R.text_rank(F.col("counts"), F.col("n_terms")))
     by_word = ranked.select("query_id", "p_partkey", F.lit(3).alias("stage"), score.alias("score"))
     return M.staged(by_code, by_name, by_word).withColumn("score", F.round("score", 6))
