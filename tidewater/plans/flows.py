@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import knowledge as K
 from ..operators import merges as M
+from ..sources import snapshots as S
+from ..sources.shared import shared_dir
 from .corpus import _FLAGS, _SAID, _any, _said
 from .registry import AS_OF, as_of, query, table
 
@@ -130,6 +134,28 @@ def ingestion_run(spark: SparkSession, d: str) -> DataFrame:
     return both.select("doc_id", F.when(F.col("short"), "failed").when(F.col("known").isNull(), "created").when(F.col("known") != F.col("hash"), "updated").otherwise("skipped").alias("action"))
 
 
+_HALVES = "(SELECT (max(doc_id) + 1) // 2 AS half FROM documents)"
+
+
+@query(
+    f"""WITH a AS (SELECT source, left(text, 24) AS source_ref, doc_id AS arrived, sha256(text) AS hash, doc_id < half AS old FROM documents, {_HALVES} WHERE length(trim(coalesce(text, ''))) >= 20),
+    n AS (SELECT source, source_ref, old, arg_max(hash, (arrived, hash)) AS hash FROM a GROUP BY 1, 2, 3)
+    SELECT n.source, n.source_ref, CASE WHEN o.hash IS NULL THEN 'created' WHEN o.hash <> n.hash THEN 'updated' ELSE 'skipped' END AS action, CASE WHEN o.hash <> n.hash THEN 2 ELSE 1 END AS version
+    FROM n LEFT JOIN n o ON o.old AND o.source IS NOT DISTINCT FROM n.source AND o.source_ref = n.source_ref WHERE NOT n.old"""
+)
+def ingestion_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The second half of the documents comes to a store that has taken in the first: by source and opening words they are new, new versions, or known.
+
+    Documents and their chunks change together, in two commits of a store of its own.
+    """
+    docs = table(spark, d, "documents").where(F.length(F.trim(F.coalesce("text", F.lit("")))) >= 20)
+    rows = docs.select("source", F.left("text", F.lit(24)).alias("source_ref"), "text", F.col("doc_id").alias("arrived"))
+    half = table(spark, d, "documents").agg(F.floor((F.max("doc_id") + 1) / 2)).first()[0] or 0
+    store = S.Store(spark, f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}", S.KEYS, 16)
+    S.replace_documents(store, rows.where(F.col("arrived") < half))
+    return S.replace_documents(store, rows.where(F.col("arrived") >= half))
+
+
 @query()
 def ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and embeddings of the documents that a run created or updated."""

@@ -46,16 +46,32 @@ BOOKINGS = (
 )
 
 
-@query(
-    f"""SELECT event_id, doctor, specialty, day, time, doctor || '|' || day || '|' || time AS slot, CASE WHEN problem IS NULL AND shift IS NOT NULL AND isodow(CAST(ts AS DATE) + shift) = 7 THEN 'sunday' ELSE problem END AS problem, alternatives FROM (
+_BOOKED = f"""SELECT event_id, ts, doctor, specialty, day, time, doctor || '|' || day || '|' || time AS slot, CASE WHEN problem IS NULL AND shift IS NOT NULL AND isodow(CAST(ts AS DATE) + shift) = 7 THEN 'sunday' ELSE problem END AS problem, alternatives FROM (
       SELECT event_id, ts, doctor, specialty, shift, coalesce(strftime(CAST(ts AS DATE) + shift, '%Y-%m-%d'), fixed) AS day, time, problem, alternatives FROM events
       JOIN {_values(tuple(want for _, want in BOOKINGS))} AS b(i, doctor, specialty, shift, fixed, time, problem, alternatives) ON i = event_id % {len(BOOKINGS)} WHERE event_type = 'signup')"""
-)
-def booking_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Doctor, day and time of a request, its slot, what is wrong with it, and hours near it."""
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
     who, when, at = (_in_turn([said[i] for said, _ in BOOKINGS], F.col("event_id")) for i in range(3))
     rows = table(spark, d, "events").where("event_type = 'signup'")
-    return rows.select("event_id", B.request(who, when, at, F.to_date("ts")).alias("r")).select("event_id", "r.*")
+    return rows.select("event_id", "ts", B.request(who, when, at, F.to_date("ts")).alias("r")).select("event_id", "ts", "r.*")
+
+
+@query(f"SELECT * EXCLUDE (ts) FROM ({_BOOKED})")
+def booking_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Doctor, day and time of a request, its slot, what is wrong with it, and hours near it."""
+    return _requests(spark, d).drop("ts")
+
+
+@query(f"SELECT event_id, slot, CASE WHEN problem IS NOT NULL THEN 'invalid' WHEN row_number() OVER (PARTITION BY problem IS NULL, slot ORDER BY ts, event_id) > 1 THEN 'taken' ELSE 'booked' END AS outcome FROM ({_BOOKED})")
+def booking_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Who gets a slot: the first valid request for it; later ones find it taken."""
+    rows = _requests(spark, d).select("event_id", "ts", "slot", "problem")
+    # the first of each slot is found by partial aggregates, however many ask for it
+    first = rows.where("problem is null").groupBy("slot").agg(F.min(F.struct("ts", "event_id")).alias("_first"))
+    both = rows.join(first, "slot", "left")
+    outcome = F.when(F.col("problem").isNotNull(), "invalid").when(F.col("_first.event_id") == F.col("event_id"), "booked").otherwise("taken")
+    return both.select("event_id", "slot", outcome.alias("outcome"))
 
 
 #: Messages, and the product and the name in them.
