@@ -4,10 +4,12 @@ import hashlib
 import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import common, topk, urlfilter, warc
 from tidewater.llm.catalog import ORACLES, QUERIES
@@ -45,6 +47,25 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, asked)
 
 
+@pytest.mark.parametrize("block", [1, 2, 100])
+def test_top_k_of_repeated_ids(spark, monkeypatch, block):
+    """Each row of an id is a query with ranks of its own, in one block of queries or in several; and a candidate."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk, "BLOCKS_AT_ONCE", 2)
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows += [rows[0], rows[0], (0, [rng.gauss(0, 1) for _ in range(6)]), rows[7], (7, [rng.gauss(0, 1) for _ in range(6)]), (9, None)]
+    table = vectors(spark, rows)
+    got = sorted(map(tuple, topk.top_k(table, table.where("vec_id in (0, 7, 20)")).collect()))
+    assert got == brute(rows, {0, 7, 20}) and len(got) == 10 * (4 + 3 + 1)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE embeddings(vec_id BIGINT, embedding FLOAT[])")
+    db.executemany("INSERT INTO embeddings VALUES (?, ?)", [((0, 7, 20).index(i) * 100 if i in (0, 7, 20) else 1000 + i, v) for i, v in rows])
+    same = sorted((q // 100 if q < 1000 else q, r, i, s) for q, r, i, s in db.execute(topk.SQL).fetchall() if q < 300)
+    # ids are renamed for the SQL's query set, which doesn't change scores and ranks
+    assert sorted((q, r, s) for q, r, _, s in same) == sorted(((0, 7, 20).index(q), r, s) for q, r, _, s in got)
+
+
 def test_top_k_odd_tables(spark):
     assert topk.top_k(vectors(spark, []), vectors(spark, [])).count() == 0
     few = vectors(spark, [(0, [1.0, 2.0]), (1, [0.5, 0.5])])
@@ -203,6 +224,40 @@ def test_judge_is_what_brute_force_gives(spark):
         assert r.verdict == verdict or abs(t - d) < 1e-3 * mass and rule is None
 
 
+def test_hostile_pages_take_linear_time(spark):
+    long_host = ".".join(f"l{i}" for i in range(100_000)) + ".deep.bad.com"
+    rows = [
+        (1, "http://good.org/a", "<a " * 350_000), (2, "http://bad.com/de/x", "<a href" * 150_000), (3, f"http://{long_host}/x", "<a href=" + " " * 500_000), (4, "http://good.org/b", '<a class="x" href="http://friend.net/">' * 20_000 + "<a\n" * 100_000),
+        (5, "http://" + "." * 100_000, None), (6, "http://friend.net/", "<a " * 1000 + 'href="//good.org/"' + "<a " * 100_000), (7, "http://x.net/", "href=x " * 100_000),
+    ]
+    began = time.time()
+    got = {r.page_id: r for r in urlfilter.judge(pages(spark, rows)).collect()}
+    assert time.time() - began < 60 and len(got) == 7
+    assert got[3].distrust > 0 and got[3].verdict == "block" and got[6].trust > 0 and got[7].trust == 0
+
+
+def test_links(spark):
+    htmls = {'<a href="x">': ["x"], "<A\nclass=q HREF = 'y z'>": ["y"], "<a href=x <a href=y>": ["x", "y"], '<a title="<b" href="z">': ["z"], "<abbr href=x><a>href=y</a><b href=q>": [], "<a href=>": [], "<a x><a href='p'": ["p"], "": [], "<a href=a><a href=b><p><a  href = c >": ["a", "b", "c"]}
+    got = spark.createDataFrame([(h,) for h in htmls] + [(None,)], "html string").select("html", urlfilter.links_of(F.col("html")).alias("l")).collect()
+    assert {r.html: r.l for r in got} == {**htmls, None: []}
+
+
+def test_domains_end_at_owners(spark):
+    hosts = {"m.shop.co.uk": ["m.shop.co.uk", "shop.co.uk"], "shop.co.uk": ["shop.co.uk"], "co.uk": [], "a.b.org": ["a.b.org", "b.org"], "org": [], "1.2.3.4": [], "[::1]": [], "": [], "x.y.uk.com": ["x.y.uk.com", "y.uk.com"], "x" * 300: [], "x" * 300 + ".a.b.net": ["a.b.net", "b.net"]}
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urlfilter.domains(F.col("h")).alias("d")).collect()
+    assert {r.h: r.d for r in got} == hosts
+    urls = ["http://u:p@A.org:80/x", "http://a.org:8080", "http://a.org/", "http://[::1]:80/"]
+    nodes = spark.createDataFrame([(u,) for u in urls], "u string").select(urlfilter.node_of(urlfilter.host_of(F.col("u"))).alias("n")).collect()
+    assert [r.n for r in nodes] == ["a.org", "a.org", "a.org", "[::1]"]
+
+
+def test_strangers_share_no_distrust(spark):
+    rows = [(1, "http://a.shop.uk.com/de/x", ""), (2, "http://other.uk.com/x", ""), (3, "http://b.shop.uk.com/y", ""), (4, "http://1.2.3.4/", ""), (5, "http://9.2.3.4/", '<a href="http://a.shop.uk.com/de/">'), (6, "http://c.shop.uk.com:81/", "")]
+    got = {r.page_id: r for r in urlfilter.judge(pages(spark, rows)).collect()}
+    assert [got[i].verdict for i in (1, 2, 3, 4, 5, 6)] == ["block", "allow", "block", "allow", "block", "block"] and got[2].distrust == 0 == got[4].distrust
+    assert got[6].host == "c.shop.uk.com:81"
+
+
 def test_urls_of_nothing(spark):
     assert urlfilter.judge(pages(spark, [])).count() == 0
 
