@@ -12,8 +12,9 @@ query, and those meet by query.
 Nulls and edge cases: a vector that is null, or holds a null or a component that isn't
 finite, takes no part; so does a null vec_id. Vectors of different length are compared
 over the components both have; the basis takes the square of the longest one's length in
-memory. Ties go to the smaller vec_id. Rows with equal vec_id are separate candidates (but
-never answers to their own id). Quantized components must be below 2^28 in size. Without
+memory. Ties go to the smaller vec_id. Rows with equal vec_id are candidates each (but never
+answers to their own id), and queries each: every such row gets its own ranks 1 to k, under
+the same query_id. Quantized components must be below 2^28 in size. Without
 queries or candidates the result is empty. The result has the named columns only.
 """
 
@@ -132,23 +133,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, head: int = 16) -
     length = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     # each part is in descending order of length, and so are its blocks
     ordered = stash(all_.withColumn("_length", length).repartition(F.pmod(F.xxhash64("vec_id"), F.lit(4096))).sortWithinPartitions(F.col("_length").desc(), "vec_id"), "topk_sorted")
-    asked = stash(all_.join(queries.select("vec_id").where("vec_id is not null").distinct(), "vec_id").withColumn("_u", F.xxhash64("vec_id", "v")), "topk_queries")
+    asked = stash(all_.join(queries.select("vec_id").where("vec_id is not null").distinct(), "vec_id").withColumn("_q", F.monotonically_increasing_id()), "topk_queries")
     n = asked.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     longest = [(np.array([r.vec_id for r in rows]), np.array([list(r.v) + [0] * (width - len(r.v)) for r in rows], np.int64).reshape(-1, width)) for rows in [all_.withColumn("_length", length).orderBy(F.col("_length").desc(), "vec_id").limit(ROWS).select("vec_id", "v").collect()]]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    # by number, not by id: rows with equal ids are queries each
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.col("score").desc(), "vec_id"))
     best = lambda parts: reduce(DataFrame.union, parts).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     done: list[DataFrame] = []
     for first in range(0, blocks, BLOCKS_AT_ONCE):
         parts, sent = [], []
         for b in range(first, min(blocks, first + BLOCKS_AT_ONCE)):
-            mine = asked.where(F.pmod(F.col("_u"), F.lit(blocks)) == b).select("vec_id", "v").collect()  # about QUERY_BLOCK rows
+            mine = asked.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b).select("_q", "vec_id", "v").collect()  # about QUERY_BLOCK rows
             if not mine:
                 continue
             block = np.array([r.vec_id for r in mine]), np.array([list(r.v) + [0] * (width - len(r.v)) for r in mine], np.int64).reshape(-1, width)
             floor = scan(block, basis, k, head, None, iter(longest)).theta()  # the longest vectors give every task a first bound
-            sent.append(spark.sparkContext.broadcast((block, basis, floor)))
-            parts.append(ordered.select("vec_id", "v").mapInArrow(_scanner(sent[-1], width, k, head), "query_id long, vec_id long, score long"))
+            sent.append(spark.sparkContext.broadcast((block, np.array([r["_q"] for r in mine]), basis, floor)))
+            parts.append(ordered.select("vec_id", "v").mapInArrow(_scanner(sent[-1], width, k, head), "_q long, query_id long, vec_id long, score long"))
         if parts:
             # a query is in one block only: what is found for it is reduced to k rows and written once
             done.append(stash(best(parts), "topk_found"))
@@ -161,7 +163,7 @@ def _scanner(sent, width: int, k: int, head: int):
     """What a task does with a block of queries: its k best rows for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, basis, floor = sent.value
+        block, number, basis, floor = sent.value
 
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for b in batches:
@@ -171,9 +173,9 @@ def _scanner(sent, width: int, k: int, head: int):
 
         best = scan(block, basis, k, head, floor, parts())
         some = np.flatnonzero(best.n)
-        q = np.repeat(block[0][some], best.n[some])
+        q, n = (np.repeat(x[some], best.n[some]) for x in (block[0], number))
         has = np.arange(k)[None, :] < best.n[some][:, None]
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(best.id[some][has], pa.int64()), pa.array(best.score[some][has], pa.int64())], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (n, q, best.id[some][has], best.score[some][has])], ["_q", "query_id", "vec_id", "score"])
 
     return run
 
@@ -184,10 +186,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) <= 10
 """
