@@ -14,17 +14,6 @@ from tidewater.operators import vectors as V
 from tidewater.plans.catalog import QUERIES
 
 
-def test_kept_after_gap_counts_from_the_last_kept(spark):
-    hours = [0, 20, 30, 55, 60]
-    df = spark.createDataFrame([([h * 3_600_000_000 for h in hours],)], "t array<bigint>")
-    assert [t // 3_600_000_000 for t in df.select(A.kept_after_gap(F.col("t"), 24 * 3_600_000_000).alias("k")).first().k] == [0, 30, 55]
-
-
-def test_window_opens_with_the_first_call(spark):
-    df = spark.createDataFrame([([0, 50, 59, 61, 100, 121],)], "t array<bigint>")
-    assert [(w.start, w.n) for w in df.select(A.window_counts(F.col("t"), 60).alias("w")).first().w] == [(0, 1), (0, 2), (0, 3), (61, 1), (61, 2), (121, 1)]
-
-
 def test_window_limits_hold_no_arrays(spark, tmp_path):
     rng = random.Random(5)
     rows = [(u, rng.randrange(4_000) * 60) for u in (1, None, 3) for _ in range(300)] + [(2, rng.randrange(4_000) * 60) for _ in range(25_000)] + [(4, None)]
@@ -67,6 +56,12 @@ def test_chunks_sections_overlap_and_size():
     assert K.chunks("") == [] and K.chunks("tiny") == []
 
 
+def test_headings_lead_once():
+    body = "This is a sentence that is long enough."
+    got = K.sections(f"# A\n{body}\n## B\n{body}\n### A\n{body}\n## C\n{body}\n# C\n## C\n{body}")
+    assert [leads for leads, text, _ in got if text] == [("A",), ("A", "B"), ("B", "A"), ("A", "C"), ("C",)]
+
+
 def test_headings_only_are_cut_into_windows(spark):
     text = "# Opening hours\n## Monday to Friday\n## Saturday and Sunday"
     assert K.chunks(text) == [(None, text, 0)]

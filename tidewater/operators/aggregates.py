@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 
 def ordered(df: DataFrame, keys: list[str], sort: list[str], value: Column, name: str, *more: Column) -> DataFrame:
-    """keys, more, and an array of the values in the given order."""
+    """keys, more, and an array of the values in the given order: a key's whole list is one row, as the result demands."""
     held = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(sort)], value.alias("_v"))
     got = df.groupBy(*keys).agg(F.array_sort(F.collect_list(held)).alias(name), *more)
     return got.withColumn(name, F.transform(name, lambda x: x["_v"]))
@@ -35,31 +35,6 @@ def last_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: st
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
-def kept_after_gap(times: Column, gap_micros: int) -> Column:
-    """Of sorted microseconds those that come at least the gap after the last kept one.
-
-    A lag won't do: what counts is the last kept time, not the last.
-    """
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= gap_micros), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s)
-    return F.aggregate(times, start, step)["kept"]
-
-
-def window_counts(times: Column, width_micros: int) -> Column:
-    """array<struct(t, start, n)>: each time with its window's start and its number within it.
-
-    A window opens with the first time after the last one closed, and rejected calls count.
-    """
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<t:bigint,start:bigint,n:int>>").alias("out"))
-
-    def step(s, t):
-        fresh = s["at"].isNull() | (t - s["at"] >= width_micros)
-        at, n = F.when(fresh, t).otherwise(s["at"]), F.when(fresh, 1).otherwise(s["n"] + 1)
-        return F.struct(at.alias("at"), n.alias("n"), F.concat(s["out"], F.array(F.struct(t.alias("t"), at.alias("start"), n.alias("n")))).alias("out"))
-
-    return F.aggregate(times, start, step)["out"]
-
-
 def window_limits(df: DataFrame, key: str, time: Column, width_micros: int, limit: int) -> DataFrame:
     """(key, accepted, rejected) of each key's rows: a window opens with the first time at or
     after the width since the last one opened, and its first rows up to the limit are accepted.

@@ -45,7 +45,9 @@ def sections(text: str) -> list[tuple[tuple[str, ...], str, int]]:
     for m, end in zip(found, ends, strict=False):
         level = len(m["marks"]) if m["marks"] else m["number"].count(".") + 1
         leads = {at: h for at, h in leads.items() if at < level} | {level: m["title"] or f"{m['number']} {m['name']}".strip()}
-        out.append((tuple(leads.values()), text[m.end() : end].strip(), m.start()))
+        # a heading that is named twice on the way leads once, where it is nearest
+        named = tuple(dict.fromkeys(reversed(leads.values())))[::-1]
+        out.append((named, text[m.end() : end].strip(), m.start()))
     return [s for s in out if s[0] or s[1]]
 
 

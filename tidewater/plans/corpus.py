@@ -22,7 +22,7 @@ def _any(column: str, terms: tuple[str, ...]) -> str:
 
 
 def _said(spark: SparkSession, d: str) -> DataFrame:
-    """User turns, every fifth with a phrase from a fixed list, so that rules have something to find."""
+    """User turns, each behind a phrase of a fixed list, so that rules have something to find."""
     k = (F.col("conv_id") * 7 + F.col("turn") * 3) % len(PHRASES)
     rows = table(spark, d, "conversations").where("role = 'user'")
     return rows.select("conv_id", "turn", F.concat(F.element_at(F.array(*map(F.lit, PHRASES)), (k + 1).cast("int")), F.lit(" "), F.col("text")).alias("said"))
@@ -210,7 +210,9 @@ _CLAIM = r"(?i)(?:rs\.?\s?)?\b\d{1,3}(?:,\d{3})+\b|\b\d+\s*(?:days|day|weeks|wee
 )
 def unsupported_claims(spark: SparkSession, d: str) -> DataFrame:
     """Numeric claims of documents that the next benchmark item doesn't hold."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence"))
+    # fifty items are asked for, so they go to the documents
+    items = table(spark, d, "benchmark").where("item_id between 0 and 49").select("item_id", F.col("text").alias("evidence"))
+    items = F.broadcast(items) if items.limit(1_001).count() <= 1_000 else items
     both = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 50).join(items, "item_id", "left")
     answer = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.lit("Returned within 14 days it costs Rs. 1,200."))
     known = F.concat_ws(" ", "evidence", F.when(F.col("doc_id") % 2 == 0, "The fee is Rs 1,200"))
