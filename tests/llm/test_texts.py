@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -111,6 +112,31 @@ def test_discovery_is_precise(spark):
     assert len(new & planted) >= 0.9 * len(planted) and len(new & planted) >= 0.95 * len(new)
 
 
+def test_spans_are_the_same_by_plan_and_by_join(spark, monkeypatch):
+    rows = [(i, f"Please call +1 555 010 {1000 + i} today") for i in range(30)] + [(100 + i, f"kindly write to user{i}@h{i}.example.org soon") for i in range(30)]
+    rows += [(200 + i, f"Please call 0171 555 {1000 + i} today, or write to a{i}(at)b.org soon") for i in range(20)] + [(200, "Please call 0171 555 1000 today, or write to a0(at)b.org soon"), (None, "Please call 0171 555 9999 today")]
+    got = sorted(map(repr, pii.extract(docs(spark, rows)).select("doc_id", "_spans").collect()))
+    monkeypatch.setattr(pii, "TRUSTED", 0)
+    assert got == sorted(map(repr, pii.extract(docs(spark, rows)).select("doc_id", "_spans").collect()))
+    assert sum("kind=3" in r for r in got) >= 50
+
+
+def test_identifiers_of_any_length(spark):
+    """What is found has no greatest length."""
+    rows = [(i, f"kindly write to user{i}@h{i}.example.org soon") for i in range(30)] + [(100 + i, f"Please call +1 555 010 {1000 + i} today") for i in range(30)]
+    long_ones = {500: ("kindly write to ", "j" * 65 + "(at)" + "h" * 70 + "(dot)" + "d" * 90, "email"), 501: ("Please call ", "id" * 60 + "1234", "phone"), 502: ("Please call ", "5-5-5-0-1-0-2-0-0-0-1", "phone")}
+    rows += [(i, b + what + (" soon" if i == 500 else " today")) for i, (b, what, _) in long_ones.items()]
+    got = {r.doc_id: [tuple(s) for s in r._spans] for r in pii.extract(docs(spark, rows)).collect()}
+    assert {i: got[i] for i in long_ones} == {i: [(len(b), pii.KINDS.index(kind), len(b) + len(what))] for i, (b, what, kind) in long_ones.items()}
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = ["1 " * 200_000, "1" * 300_000, "a" * 300_000 + " 12", "(1)" * 100_000, "a" * 200_000 + "(at)b1 2", "1-" * 150_000 + "x", "a" * 100_000 + "1111@"]
+    began = time.time()
+    assert pii.extract(docs(spark, list(enumerate(texts)))).where("size(_spans) >= 0").count() == len(texts)
+    assert time.time() - began < 60
+
+
 def test_redaction_and_odd_tables(spark):
     rows = docs(spark, [(1, "é mail a@b.co, ip 10.0.0.1."), (2, "none"), *ODD])
     got = {r.doc_id: r.t for r in pii.extract(rows).select("doc_id", pii.redact(F.col("text"), F.col("_spans")).alias("t")).where("doc_id < 3").collect()}

@@ -7,11 +7,16 @@ the share of known instances among those it meets that are of another kind or lo
 another, an instance by the patterns that point
 to it, both counted over all documents. Tokens met by high-confidence patterns are new
 spans of the kind of the pattern's seeds. Base spans stay as they are. All of it is
-DataFrame work; texts are not shuffled.
+DataFrame work.
+
+Texts are read twice, and not shuffled: once for the graph, and once for the spans, when the
+trusted patterns are part of the plan, where a binary search finds them. Only if there are more
+than TRUSTED of them are new spans joined to their rows instead.
 
 What may be an identifier, and what a pattern is, are definitions of the model: a free token
-has 6 to 64 characters, four of them digits; a context word lies within 40 characters, and
-of a longer one its 24 letters next to the token count. Base patterns know no such limits.
+has six characters or more, four of them digits; a context is the word next to it, at most three
+other characters away, and of a word of more than 24 letters those next to the token. Mail
+addresses, groups of digits and tokens may be of any length.
 
 Where the words around identifiers tell nothing (in the test tables they are inserted at
 random places, and every word meets all kinds), no pattern is trusted and none is found.
@@ -30,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, load, small, stash
+from .common import apart, count_below, discard, listed, load, small, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Possessive runs, and looks behind that rule out starts which
@@ -44,9 +49,9 @@ PATTERNS = {
 BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 #: What may be an identifier: emails without a top domain or written out, digits in groups, and
 #: other tokens of at least six characters, four of them digits, behind white space, : or =.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9-]{1,64}+(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z0-9-]{1,64}+)*+"
-DIGITS = r"(?<![A-Za-z0-9@_%+])[+(]?[0-9]{1,19}+(?:(?:\)[\x20./-]?\(?|[\x20./-]\(?|\()[0-9]{1,19}+){0,9}+(?![A-Za-z0-9@_%])"
-TOKEN = r"(?<![^\x20\x09-\x0D:=])(?=[^\x20\x09-\x0D:=]{6,64}(?![^\x20\x09-\x0D:=]))(?=(?:[^\x20\x09-\x0D:=0-9]*+[0-9]){4})[A-Za-z0-9+(][A-Za-z0-9@._()+/-]*[A-Za-z0-9]"
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z0-9-]++)*+"
+DIGITS = r"(?<![A-Za-z0-9@_%+])[+(]?[0-9]++(?:(?:\)[\x20./-]?\(?|[\x20./-]\(?|\()[0-9]++)*+(?![A-Za-z0-9@_%])"
+TOKEN = r"(?<![^\x20\x09-\x0D:=])(?=[^\x20\x09-\x0D:=]{6})(?=(?:[^\x20\x09-\x0D:=0-9]*+[0-9]){4})[A-Za-z0-9+(][A-Za-z0-9@._()+/-]*[A-Za-z0-9]"
 CANDIDATE = f"{MAIL}|{DIGITS}|{TOKEN}"
 #: What a text must hold to have one.
 MAYBE = r"[0-9][^\x20\x09-\x0D]*[0-9]|[0-9][\x20)(./-]{1,3}[0-9]|@|[(\[](?i:at)[)\]]"
@@ -57,20 +62,34 @@ MADE = ("_base", "_spans")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: A pattern needs so many known instances, and so high a share of them.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.9, 2
+#: Matches of a text that are put together at once.
+BLOCK = 256
+#: Trusted patterns up to this many go into the plan.
+TRUSTED = 20_000
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct(start, end, match)> of the leftmost matches that don't overlap, in code points."""
+    """array<struct(start, end, match)> of the leftmost matches that don't overlap, in code points.
+
+    Running lengths are added up in blocks, so that many matches don't copy a long array each.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
+    kind = "array<struct<start:int,end:int,match:string>>"
+
+    def step(s: Column, m: Column) -> Column:
+        begins = s["at"] + m["gap"]
+        one = F.array(F.struct(begins.alias("start"), (begins + F.length(m["match"])).alias("end"), m["match"].alias("match")))
+        full = F.size(s["block"]) == BLOCK
+        return F.struct((begins + F.length(m["match"])).alias("at"), F.when(full, one).otherwise(F.concat(s["block"], one)).alias("block"), F.when(full, F.concat(s["done"], F.array(s["block"]))).otherwise(s["done"]).alias("done"))
+
     spans = F.aggregate(
-        F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("gap"), found.alias("match")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-        lambda s, m: F.when(m["match"].isNull(), s).otherwise(
-            F.struct((s["at"] + m["gap"] + F.length(m["match"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + m["gap"]).alias("start"), (s["at"] + m["gap"] + F.length(m["match"])).alias("end"), m["match"].alias("match")))).alias("out"))
-        ),
-    )["out"]
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int,match:string>>")).otherwise(spans)
+        F.filter(F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("gap"), found.alias("match")), lambda m: m["match"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("block"), F.array().cast(f"array<{kind}>").alias("done")),
+        step,
+        lambda s: F.concat(F.flatten(s["done"]), s["block"]),
+    )
+    return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(spans)
 
 
 def luhn(digits: Column) -> Column:
@@ -137,27 +156,33 @@ def _fits() -> Column:
     return F.expr(f"(may & (shiftleft(1, k) | {ANY})) <> 0")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(_row, start, end, token, kind, may, pattern): tokens like identifiers with each of their patterns.
+def _found(text: Column, base: Column) -> Column:
+    """array<struct(start, end, token, kind, may, patterns)>: tokens like identifiers and their patterns.
 
     kind is that of the base span, else null, and then may says which it looks like. A
     pattern is the words on both sides, or the word before or after alone where that is near.
     """
-    t = F.col("text")
 
     def one(start: Column, end: Column, token: Column, kind: Column) -> Column:
-        # contexts are cut out here, so that the exploded rows don't carry the text
-        return F.struct(start.alias("start"), end.alias("end"), F.lower(token).alias("token"), kind.alias("kind"), _word_before(t, start).alias("b"), _word_after(t, end).alias("a"))
+        # contexts are cut out here, so that exploded rows don't carry the text
+        return F.struct(start.alias("start"), end.alias("end"), F.lower(token).alias("token"), kind.alias("kind"), _word_before(text, start).alias("b"), _word_after(text, end).alias("a"))
 
-    base = F.transform("_base", lambda s: one(s["start"], s["end"], F.substring(t, s["start"] + 1, s["end"] - s["start"]), s["kind"]))
-    tokens = F.when(t.rlike(MAYBE), matches(t, CANDIDATE)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
-    free = F.filter(tokens, lambda m: ~F.exists("_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    def told(m: Column) -> Column:
+        b, a = m["b"], m["a"]
+        patterns = F.filter(F.array(F.when(b != "", F.concat(F.lit("b:"), b)), F.when(a != "", F.concat(F.lit("a:"), a)), F.when((b != "") & (a != ""), F.concat(F.lit("ba:"), b, F.lit(" "), a))), lambda p: p.isNotNull())
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["token"].alias("token"), m["kind"].alias("kind"), F.when(m["kind"].isNull(), _may(m["token"])).alias("may"), patterns.alias("patterns"))
+
+    seeds = F.transform(base, lambda s: one(s["start"], s["end"], F.substring(text, s["start"] + 1, s["end"] - s["start"]), s["kind"]))
+    tokens = F.when(text.rlike(MAYBE), matches(text, CANDIDATE)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    free = F.filter(tokens, lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     other = F.transform(free, lambda m: one(m["start"], m["end"], m["match"], F.lit(None).cast("int")))
-    both = rows.select("_row", F.explode(F.concat(base, other)).alias("m")).select("_row", "m.*")
-    both = both.withColumn("may", F.when(F.col("kind").isNull(), _may(F.col("token")))).where("kind is not null or may is not null")
-    b, a = F.col("b"), F.col("a")
-    patterns = F.filter(F.array(F.when(b != "", F.concat(F.lit("b:"), b)), F.when(a != "", F.concat(F.lit("a:"), a)), F.when((b != "") & (a != ""), F.concat(F.lit("ba:"), b, F.lit(" "), a))), lambda p: p.isNotNull())
-    return both.select("_row", "start", "end", "token", "kind", "may", F.explode(patterns).alias("pattern"))
+    return F.filter(F.transform(F.concat(seeds, other), told), lambda m: m["kind"].isNotNull() | m["may"].isNotNull())
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(_row, start, end, token, kind, may, pattern): what _found() tells of (_row, text, _base), a row a pattern."""
+    each = rows.select("_row", F.explode(_found(F.col("text"), F.col("_base"))).alias("m"))
+    return each.select("_row", "m.start", "m.end", "m.token", "m.kind", "m.may", F.explode("m.patterns").alias("pattern"))
 
 
 def learn(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -187,18 +212,48 @@ def learn(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
     return trusted.select("pattern", F.col("k").alias("kind"), F.col("p").alias("score"))
 
 
+def _discovered(text: Column, base: Column, known: list) -> Column:
+    """New spans of a text: candidates with a trusted pattern that fits; known: (pattern, kind, score), in order of pattern.
+
+    Of several patterns the one with the best score names the span, ties go to the later kind.
+    """
+    if not known:
+        return F.array().cast(SPAN)
+    names, kinds, scores = (listed([r[i] for r in known], t) for i, t in enumerate(("string", "int", "double")))
+
+    def best(m: Column) -> Column:
+        def of(pattern: Column) -> Column:
+            at = count_below(len(known), lambda i: F.element_at(names, i + 1) < pattern) + 1
+            hit = (at <= len(known)) & (F.element_at(names, F.least(at, F.lit(len(known)))) == pattern)
+            kind = F.element_at(kinds, F.least(at, F.lit(len(known))))
+            fits = m["may"].bitwiseAND(F.element_at(F.array(*[F.lit(1 << k | ANY) for k in range(len(KINDS))]), kind + 1))
+            return F.when(hit & (fits != 0), F.struct(F.element_at(scores, F.least(at, F.lit(len(known)))).alias("score"), kind.alias("kind")))
+
+        named = F.array_max(F.filter(F.transform(m["patterns"], of), lambda x: x.isNotNull()))
+        return F.struct(m["start"].alias("start"), named["kind"].alias("kind"), m["end"].alias("end"))
+
+    free = F.filter(_found(text, base), lambda m: m["kind"].isNull())
+    return F.filter(F.transform(free, best), lambda s: s["kind"].isNotNull()).cast(SPAN)
+
+
 def extract(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """docs, a null text empty, and _base, _spans: array<struct(start, kind, end)>, the base spans and all spans."""
     text = F.coalesce("text", F.lit(""))
     filled, fields = apart(docs.withColumn("text", text), MADE, "doc_id", "text")
     marked = filled.select("_row", "text", base_spans(F.col("text")).alias("_base"), F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary")).alias("_id"))
     found = stash(candidates(marked.select(F.col("_id").alias("_row"), "text", "_base")), "pii_found")
-    trusted = small(learn(found, support, confidence, rounds))
-    # equal rows have the same spans, so the row's digest stands for them
-    more = found.where("kind is null").drop("kind").join(trusted.withColumn("k", F.col("kind")), "pattern").where(_fits()).groupBy("_row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
-    new = more.groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("_new"))
-    new = small(stash(new, "pii_new"))
-    got = marked.join(new, F.col("_id") == F.col("_of"), "left")
+    trusted = learn(found, support, confidence, rounds)
+    known = trusted.limit(TRUSTED + 1).collect()
+    if len(known) <= TRUSTED:
+        # by bytes, as Spark orders strings
+        known = sorted(((r.pattern, r.kind, r.score) for r in known), key=lambda r: r[0].encode())
+        discard(found)
+        got = marked.withColumn("_new", _discovered(F.col("text"), F.col("_base"), known))
+    else:
+        # equal rows have the same spans, so the row's digest stands for them
+        more = found.where("kind is null").drop("kind").join(small(trusted).withColumn("k", F.col("kind")), "pattern").where(_fits()).groupBy("_row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+        new = more.groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("start", F.col("best.kind").alias("kind"), "end")).alias("_new"))
+        got = marked.join(small(stash(new, "pii_new")), F.col("_id") == F.col("_of"), "left")
     spans = F.array_sort(F.concat("_base", F.coalesce(F.col("_new").cast(SPAN), F.array().cast(SPAN))))
     return got.select(*fields, "_base", spans.alias("_spans"))
 
