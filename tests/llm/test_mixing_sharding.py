@@ -147,6 +147,23 @@ def test_shards_follow_the_ring(spark):
         assert got[i]._shard == s and got[i]._home == nodes[k][1]
 
 
+def test_shards_of_repeated_rows_and_long_texts(spark):
+    """Copies of a row, rows that share an id or a text, and very long texts have places of their own."""
+    rows = [(5, "same", "s")] * 400 + [(6, f"text {i}", "s") for i in range(300)] + [(1000 + i, "one text", None) for i in range(200)] + [(7, "é" * 400_000, "s"), (7, None, "s"), (None, "x", "s"), (None, "x", "s")]
+    table = docs(spark, rows)
+    got = sharding.shard(table).collect()
+    assert Counter((r.doc_id, r._size, r._crc) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r._shard].append(r._slot)
+    assert len(slots) == 16 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(sorted(v) == [*range(len(v))] for v in slots.values())
+    # rows of one id have one home, though its shard can't hold them all
+    assert len({r._home for r in got if r.doc_id == 5}) == 1 == len({r._home for r in got if r.doc_id == 6}) and len({r._shard for r in got if r.doc_id == 5}) > 3
+    again = sharding.shard(table).collect()
+    assert Counter((r.doc_id, r._size, r._shard) for r in got) == Counter((r.doc_id, r._size, r._shard) for r in again)
+
+
 def test_shards_of_nothing(spark):
     assert sharding.shard(docs(spark, [])).count() == 0
     assert sharding.shard(docs(spark, [(1, "a", "s")] * 40)).count() == 40
