@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, stash
+from .common import discard, load, stash
 
 SCALE = 1024
 #: Queries that are sent to the tasks at once.
@@ -156,6 +156,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, head: int = 16) -
             done.append(stash(best(parts), "topk_found"))
         for x in sent:
             x.destroy()
+    discard(all_, ordered, asked)  # what is found has been written
     return reduce(DataFrame.union, done) if done else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
