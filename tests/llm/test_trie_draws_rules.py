@@ -2,12 +2,10 @@
 
 import hashlib
 import math
-import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -17,7 +15,6 @@ from tidewater.llm import quality as Q
 from tidewater.llm import resampling as R
 from tidewater.llm import trie as T
 
-DATA = os.environ.get("TIDEWATER_TESTDATA", "/root/testdata/sf0.001")
 NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 
 
@@ -257,14 +254,3 @@ def test_rules_of_odd_labels(spark):
     assert got.count() == len(docs) + 22 and dict(got.dtypes)["n_words"] == "bigint" and got.where("quality = 'z'").count() == got.count()
     assert Q.fit(d, lab.where("quality = 1")).rules == [] and Q.fit(d, lab.limit(0)).rules == [] and Q.fit(d.limit(0), lab).rules == []
     assert Q.DecisionList().sql() == "true" and Q.judge(d.limit(0), Q.DecisionList()).count() == 0
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("query,sql", [(T.query, T.SQL), (R.query, R.SQL), (Q.base_query, Q.BASE_SQL)])
-def test_same_as_sql(spark, query, sql):
-    db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    cur = db.execute(sql)
-    names = [c[0] for c in cur.description]
-    assert sorted(map(tuple, query(spark, DATA).select(*names).collect()), key=repr) == sorted(map(tuple, cur.fetchall()), key=repr)
