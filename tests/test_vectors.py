@@ -4,8 +4,10 @@ import math
 import os
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,29 @@ def test_hashed_embedding_is_what_a_plain_walk_gives(spark):
         assert np.allclose(r.embedding, plain_embedding(terms[r.doc_id]), atol=1e-9)
 
 
+def test_embeddings_of_arrays_of_terms(spark, monkeypatch):
+    """Odd words and cuts between rows against a plain walk; and hashing all features together takes less than half of its time."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh\u00e9\u6f22\U00020000") for _ in range(rng.choice((2, 3, 7, 12))))
+    some = [word() for _ in range(40)]
+    rows = [[rng.choice(some) for _ in range(rng.choice((0, 1, 2, 30, 300)))] for _ in range(60)] + [["x" * 5_000, "y" * 4_000, "x" * 5_000], ["same"] * 50, []]
+    got = K._embedded(pa.array(rows, pa.list_(pa.string())), 64)
+    for v, terms in zip(got, rows, strict=True):
+        size = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert np.allclose(v / size, plain_embedding(terms), atol=1e-12)
+    assert np.array_equal(got[3:9], K._embedded(pa.array(rows, pa.list_(pa.string()))[3:9], 64))
+    docs = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: r.embedding for r in K.hashed_embedding(docs).collect()}
+    monkeypatch.setattr(K, "TERMS_AT_ONCE", 40)
+    assert {r.doc_id: r.embedding for r in K.hashed_embedding(docs).collect()} == whole and len(whole) == len(rows)
+    many, began = [[word() for _ in range(3_000)] for _ in range(5)], time.process_time()
+    for terms in many:
+        plain_embedding(terms)
+    plain, began = time.process_time() - began, time.process_time()
+    K._embedded(pa.array(many, pa.list_(pa.string())), 64)
+    assert time.process_time() - began < plain / 2
+
+
 def answers(spark, items, docs, kinds=None):
     """The five nearest chunks of each item, by a plain walk: (item, terms asked, [(similarity, doc, chunk, text)])."""
     chunks = [(d, k, lang, t) for d, lang, text in docs for k, (_, t, _) in enumerate(K.chunks(text or ""))]
