@@ -205,3 +205,12 @@ def test_picked_property(spark):
 
 def test_people_and_products_of_nothing(spark):
     assert one(spark, None, R.person_name) is None and one(spark, None, R.product_query) is None and one(spark, None, T.listed) == []
+
+
+def test_stems_of_single_words(spark):
+    """stem_of() is what the column gives, on endings in all combinations and lengths."""
+    rng = random.Random(3)
+    ends = [s for s, _ in T.SUFFIXES] + ["ate", "ated", "bb", "tting", "nned", "sses", "xes", "zes", "ches", "shes", "es", "s", "ss", "\u00e9s", ""]
+    words = ["".join(rng.choice("abst\u00f1\U00020000") for _ in range(n)) + a + b for n in range(7) for a in ends for b in ends]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s")).collect()
+    assert len(got) == len(words) and all(T.stem_of(r.w) == r.s for r in got)

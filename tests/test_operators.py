@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import timeit
 
 import pytest
 
@@ -135,6 +137,26 @@ def test_contained(spark):
     assert got == sorted({p for p in parts if p and any(p in t for t in texts if t)})
 
 
+def test_sentences_are_what_one_expression_gives():
+    """Against a split by look-behind with all abbreviations held; texts without any are split without holding them, in less than two thirds of the time."""
+    gap = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
+
+    def whole(text):
+        held = re.sub(K.ABBREVIATION, lambda m: m.group().replace(".", "\0"), text)
+        return [s for s in (p.replace("\0", ".").strip() for p in gap.split(held)) if s]
+
+    rng = random.Random(9)
+    parts = ["Rs. 5", "No. 7", "e.g. So", "I.E. He", "approx. 3", "Approx.", "a.", "B!", "?", " ", "\n", "\t ", "\u00a0", "\0", ".", "9", "Word", "x", "\x1c", "Rs", "e.g"]
+    for _ in range(3_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert K.split_sentences(text) == whole(text)
+    long = "Some words stand in a sentence of an ordinary length that ends here. " * 4_000
+    took = []
+    for f in (whole, K.split_sentences):
+        took.append(min(timeit.repeat(lambda f=f: f(long), number=1, repeat=5)))
+    assert took[1] < took[0] / 1.5
+
+
 def test_chunks_keep_to_their_rules():
     """On random documents: room, the headings above, the overlap, and nothing lost."""
     rng = random.Random(5)

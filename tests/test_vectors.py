@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.functions import text as T
 from tidewater.operators import knowledge as K
 from tidewater.operators import vectors as V
 from tidewater.plans.catalog import QUERIES
@@ -143,11 +144,11 @@ def test_embeddings_of_arrays_of_terms(spark, monkeypatch):
     got = K._embedded(pa.array(rows, pa.list_(pa.string())), 64)
     for v, terms in zip(got, rows, strict=True):
         size = math.sqrt(sum(x * x for x in v)) or 1.0
-        assert np.allclose(v / size, plain_embedding(terms), atol=1e-12)
+        assert np.allclose(v / size, plain_embedding([T.stem_of(w) for w in terms]), atol=1e-12)
     assert np.array_equal(got[3:9], K._embedded(pa.array(rows, pa.list_(pa.string()))[3:9], 64))
     docs = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string").coalesce(1)
     whole = {r.doc_id: r.embedding for r in K.hashed_embedding(docs).collect()}
-    monkeypatch.setattr(K, "TERMS_AT_ONCE", 40)
+    monkeypatch.setattr(K, "WORDS_AT_ONCE", 40)
     assert {r.doc_id: r.embedding for r in K.hashed_embedding(docs).collect()} == whole and len(whole) == len(rows)
     many, began = [[word() for _ in range(3_000)] for _ in range(5)], time.process_time()
     for terms in many:
