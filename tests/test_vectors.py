@@ -211,3 +211,10 @@ def test_grounded_retrieval_is_what_a_plain_walk_gives(spark):
         hits = hw if cw > cn else hn or hw
         assert (r.confidence, r.widened, r.status) == (max(cn, cw), cw > cn, "grounded" if max(cn, cw) >= 0.22 else "refused")
         assert (r.doc_id, r.chunk_index) == (hits[0][1:3] if hits else (None, None))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_grounded_retrieval_reads_no_chunks_after_its_searches(spark):
+    """What the searches found is kept; the result doesn't go through all chunks' texts again for each of its uses."""
+    files = QUERIES["grounded_retrieval"](spark, DATA).inputFiles()
+    assert files and not any("/chunks-" in f for f in files)
