@@ -161,8 +161,7 @@ def ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and embeddings of the documents that a run created or updated."""
     changed = ingestion_run(spark, d).where("action in ('created', 'updated')").select("doc_id")
     docs = table(spark, d, "documents").join(changed, "doc_id", "left_semi").withColumn("text", T.clean(F.col("text")))
-    chunks = K.chunk_documents(docs).select("doc_id", "chunk_index", "section", "token_estimate", "chunk_text")
-    return K.hashed_embedding(chunks, text="chunk_text").drop("chunk_text")
+    return K.chunk_documents(docs, dims=K.DIMS).select("doc_id", "chunk_index", "section", "token_estimate", "embedding")
 
 
 @query(
